@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import bpe, packing
+from codeweft.llm import bpe, neighbours, packing
 from codeweft.sources.tables import table
 
 CONTAINER = 2048
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, folder, "symbol_embeddings"), "symbol_id", "embedding", length=96, k=5, floor=0.8)
+    pair = F.least("symbol_id", "neighbour").alias("symbol_a"), F.greatest("symbol_id", "neighbour").alias("symbol_b")
+    return near.select(*pair).distinct()
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -20,5 +26,5 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CONTAINER)
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers}
+QUERIES = {"p2_found": p2_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
 ORACLES: dict[str, str] = {}
