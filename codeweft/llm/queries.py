@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import bpe, neighbours, packing
+from codeweft.llm import bpe, near_duplicates, neighbours, packing
 from codeweft.sources.tables import table
 
 CONTAINER = 2048
@@ -17,6 +17,24 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(*pair).distinct()
 
 
+def _near_decisions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    decisions = table(spark, folder, "decisions").select("id", "title", "content")
+    return decisions, *near_duplicates.near_duplicates(decisions, "id", "title", "content", shingle=3, threshold=0.5)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    decisions, members, links = _near_decisions(spark, folder)
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    shingled = F.size(near_duplicates.words_of(text)) >= 3
+    pairs = near_duplicates.pairs_of_records(decisions, "id", members, links, shingled)
+    return pairs.select(F.col("record_a").alias("decision_a"), F.col("record_b").alias("decision_b"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    _, members, links = _near_decisions(spark, folder)
+    return near_duplicates.groups_of_records("id", members, links)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -26,5 +44,5 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CONTAINER)
 
 
-QUERIES = {"p2_found": p2_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p7_ids": p7_ids, "p8_containers": p8_containers}
 ORACLES: dict[str, str] = {}
