@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import bpe, near_duplicates, neighbours, packing
+from codeweft.llm import bpe, near_duplicates, neighbours, packing, source_files
 from codeweft.sources.tables import table
 
 CONTAINER = 2048
@@ -35,6 +35,14 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups_of_records("id", members, links)
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return source_files.judge_files(table(spark, folder, "files")).where("not_written").select("file_id")
+
+
+def p6_validation(spark: SparkSession, folder: str) -> DataFrame:
+    return source_files.validate_by_repository(table(spark, folder, "files"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -44,5 +52,5 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CONTAINER)
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p7_ids": p7_ids, "p8_containers": p8_containers}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_validation": p6_validation, "p7_ids": p7_ids, "p8_containers": p8_containers}
 ORACLES: dict[str, str] = {}
