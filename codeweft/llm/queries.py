@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import bpe, near_duplicates, neighbours, packing, source_files
+from codeweft.llm import bpe, near_duplicates, neighbours, packing, source_files, text_quality
 from codeweft.sources.tables import table
 
 CONTAINER = 2048
@@ -52,5 +52,13 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CONTAINER)
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_validation": p6_validation, "p7_ids": p7_ids, "p8_containers": p8_containers}
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return text_quality.text_quality(table(spark, folder, "documents"), table(spark, folder, "common_words"), "doc_id", "text", "lang")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_statistics(spark, folder).where("doc_kind <> 'prose'").select("doc_id", "doc_kind")
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_validation": p6_validation, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLES: dict[str, str] = {}
