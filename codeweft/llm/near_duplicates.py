@@ -26,6 +26,8 @@ from codeweft.operators.components import connected_components
 from codeweft.runtime import materialise
 
 SYMBOLS, BITS, CHUNK, ERRORS = 40, 16, 4, 2
+_LOW_WORDS = -(-SYMBOLS // 16)
+_LOW = [f"_low{i}" for i in range(_LOW_WORDS)]
 
 
 def words_of(text: Column) -> Column:
@@ -49,6 +51,7 @@ def _chunk_signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         starts = (sets.offsets.to_numpy()[:-1] - sets.offsets[0].as_py()).astype(np.int64)
         packed = np.zeros((batch.num_rows, SYMBOLS // CHUNK), np.uint64)
+        low = np.zeros((batch.num_rows, _LOW_WORDS), np.uint64)
         if batch.num_rows:
             for s in range(SYMBOLS):
                 mixed = (hashes ^ addends[s]) * factors[s]
@@ -57,9 +60,22 @@ def _chunk_signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 least = np.minimum.reduceat(mixed, starts)
                 symbol = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
                 packed[:, s // CHUNK] |= symbol << np.uint64(BITS * (s % CHUNK))
+                low[:, s // 16] |= (symbol & np.uint64(15)) << np.uint64(4 * (s % 16))
         flat = pa.array(packed.view(np.int64).ravel())
         offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (SYMBOLS // CHUNK))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["_class", "_chunks"])
+        lows = [pa.array(low[:, i].copy().view(np.int64)) for i in range(_LOW_WORDS)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat), *lows], names=["_class", "_chunks", *_LOW])
+
+
+def _agreeing_low_bits() -> Column:
+    """In how many symbols the low four bits of two signatures agree."""
+    agree = F.lit(0)
+    for i, name in enumerate(_LOW):
+        apart = F.col(f"a.{name}").bitwiseXOR(F.col(f"b.{name}"))
+        apart = apart.bitwiseOR(F.shiftrightunsigned(apart, 1))
+        apart = apart.bitwiseOR(F.shiftrightunsigned(apart, 2)).bitwiseAND(0x1111111111111111)
+        agree = agree + (min(16, SYMBOLS - 16 * i) - F.bit_count(apart))
+    return agree
 
 
 def _symbol(chunk: Column, at: int) -> Column:
@@ -68,13 +84,13 @@ def _symbol(chunk: Column, at: int) -> Column:
 
 def _candidates(classes: DataFrame, kind: str) -> DataFrame:
     """Distinct pairs of classes whose signatures share a key."""
-    signed = classes.select("_class", "_shingles").mapInArrow(_chunk_signatures, f"_class {kind}, _chunks array<bigint>")
-    chunks = signed.select("_class", F.posexplode("_chunks").alias("_no", "_chunk"))
+    signed = classes.select("_class", "_shingles").mapInArrow(_chunk_signatures, f"_class {kind}, _chunks array<bigint>, " + ", ".join(f"{x} bigint" for x in _LOW))
+    chunks = signed.select("_class", *_LOW, F.posexplode("_chunks").alias("_no", "_chunk"))
     kept = list(combinations(range(CHUNK), CHUNK - ERRORS))
     enumerated = F.explode(F.array(*[
         F.struct(F.lit(v).alias("v"), F.xxhash64("_no", F.lit(v), *[_symbol(F.col("_chunk"), i) for i in keep]).alias("key")) for v, keep in enumerate(kept)
     ]))
-    keyed = chunks.select("_class", "_chunk", enumerated.alias("_k")).select("_class", "_chunk", F.col("_k.v").alias("_v"), F.col("_k.key").alias("_key"))
+    keyed = chunks.select("_class", "_chunk", *_LOW, enumerated.alias("_k")).select("_class", "_chunk", *_LOW, F.col("_k.v").alias("_v"), F.col("_k.key").alias("_key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     apart = F.col("a._chunk").bitwiseXOR(F.col("b._chunk"))
     # Of the keys that a pair shares in a chunk only the first counts, so it comes once a chunk.
@@ -85,7 +101,10 @@ def _candidates(classes: DataFrame, kind: str) -> DataFrame:
         for i in rest:
             own = own & (_symbol(apart, i) != 0)
         first = first | own
-    pairs = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._v") == F.col("b._v")) & (F.col("a._class") < F.col("b._class")) & first)
+    # The keys meet more pairs than they promise: those beyond the signature distance go at once,
+    # told by the low bits that travel with the keys (equal symbols have equal low bits).
+    close = _agreeing_low_bits() >= SYMBOLS - (SYMBOLS // CHUNK * (ERRORS + 1) - 1)
+    pairs = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._v") == F.col("b._v")) & (F.col("a._class") < F.col("b._class")) & first & close)
     return pairs.select(F.col("a._class").alias("_a"), F.col("b._class").alias("_b")).distinct()
 
 
