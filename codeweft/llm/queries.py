@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import bpe, near_duplicates, neighbours, packing, source_files, text_quality
+from codeweft.llm import bpe, near_duplicates, neighbours, packing, personal_data, source_files, text_quality
 from codeweft.sources.tables import table
 
 CONTAINER = 2048
@@ -17,6 +17,26 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(*pair).distinct()
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The free texts of both tables, one row per record; reloads of a record repeat its text."""
+
+    def records(name: str, column: str) -> DataFrame:
+        rows = table(spark, folder, name).where(F.col(column) != "").groupBy(F.col("id").cast("string").alias("record_key"))
+        return rows.agg(F.min(column).alias("text")).select(F.lit(name).alias("record_table"), "record_key", "text")
+
+    return records("decisions", "content").unionByName(records("tool_calls", "input_snippet"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    spans = personal_data.find_personal_data(_texts(spark, folder), table(spark, folder, "name_parts"))
+    return spans.select("record_table", "record_key", "pii_type", "pii_value").distinct()
+
+
+def p3_sanitised(spark: SparkSession, folder: str) -> DataFrame:
+    texts = _texts(spark, folder)
+    return personal_data.sanitise(texts, personal_data.find_personal_data(texts, table(spark, folder, "name_parts")))
+
+
 def _near_decisions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     decisions = table(spark, folder, "decisions").select("id", "title", "content")
     return decisions, *near_duplicates.near_duplicates(decisions, "id", "title", "content", shingle=3, threshold=0.5)
@@ -60,5 +80,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_statistics(spark, folder).where("doc_kind <> 'prose'").select("doc_id", "doc_kind")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_validation": p6_validation, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_validation": p6_validation, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_statistics": p9_statistics}
 ORACLES: dict[str, str] = {}
