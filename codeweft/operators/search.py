@@ -20,6 +20,10 @@ def query_terms(query: str) -> list[str]:
     return sorted({w.lower() for w in words if w not in ("OR", "AND", "NOT")})
 
 
+def _count(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda t: t == term))
+
+
 def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     """(key, term, tf): weighted term frequencies over the fields, one row per document and term."""
     parts = [docs.select(F.col(key), F.explode(terms_of(F.coalesce(f, F.lit("")))).alias("term")).groupBy(key, "term").agg((F.count("*") * float(w)).alias("tf")) for f, w in fields.items()]
@@ -35,7 +39,7 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, float], query: str, *, k1:
     asked = query_terms(query)
     words = {f: terms_of(F.coalesce(f, F.lit(""))) for f in fields}
     length = reduce(lambda x, y: x + y, [F.size(w) for w in words.values()])
-    tf = [reduce(lambda x, y: x + y, [F.size(F.filter(w, lambda t, a=a: t == a)) * float(fields[f]) for f, w in words.items()]).alias(f"tf_{i}") for i, a in enumerate(asked)]
+    tf = [reduce(lambda x, y: x + y, [_count(w, a) * float(fields[f]) for f, w in words.items()]).alias(f"tf_{i}") for i, a in enumerate(asked)]
     rows = docs.select(key, length.alias("length"), *tf)
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(asked))])
     hit = reduce(lambda x, y: x & y, [F.col(f"tf_{i}") > 0 for i in range(len(asked))], F.lit(bool(asked)))
