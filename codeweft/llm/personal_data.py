@@ -242,8 +242,8 @@ def find_personal_data(records: DataFrame, name_parts: DataFrame, *, disclosure:
     unpivoted = beside.select("domain", "term", "n", F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.col(t).alias("hits")) for t in ("phone", "id_number", "name")])).alias("h"))
     rated = unpivoted.select("domain", "term", "n", "h.type", "h.hits").where(F.col("hits") >= support).join(F.broadcast(base), ["domain", "type"])
     prior = F.greatest(F.col("type_n") / F.col("all_n"), F.lit(1e-9))
-    strength = F.when(prior >= 1, 1.0).otherwise(F.ln(F.col("hits") / (F.col("n") + 1) / prior) / -F.ln(prior))
-    revealing = rated.withColumn("strength", strength).where((F.col("strength") >= disclosure) & (F.col("hits") >= confidence * (F.col("n") + 1)))
+    strength = F.when(prior >= 1, 1.0).otherwise(F.ln(F.col("hits") / F.col("n") / prior) / -F.ln(prior))
+    revealing = rated.withColumn("strength", strength).where((F.col("strength") >= disclosure) & (F.col("hits") >= confidence * F.col("n")))
 
     doubtful = open_kinds.where("not decisive")
     judged = doubtful.select("id", "domain", "kind", F.explode("terms").alias("term")).join(revealing, ["domain", "term"])
