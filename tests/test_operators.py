@@ -85,7 +85,7 @@ def test_scan_and_secrets(spark, rows):
 def test_stream_agrees_with_batch_on_closed_hours(spark, tmp_path):
     data = [(i, f"s{i % 2}", NOW + timedelta(minutes=7 * i), float(i), 1 + i % 2) for i in range(60)]
     df = spark.createDataFrame(data, "span_id long, service string, ts timestamp, duration double, status int")
-    df.write.parquet(str(tmp_path / "in"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = stream.read_stream(spark, str(tmp_path / "in"), df.schema)
     query = stream.hourly_stream(stream.unique_spans(source, ["span_id"], late="10 minutes"), "service", late=None).writeStream.format("memory").queryName("hours").outputMode("append").trigger(availableNow=True)
     query.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
