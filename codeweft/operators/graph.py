@@ -45,29 +45,28 @@ def coupling(edges: DataFrame) -> DataFrame:
     return d.select("node", "ca", "ce", round_half_up(i, 3).alias("instability"), kind.alias("assessment"))
 
 
-def page_rank(edges: DataFrame, *, damping: float = 0.85, iterations: int = 20, tolerance: float | None = None, every: int = 5) -> DataFrame:
+def page_rank(edges: DataFrame, *, damping: float = 0.85, iterations: int = 20, tolerance: float | None = None) -> DataFrame:
     """(node, rank) over edges with their multiplicity; the mass of sinks is spread evenly.
 
     Stops after ``iterations``, or when the total change falls below ``tolerance``. The number of
-    nodes and the sink mass are scalars; ranks never reach the driver. Lineage is cut every few
-    rounds, and each round is one join and one aggregation over the edges, hash-partitioned once.
+    nodes and the sink mass are scalars; ranks never reach the driver. A round uses the ranks
+    several times, so each round's ranks are a written table, which also cuts the lineage.
     """
+    edges = materialise(edges.select("src", "dst"))
     out = edges.groupBy("src").agg(F.count("*").alias("_out"))
     links = materialise(edges.join(out, "src").select("src", "dst", (1.0 / F.col("_out")).alias("share")))
-    nodes = materialise(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("_out").isNull().alias("sink")))
-    n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    nodes = materialise(nodes.join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("_out").isNull().alias("sink")))
+    n, n_sinks = nodes.agg(F.count("*"), F.count_if("sink")).first()
+    ranks, lost = nodes.withColumn("rank", F.lit(1.0 / max(n, 1))), n_sinks / max(n, 1)
     for i in range(iterations):
-        lost = ranks.agg(F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0)).alias("lost"))
         gained = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
-        after = ranks.select("node", "sink", F.col("rank").alias("before")).join(gained, "node", "left").crossJoin(F.broadcast(lost))
-        rank = (1 - damping) / n + damping * (F.coalesce("gain", F.lit(0.0)) + F.col("lost") / n)
-        ranks = after.select("node", "sink", rank.alias("rank"), F.abs(rank - F.col("before")).alias("change"))
-        if tolerance is not None or (i + 1) % every == 0:
-            ranks = materialise(ranks)
-        if tolerance is not None and (ranks.agg(F.sum("change")).first()[0] or 0) < tolerance:
+        after = ranks.select("node", "sink", F.col("rank").alias("before")).join(gained, "node", "left")
+        rank = (1 - damping) / n + damping * (F.coalesce("gain", F.lit(0.0)) + lost / n)
+        ranks = materialise(after.select("node", "sink", rank.alias("rank"), F.abs(rank - F.col("before")).alias("change")))
+        lost, change = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)), F.sum("change")).first()
+        if tolerance is not None and change < tolerance:
             break
-        ranks = ranks.drop("change")
     return ranks.select("node", "rank")
 
 
@@ -76,6 +75,7 @@ def reach(edges: DataFrame, starts: DataFrame, *, max_depth: int | None = None,
 
     Breadth first: each level joins the frontier with the edges and drops the visited nodes.
     """
+    edges = materialise(edges.select("src", "dst"))
     frontier = materialise(starts.select(F.col(start).alias("node")).where("node is not null").distinct())
     levels = [frontier.withColumn("depth", F.lit(0))]
     visited, depth = frontier, 0
@@ -98,7 +98,7 @@ def traverse_edges(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataF
 
 def shortest_paths(edges: DataFrame, source, targets: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(node, depth, path): a shortest path from ``source``; ties take the smallest predecessor."""
-    spark = edges.sparkSession
+    spark, edges = edges.sparkSession, materialise(edges.select("src", "dst"))
     kind = edges.schema["src"].dataType.simpleString()
     frontier = materialise(spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.array(F.lit(source).cast(kind)).alias("path")))
     found, visited, depth = [frontier.withColumn("depth", F.lit(0))], frontier.select("node"), 0
@@ -124,7 +124,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     nodes that reach the colour's root backwards form its component. Repeats on the rest.
     """
     live = materialise(edges.where("src <> dst").select("src", "dst").distinct())
-    parts = []
+    parts: list[DataFrame] = []
     while True:
         while True:  # trim: keep edges whose ends have both an incoming and an outgoing edge
             both = live.select(F.col("src").alias("n")).distinct().join(live.select(F.col("dst").alias("n")).distinct(), "n")

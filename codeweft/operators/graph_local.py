@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from codeweft.operators.components import connected_components
 from codeweft.operators.graph import symmetric, weighted
+from codeweft.runtime import materialise
 
 #: Most edges an adjacency may have that every task holds.
 LOCAL_EDGES = 5_000_000
@@ -64,6 +65,7 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
 
 
 def _by_component(edges: DataFrame) -> DataFrame:
+    edges = materialise(edges)
     component = connected_components(edges, "src", "dst").withColumnRenamed("node", "src")
     return edges.join(component, "src")
 
