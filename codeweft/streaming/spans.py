@@ -18,10 +18,11 @@ def otlp_spans(payloads: DataFrame, body: str = "body") -> DataFrame:
     rows = payloads.select(F.explode(F.from_json(body, kind)["resourceSpans"]).alias("r"))
     service = F.get(F.filter("r.resource.attributes", lambda a: a["key"] == "service.name"), 0)["value"]["stringValue"]
     spans = rows.select(F.coalesce(service, F.lit("unknown")).alias("service"), F.explode(F.flatten(F.col("r.scopeSpans.spans"))).alias("s"))
-    start, end = F.col("s.startTimeUnixNano").cast("long"), F.col("s.endTimeUnixNano").cast("long")
+    micros = F.expr("CAST(s.startTimeUnixNano AS BIGINT) DIV 1000")  # whole numbers: a double has too few digits
+    took = F.expr("(CAST(s.endTimeUnixNano AS BIGINT) - CAST(s.startTimeUnixNano AS BIGINT)) DIV 1000")
     return spans.select(
         F.col("s.traceId").alias("trace_id"), F.col("s.spanId").alias("span_id"), F.col("s.parentSpanId").alias("parent_id"), "service", F.col("s.name").alias("operation"),
-        F.timestamp_micros(F.floor(start / 1000)).alias("ts"), F.coalesce(F.floor((end - start) / 1000), F.lit(0)).alias("duration_us"), F.coalesce("s.status.code", F.lit(0)).alias("status"),
+        F.timestamp_micros(micros).alias("ts"), F.coalesce(took, F.lit(0)).alias("duration_us"), F.coalesce("s.status.code", F.lit(0)).alias("status"),
     )
 
 
