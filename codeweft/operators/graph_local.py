@@ -2,7 +2,8 @@
 
 Betweenness is a sum over sources, so sources are spread over tasks and each task holds the
 adjacency (broadcast behind a checked bound). Bridges and Louvain moves depend on one visiting
-order; they run per weakly connected component, the components spread over tasks.
+order; a graph up to ``LOCAL_EDGES`` edges is one piece, a larger one is cut into its weakly
+connected components, which spread over tasks. Ranks have a distributed twin for larger graphs.
 """
 
 from __future__ import annotations
@@ -64,8 +65,11 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
     return parts.groupBy("src", "dst").agg(F.round(F.sum("part"), 6).alias("betweenness"))
 
 
-def _by_component(edges: DataFrame) -> DataFrame:
+def _pieces(edges: DataFrame) -> DataFrame:
+    """The graph as one piece while a task may hold it, else its weak components."""
     edges = materialise(edges)
+    if edges.count() <= LOCAL_EDGES:
+        return edges.withColumn("component", F.lit(0))
     component = connected_components(edges, "src", "dst").withColumnRenamed("node", "src")
     return edges.join(component, "src")
 
@@ -146,14 +150,34 @@ def _strong_of(pdf: pd.DataFrame) -> pd.DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component, size) like the distributed operator, per weakly connected component."""
     kind = edges.schema["src"].dataType.simpleString()
-    return _by_component(edges.where("src <> dst").select("src", "dst").distinct()).groupBy("component").applyInPandas(_strong_of, f"node {kind}, component {kind}, size bigint")
+    return _pieces(edges.where("src <> dst").select("src", "dst").distinct()).groupBy("component").applyInPandas(_strong_of, f"node {kind}, component {kind}, size bigint")
+
+
+def page_rank(edges: DataFrame, *, damping: float = 0.85, iterations: int = 20, tolerance: float | None = None) -> DataFrame:
+    """(node, rank) like the distributed operator, for graphs that one task may hold."""
+
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, ends = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
+        src, dst, n = ends[: len(pdf)], ends[len(pdf) :], len(nodes)
+        out = np.bincount(src, minlength=n)
+        sink, ranks = out == 0, np.full(n, 1.0 / n)
+        for _ in range(iterations):
+            gained = np.bincount(dst, (ranks / np.maximum(out, 1))[src], minlength=n)
+            after = (1 - damping) / n + damping * (gained + ranks[sink].sum() / n)
+            change, ranks = np.abs(after - ranks).sum(), after
+            if tolerance is not None and change < tolerance:
+                break
+        return pd.DataFrame({"node": nodes, "rank": ranks})
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.select("src", "dst").groupBy(F.lit(0).alias("_")).applyInPandas(rank, f"node {kind}, rank double")
 
 
 def bridges(edges: DataFrame) -> DataFrame:
     """(kind, a, b): bridges (a < b) and articulation points (a = b) of the undirected graph."""
     kind = edges.schema["src"].dataType.simpleString()
     both = symmetric(edges.where("src <> dst"))
-    return _by_component(both).groupBy("component").applyInPandas(_bridges_of, f"kind string, a {kind}, b {kind}")
+    return _pieces(both).groupBy("component").applyInPandas(_bridges_of, f"kind string, a {kind}, b {kind}")
 
 
 def _louvain(pdf: pd.DataFrame, sweeps: int = 20, resolution: float = 1.0) -> pd.DataFrame:
@@ -193,4 +217,4 @@ def _louvain(pdf: pd.DataFrame, sweeps: int = 20, resolution: float = 1.0) -> pd
 def communities(edges: DataFrame) -> DataFrame:
     """(node, community) by Louvain local moving, a community named by its smallest node."""
     kind = edges.schema["src"].dataType.simpleString()
-    return _by_component(weighted(edges)).groupBy("component").applyInPandas(lambda pdf: _louvain(pdf), f"node {kind}, community {kind}")
+    return _pieces(weighted(edges)).groupBy("component").applyInPandas(lambda pdf: _louvain(pdf), f"node {kind}, community {kind}")

@@ -16,13 +16,17 @@ def test_coupling_of_a_fan(spark, rows):
     assert rows(graph.coupling(edges(spark, [(1, 2), (1, 3)]))) == [(1, 0, 2, 1.0, "unstable"), (2, 1, 0, 0.0, "stable"), (3, 1, 0, 0.0, "stable")]
 
 
-def test_page_rank_sums_to_one(spark):
-    ranks = graph.page_rank(edges(spark, CYCLE_TAIL), iterations=12).collect()
+@pytest.mark.parametrize("operator", [graph.page_rank, graph_local.page_rank])
+def test_page_rank_sums_to_one(spark, operator):
+    ranks = operator(edges(spark, CYCLE_TAIL), iterations=12).collect()
     assert sum(r["rank"] for r in ranks) == pytest.approx(1, abs=1e-9)
+    stopped = operator(edges(spark, CYCLE_TAIL), iterations=100, tolerance=0.2).collect()
+    assert len(stopped) == 4
 
 
-def test_page_rank_counts_parallel_edges(spark):
-    ranks = {r["node"]: r["rank"] for r in graph.page_rank(edges(spark, [(1, 2), (1, 2), (1, 3)]), iterations=1).collect()}
+@pytest.mark.parametrize("operator", [graph.page_rank, graph_local.page_rank])
+def test_page_rank_counts_parallel_edges(spark, operator):
+    ranks = {r["node"]: r["rank"] for r in operator(edges(spark, [(1, 2), (1, 2), (1, 3)]), iterations=1).collect()}
     base = 0.15 / 3 + 0.85 * (2 / 3) / 3
     assert ranks[2] == pytest.approx(base + 0.85 / 3 * 2 / 3) and ranks[3] == pytest.approx(base + 0.85 / 3 / 3)
 
@@ -41,7 +45,9 @@ def test_cycles(spark, rows, operator):
     assert rows(operator(edges(spark, two))) == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (7, 7, 2), (8, 7, 2)]
 
 
-def test_bridge_and_communities(spark, rows):
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_bridge_and_communities(spark, rows, monkeypatch, bound):
+    monkeypatch.setattr(graph_local, "LOCAL_EDGES", bound)
     e = edges(spark, CLIQUES)
     assert rows(graph_local.bridges(e)) == [("articulation", 4, 4), ("articulation", 5, 5), ("bridge", 4, 5)]
     assert {r["community"] for r in graph_local.communities(e).collect()} == {1, 5}
