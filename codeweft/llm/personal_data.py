@@ -44,7 +44,7 @@ _ADDRESS = re.compile(
 #: Shapes of numbers: type, whether the shape decides, pattern.
 _NUMBERS = [
     ("id_number", True, re.compile(r"(?<![\w.+-])[A-Z]\d{4}[A-Z]\d{3}(?![\w-])")),
-    ("id_number", True, re.compile(r"(?<![\w.+-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w-])")),
+    ("id_number", True, re.compile(r"(?<![\w.+-])(?!(?:AT|BY|IN|IS|NO|OF|ON|OR|TO) )[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w-])")),
     ("id_number", True, re.compile(r"(?<![\w.+-])\d{8}-?[A-HJ-NP-TV-Z](?![\w-])")),
     ("id_number", True, re.compile(r"(?<![\w.+-])\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}(?![\w-])")),
     ("id_number", True, re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])")),
