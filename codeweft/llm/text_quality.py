@@ -41,10 +41,14 @@ def _signs(text: str) -> int:
 
 
 def _mostly(pattern: re.Pattern, lines: list[str], share: float) -> bool:
-    """Whether at least ``share`` of the lines match; the first two lines are asked first."""
-    if not (pattern.match(lines[0]) or pattern.match(lines[min(1, len(lines) - 1)])):
-        return False
-    return sum(map(bool, map(pattern.match, lines))) >= share * len(lines)
+    """Whether at least ``share`` of all lines match; ends once the outcome is certain."""
+    need, hits, left = share * len(lines), 0, len(lines)
+    for line in lines:
+        left -= 1
+        hits += bool(pattern.match(line))
+        if hits >= need or hits + left < need:
+            break
+    return hits >= need
 
 
 def _is_table(block: str, lines: list[str], known: float) -> bool:
