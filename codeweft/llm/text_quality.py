@@ -3,7 +3,9 @@
 A document is cut into blocks at blank lines. Each block is prose, list, table or junk by rules
 over its lines' markers and delimiters, its words (share of common function words), its signs and
 its repetition. Beside the usual statistics there are repetition statistics: shares of duplicate
-lines and paragraphs, and the share of characters that the most frequent word n-gram covers.
+lines and paragraphs, and the share of characters that the most frequent word n-gram covers. They
+take part in the kind: blocks and lines of prose that the document had before are junk, and so is
+all of its prose if one n-gram covers more than half of the letters of its 50 or more words.
 """
 
 from __future__ import annotations
@@ -126,16 +128,35 @@ def _coverage(words: list[str], chars: int) -> float:
     return min(best / chars, 1.0)
 
 
+def _copied(block: str, known: set[str]) -> int:
+    """Characters of the block's lines that the document's prose had before; its lines become known."""
+    copied = 0
+    for line in block.split("\n"):
+        bare = line.strip().lower()
+        if bare in known:
+            copied += len(line)
+        elif bare:
+            known.add(bare)
+    return copied
+
+
 def _measure(text: str, lang: str | None, by_lang: dict[str, frozenset[str]], common: frozenset[str]) -> tuple:
     text = _LINE_ENDS.sub("\n", text)
     shares, blocks, words = dict.fromkeys(KINDS, 0), [], []
+    known_blocks: set[str] = set()
+    known_lines: set[str] = set()
     for block in _BLOCKS.split(text):
         parts = block.lower().split()
         if parts:
             blocks.append(block)
             bare = [w.strip(_OUTER) for w in parts]
             words += bare
-            shares[block_kind(block.strip("\n"), parts, sum(map(common.__contains__, bare)) / len(bare))] += len(block)
+            whole = " ".join(parts)
+            kind = "junk" if whole in known_blocks else block_kind(block.strip("\n"), parts, sum(map(common.__contains__, bare)) / len(bare))
+            known_blocks.add(whole)
+            copied = _copied(block, known_lines) if kind == "prose" else 0
+            shares[kind] += len(block) - copied
+            shares["junk"] += copied
     total = sum(shares.values())
     if not total:
         return (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, None)
@@ -144,6 +165,9 @@ def _measure(text: str, lang: str | None, by_lang: dict[str, frozenset[str]], co
     words = list(filter(None, words))
     letters = sum(map(len, words))
     own = by_lang.get((lang or "").lower()[:2]) or common
+    coverage = _coverage(words, letters or 1)
+    if coverage > 0.5 and len(words) >= 50:  # a short sentence may say a phrase twice
+        shares["junk"], shares["prose"] = shares["junk"] + shares["prose"], 0
     kind = max(("list", "table", "junk"), key=lambda k: shares[k]) if 2 * shares["prose"] < total else "prose"
     return (
         len(words),
@@ -153,7 +177,7 @@ def _measure(text: str, lang: str | None, by_lang: dict[str, frozenset[str]], co
         sum(map(own.__contains__, words)) / len(words) if words else 0.0,
         1 - len(set(lines)) / len(lines),
         1 - len(set(blocks)) / len(blocks),
-        _coverage(words, letters or 1),
+        coverage,
         *(shares[k] / total for k in KINDS),
         kind,
     )
