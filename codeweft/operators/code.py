@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.exprs import clamp, jaccard, round_half_up, segments, trigrams
 from codeweft.operators.graph import reach
 from codeweft.operators.history import weighted_score
+from codeweft.runtime import materialise
 
 
 def resolve_names(wanted: DataFrame, symbols: DataFrame, name: str, homonyms: int = 10) -> DataFrame:
@@ -56,20 +57,50 @@ def dead_code(symbols: DataFrame, signals: dict[str, DataFrame], least: float =
 
 
 def duplicate_names(symbols: DataFrame, least: float = 0.6) -> DataFrame:
-    """Pairs of symbols of different files whose names are near: trigrams, kind, parameters, parts.
+    """All pairs of symbols of different files whose names are near: trigrams, kind, parameters, parts.
 
-    Candidates share the sorted parts of their names' first and last segments' initials; the join
-    key is the pair of name parts that both have, so no all-pairs comparison takes place.
+    No all-pairs comparison takes place, yet every pair with a score of ``least`` is met. Pairs
+    that share two parts, or have the same sole part, meet by these. Parts of all others add at
+    most 0.15 / max(2, number of parts), so ``least`` bounds their trigram similarity from below,
+    by whether kind and parameters agree: they meet by a trigram of their prefixes, that is of
+    the rarest trigrams, as many as cannot all be missed at that similarity.
     """
-    parts = segments(F.col("name"))
-    rows = symbols.where("name is not null").select("id", "file_id", "name", "kind", "param_count", F.array_sort(F.array_distinct(parts)).alias("_p"))
-    two = F.when(F.size("_p") >= 2, F.flatten(F.transform("_p", lambda x, i: F.transform(F.slice(F.col("_p"), i + 2, F.size("_p")), lambda y: F.concat_ws("|", x, y))))).otherwise(F.col("_p"))
-    keyed = rows.withColumn("_k", F.explode(F.array_distinct(two)))
-    a = keyed.select("_k", *[F.col(c).alias(f"{c}_a") for c in ("id", "file_id", "name", "kind", "param_count", "_p")])
-    b = keyed.select("_k", *[F.col(c).alias(f"{c}_b") for c in ("id", "file_id", "name", "kind", "param_count", "_p")])
-    pairs = a.join(b, "_k").where("id_a < id_b and file_id_a <> file_id_b").drop("_k").dropDuplicates(["id_a", "id_b"])
-    score = jaccard(trigrams(F.col("name_a")), trigrams(F.col("name_b"))) * 0.45 + F.when(F.col("kind_a").eqNullSafe(F.col("kind_b")), 0.15).otherwise(0.0) + F.when(F.col("param_count_a").eqNullSafe(F.col("param_count_b")), 0.25).otherwise(0.0) + jaccard(F.col("_p_a"), F.col("_p_b")) * 0.15
-    return pairs.select("id_a", "id_b", round_half_up(score, 4).alias("score")).where(F.col("score") >= least)
+    low = float(least) - 0.00005 - 1e-9  # scores are rounded to four digits
+    rows = symbols.where("name is not null").select("id", "file_id", "name", "kind", "param_count", F.array_sort(F.array_distinct(segments(F.col("name")))).alias("_p"), trigrams(F.col("name")).alias("_g"))
+    grams = rows.select("name", "_g").dropDuplicates(["name"]).select("name", F.explode("_g").alias("_t"))
+    order = grams.join(grams.groupBy("_t").agg(F.count("*").alias("_n")), "_t").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("_n", F.xxhash64("_t").alias("_h")))).alias("_o"))
+    rows = materialise(rows.drop("_g").join(order.select("name", F.col("_o._h").alias("_t")), "name"))
+    base = ["id", "file_id", "name", "kind", "param_count", "_p", "_t"]
+    n_parts, n_grams = F.size("_p"), F.size("_t")
+
+    def near(a: Column, b: Column) -> Column:
+        return jaccard(a, b) * 0.45 + F.when(F.col("kind_a").eqNullSafe(F.col("kind_b")), 0.15).otherwise(0.0) + F.when(F.col("param_count_a").eqNullSafe(F.col("param_count_b")), 0.25).otherwise(0.0) + jaccard(F.col("_p_a"), F.col("_p_b")) * 0.15
+
+    def met(keyed: DataFrame, also: Column) -> DataFrame:
+        a, b = (keyed.select("_k", *[F.col(c).alias(f"{c}_{side}") for c in keyed.columns if c != "_k"]) for side in "ab")
+        pairs = a.join(b, "_k").where("id_a < id_b and file_id_a <> file_id_b").where(also)
+        return pairs.where(near(F.col("_t_a"), F.col("_t_b")) >= low).select("id_a", "id_b", "name_a", "name_b", "kind_a", "kind_b", "param_count_a", "param_count_b", "_p_a", "_p_b")
+
+    two = F.when(n_parts >= 2, F.flatten(F.transform("_p", lambda x, i: F.transform(F.slice(F.col("_p"), i + 2, n_parts), lambda y: F.concat_ws("|", x, y))))).when(n_parts == 1, F.col("_p")).otherwise(F.array(F.lit("")))
+    out = met(rows.select(*base, F.explode(F.array_distinct(two)).alias("_k")), F.lit(True))
+    for i, (given, same) in enumerate([(0.4, ["kind", "param_count"]), (0.25, ["param_count"]), (0.15, ["kind"]), (0.0, [])]):
+        need = low - given
+        if need > 0.45 + 0.075:
+            continue
+        share = (F.lit(need) - F.lit(0.15) / F.greatest(n_parts, F.lit(2))) / 0.45
+        prefix = F.slice("_t", 1, F.greatest(n_grams - F.ceil(share * n_grams - 1e-9).cast("int") + 1, F.lit(0)))
+        held = rows.select(*base, share.alias("_s"), n_grams.alias("_c"), prefix.alias("_x")).where(F.col("_s") <= 1 + 1e-9)
+        if need <= 0.075:  # pairs without a common trigram: by one part, or all of them
+            keys = F.concat(F.col("_t"), F.transform("_p", lambda x: F.xxhash64(x)), F.array(F.lit(0).cast("bigint")) if need <= 0 else F.array().cast("array<bigint>"))
+            keyed, possible = held.select(*base, F.explode(keys).alias("_v")), F.lit(True)
+        else:
+            keyed = held.select(*base, "_s", "_c", F.posexplode("_x").alias("_i", "_v"))
+            most = F.least(F.col("_c_a") - F.col("_i_a"), F.col("_c_b") - F.col("_i_b"))
+            bound = F.greatest("_s_a", "_s_b") - 1e-9
+            possible = most * (bound + 1) >= bound * (F.col("_c_a") + F.col("_c_b"))
+        out = out.unionByName(met(keyed.withColumn("_k", F.xxhash64(F.lit(i), *same, "_v")).drop("_v"), possible))
+    score = near(trigrams(F.col("name_a")), trigrams(F.col("name_b")))
+    return out.dropDuplicates(["id_a", "id_b"]).select("id_a", "id_b", round_half_up(score, 4).alias("score")).where(F.col("score") >= least)
 
 
 def clone_groups(texts: DataFrame, key: str, text: str, least_lines: int = 10) -> DataFrame:
