@@ -51,6 +51,15 @@ def chunk(text: Column, limit: int = 2000) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 
+def chunks(text: Column, limit: int = 2000) -> Column:
+    """A text as successive chunks of at most ``limit`` characters that together are the whole text.
+
+    Each ends like ``chunk``, at its last sentence end if that keeps more than half, else at the limit.
+    """
+    pattern = rf"(?s)(.{{1,{limit}}}\z|.{{{limit // 2},{limit - 2}}}\.(?= )|.{{1,{limit}}})"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+
 def latin_share(text: Column) -> Column:
     """Share of a text's letters that are Latin; 1 without letters."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))

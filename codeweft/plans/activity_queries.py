@@ -113,8 +113,8 @@ def n11_mined(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def n12_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where(F.length("text") >= 50).select("doc_id", memory.chunk(F.col("text"), 400).alias("chunk"))
-    return docs.select("doc_id", F.length("chunk").cast("long").alias("length"))
+    docs = table(spark, folder, "documents").where(F.length("text") >= 50).select("doc_id", F.posexplode(memory.chunks(F.col("text"), 400)).alias("chunk_index", "chunk"))
+    return docs.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("chunk").cast("long").alias("length"))
 
 
 def q1_services(spark: SparkSession, folder: str) -> DataFrame:
