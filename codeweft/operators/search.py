@@ -67,6 +67,18 @@ def vector_top(vectors: DataFrame, key: str, vector: str, probe: Column, k: int)
     return rows.orderBy(F.col("similarity").desc(), key).limit(k)
 
 
+def vector_search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(query, key, similarity, rank): for each row of ``queries`` the k other vectors most similar to it.
+
+    Every query is scored against every vector; each task keeps k rows a query before the shuffle.
+    """
+    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
+    pairs = vectors.select(key, vector).crossJoin(asked).where(F.col(key) != F.col("query"))
+    rows = pairs.select("query", key, round_half_up(cosine(F.col(vector), F.col("_q")), 6).alias("similarity"))
+    order = Window.partitionBy("query").orderBy(F.col("similarity").desc(), key)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def ranked(df: DataFrame, score: str, key: str, *, base: int = 0, top: int | None = None) -> DataFrame:
     """Rank of each row by descending score within a channel, ties by key, at most ``top`` rows."""
     rows = df if top is None else df.orderBy(F.col(score).desc(), key).limit(top)
