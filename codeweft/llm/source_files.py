@@ -21,10 +21,12 @@ from codeweft.runtime import last_version, materialise
 TRAIN_ROWS, FEATURES = 20_000, 1 << 16
 
 # Headers that tools leave, names of places and suffixes of files nobody writes by hand.
-_MADE = r"(?i)^[\s/#*!;<>\"'-]*(code generated|auto-?generated|@generated|generated (by|from|with|using)|(this (file|code) (is|was) |automatically )(auto|gener|produced))"
+_MADE = r"(?i)(^|//|[/*]\*|\*/|#|--|;|<!--)[\s/#*!;<>\"'-]*(code generated|auto-?generated|@generated|generated (by|from|with|using)|(this (file|code) (is|was) |automatically )(auto|gener|produced))"
 _FOREIGN = r"(?i)^[\s/#*!;<>\"'-]*(@license|@preserve|copyright .*contributors|imported from upstream|vendored from)|^/\*!|see upstream|its contributors"
 _OWN_WORDS = r"(?i)^[\s/#*!;<>\"'-]*(hand-|writes |decides |minifies )|not generated"
 _DATA = r"^(#define \w+ |[^/#]{0,60}|.{0,40}\"data:[a-z/-]{0,40};)(\[\[|\[\(|\[-?\d|\{ ?-?\d|0x[0-9a-f]|base64,|\"[A-Za-z0-9+/]{12}|b\"\\x|VALUES \()"
+# The same behind a lead of any length, where one value alone may be an index or a constant.
+_DATA_LATE = r"^[^/#]*[=(:{\[,]\s*(\[\[|\[\(|\[-?\d[\d.]*,|\{ ?-?\d[\d.]*,|0x[0-9a-f]+,|\"[A-Za-z0-9+/]{24}|b\"\\x)|\"data:[a-z/-]*;base64,| VALUES \("
 _SQUEEZED = r"^(!function\(|\(\(\)=>|\(function\(|\.[a-z]\{|var e=|\"use strict\";)"
 _PLACES = (
     r"(^|/)(node_modules|bower_components|third_party|Pods|site-packages|\.venv|\.next|__generated__|__snapshots__|lcov-report|coverage|generated-sources)/"
@@ -50,7 +52,7 @@ def _giveaways(files: DataFrame) -> DataFrame:
     head, own = F.col("head"), F.col("head").rlike(_OWN_WORDS)
     header = (head.rlike(_MADE) | head.rlike(_FOREIGN)) & ~own
     bulk = F.coalesce(F.col("longest") >= 10_000, F.lit(False))
-    content = ~own & (head.rlike(_DATA) | head.rlike(_SQUEEZED))
+    content = ~own & (head.rlike(_DATA) | head.rlike(_DATA_LATE) | head.rlike(_SQUEEZED))
     place = F.col("path").rlike(_PLACES) | F.col("path").rlike(_NAMES)
     plain = ~place & ~bulk & ~header & ~content & (F.col("lines").isNotNull() | (F.col("ignored") == 0))
     label = F.when(header | content | bulk | place, 1.0).when(plain, 0.0)
@@ -79,7 +81,7 @@ def _tokens() -> Column:
     last = F.regexp_extract(name, r"([a-z0-9]+)\.", 1)
     first = F.regexp_extract(name, r"^([a-zA-Z0]+)", 1)
     inner = F.get(folders, F.size(folders) - 1)
-    head = F.when(F.col("head").rlike(_MADE) | F.col("head").rlike(_FOREIGN) | F.col("head").rlike(_OWN_WORDS), "").otherwise(F.regexp_replace(F.substring("head", 1, 24), "[0-9]", "0"))
+    head = F.when(F.col("head").rlike(_MADE) | F.col("head").rlike(_FOREIGN) | F.col("head").rlike(_OWN_WORDS), "").otherwise(F.regexp_replace("head", "[0-9]", "0"))
     shape = [
         _bucket(F.col("bytes"), 2, "b:"), _bucket(F.col("longest"), 4, "m:"), _bucket(F.col("bytes") / F.col("lines"), 2, "w:"),
         F.concat(F.lit("i:"), F.col("ignored")), F.concat_ws("|", F.lit("l"), "language"), F.concat_ws("|", F.lit("le"), "language", ending),
