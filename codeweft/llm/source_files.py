@@ -1,146 +1,245 @@
 """Generated, minified, vendored and data files among hand-written sources.
 
-A linear support-vector machine is trained on hashed character n-grams of the path, path
-components, language, size shape and the kept first line. Its labels come from *giveaways*, that
-is headers that name a generator or a foreign project, well-known path patterns and shapes no
-hand-written file has. Giveaway headers are masked in the features, so that the machine has to
-learn from everything else and also judges files whose header was not kept. Validation holds out
-whole repositories. The decision adds the header evidence back to the machine's margin.
+Linear support-vector machines are trained on hashed character n-grams of the path and of the kept
+first line, path components, language and size shape. Labels come from *giveaways* on a bounded
+sample: headers that name a generator or a foreign project, values dumped as code, well-known places
+and lines no hand-written file has. Rows without a giveaway count as hand-written only if their
+metadata was kept and shows an ordinary file; everything else stays unlabelled and is for the
+machine alone. Giveaway phrases are masked in the features, and rows whose label does not rest on
+the metadata enter a second time without it, so that files of unknown shape can be judged too.
+
+Repositories are dealt into folds. A file is judged by the machine that was fitted on the other
+folds, never by one that saw its own label or its repository's, and by its margin alone.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LinearSVC, LinearSVCModel
-from pyspark.ml.feature import HashingTF, Normalizer
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.runtime import last_version, materialise
 
-#: Labelled rows that the machine is fitted on, and its hashed features.
-TRAIN_ROWS, FEATURES = 20_000, 1 << 16
+#: Most rows that are labelled for the machines (by order of a hash of the id), folds of
+#: repositories, and bits of a feature's number.
+TRAIN_ROWS, FOLDS, FEATURE_BITS = 9_000, 3, 16
+#: Weight of the squared hinge losses against the squared norm of the machine.
+COST = 4.0
 
-# Headers that tools leave, names of places and suffixes of files nobody writes by hand.
+# Headers that tools leave, values kept as code, names of places and of files nobody writes by hand.
 _MADE = r"(?i)(^|//|[/*]\*|\*/|#|--|;|<!--)[\s/#*!;<>\"'-]*(code generated|auto-?generated|@generated|generated (by|from|with|using)|(this (file|code) (is|was) |automatically )(auto|gener|produced))"
-_FOREIGN = r"(?i)^[\s/#*!;<>\"'-]*(@license|@preserve|copyright .*contributors|imported from upstream|vendored from)|^/\*!|see upstream|its contributors"
-_OWN_WORDS = r"(?i)^[\s/#*!;<>\"'-]*(hand-|writes |decides |minifies )|not generated"
+_FOREIGN = r"(?i)^[\s/#*!;<>\"'-]*(@license|@preserve|copyright .*contributors|imported from upstream|vendored from)|^/\*!"
 _DATA = r"^(#define \w+ |[^/#]{0,60}|.{0,40}\"data:[a-z/-]{0,40};)(\[\[|\[\(|\[-?\d|\{ ?-?\d|0x[0-9a-f]|base64,|\"[A-Za-z0-9+/]{12}|b\"\\x|VALUES \()"
 # The same behind a lead of any length, where one value alone may be an index or a constant.
 _DATA_LATE = r"^[^/#]*[=(:{\[,]\s*(\[\[|\[\(|\[-?\d[\d.]*,|\{ ?-?\d[\d.]*,|0x[0-9a-f]+,|\"[A-Za-z0-9+/]{24}|b\"\\x)|\"data:[a-z/-]*;base64,| VALUES \("
 _SQUEEZED = r"^(!function\(|\(\(\)=>|\(function\(|\.[a-z]\{|var e=|\"use strict\";)"
+_MENTION = r"(?i)generat|do not edit|licen[cs]e|copyright|upstream|vendor|minif|overwritten"
 _PLACES = (
     r"(^|/)(node_modules|bower_components|third_party|Pods|site-packages|\.venv|\.next|__generated__|__snapshots__|lcov-report|coverage|generated-sources)/"
     r"|^(vendor|external|deps|dist)/"
 )
 _NAMES = (
-    r"[.-]min\.(js|css)$|\.bundle\.js$|\.(js|css)\.map$|\.generated\.|\.pb\.go$|_pb2(_grpc)?\.py$|\.g\.dart$|\.Designer\.cs$|\.snap$|zz_generated\."
-    r"|(^|/)(package-lock\.json|poetry\.lock|yarn\.lock|Cargo\.lock|Gemfile\.lock|composer\.lock|go\.sum|pnpm-lock\.yaml)$|[.-][0-9a-f]{8}\.(js|css)$"
+    r"[.-]min\.(js|css)$|\.generated\.|\.pb\.go$|_pb2(_grpc)?\.py$|\.g\.dart$|\.Designer\.cs$|\.snap$|\.(js|css)\.map$|zz_generated\."
+    r"|(^|/)(package-lock\.json|poetry\.lock|yarn\.lock|Cargo\.lock|Gemfile\.lock|composer\.lock|go\.sum|pnpm-lock\.yaml)$"
 )
+_MASK = re.compile(r"(?i)(?:code |auto-?|@|automatically )?generated|do not edit|@license|@preserve|copyright|imported from upstream|vendored|minified|^/\*!")
 
 
 def _conform(files: DataFrame) -> DataFrame:
-    """Latest version of each file with its metadata parsed."""
+    """Latest version of each file with its metadata parsed and the fold of its repository."""
     columns = ["id", "path", "language", "gitignored", "byte_length", "metadata", "workspace", "loaded_at"]
     rows = last_version(files.where(F.col("id").isNotNull()).select(*columns), ["id"])
     meta = F.from_json("metadata", "lines bigint, maxLine bigint, head string")
-    return rows.select("id", F.coalesce("path", F.lit("")).alias("path"), F.lower("language").alias("language"), F.coalesce("gitignored", F.lit(0)).alias("ignored"), F.col("byte_length").alias("bytes"), "workspace", meta.alias("m")).select(
-        "*", F.col("m.lines").alias("lines"), F.col("m.maxLine").alias("longest"), F.coalesce("m.head", F.lit("")).alias("head")
-    ).drop("m")
-
-
-def _giveaways(files: DataFrame) -> DataFrame:
-    head, own = F.col("head"), F.col("head").rlike(_OWN_WORDS)
-    header = (head.rlike(_MADE) | head.rlike(_FOREIGN)) & ~own
+    path = F.coalesce("path", F.lit(""))
+    fold = F.pmod(F.xxhash64(F.coalesce("workspace", F.element_at(F.split(path, "/"), 1))), F.lit(FOLDS)).cast("int")
+    return rows.select(
+        "id", path.alias("path"), F.coalesce(F.lower("language"), F.lit("")).alias("language"), F.coalesce("gitignored", F.lit(0)).alias("ignored"),
+        F.col("byte_length").alias("bytes"), fold.alias("fold"), meta.alias("m"),
+    ).select("*", F.col("m.lines").alias("lines"), F.col("m.maxLine").alias("longest"), F.coalesce("m.head", F.lit("")).alias("head")).drop("m")
+
+
+def label_of_giveaways(files: DataFrame) -> DataFrame:
+    """Adds label (1 not hand-written, 0 hand-written, null unsure) and whether it rests on the first line."""
+    head = F.col("head")
+    header = head.rlike(_MADE) | head.rlike(_FOREIGN) | head.rlike(_DATA) | head.rlike(_DATA_LATE) | head.rlike(_SQUEEZED)
     bulk = F.coalesce(F.col("longest") >= 10_000, F.lit(False))
-    content = ~own & (head.rlike(_DATA) | head.rlike(_DATA_LATE) | head.rlike(_SQUEEZED))
     place = F.col("path").rlike(_PLACES) | F.col("path").rlike(_NAMES)
-    plain = ~place & ~bulk & ~header & ~content & (F.col("lines").isNotNull() | (F.col("ignored") == 0))
-    label = F.when(header | content | bulk | place, 1.0).when(plain, 0.0)
-    return files.withColumn("header", header | content).withColumn("label", label)
-
-
-def _grams(text: Column, n: int, mark: str) -> Column:
-    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat(F.lit(mark), text.substr(i, F.lit(n))))
-
-
-def _marked(values: Column, mark: str) -> Column:
-    return F.transform(values, lambda v: F.concat(F.lit(mark), v))
-
-
-def _bucket(value: Column, base: float, mark: str) -> Column:
-    return F.concat(F.lit(mark), F.coalesce(F.floor(F.log(float(base), F.greatest(value, F.lit(1)))).cast("string"), F.lit("?")))
-
-
-def _tokens() -> Column:
-    path = F.regexp_replace("path", "[0-9]", "0")
-    parts = F.split(path, "/")
-    folders = F.slice(parts, 1, F.size(parts) - 1)
-    name = F.element_at(parts, -1)
-    ending, top = F.regexp_extract(name, r"(\..*)$", 1), F.element_at(parts, 1)
-    last = F.regexp_extract(name, r"([a-z0-9]+)\.", 1)
-    first = F.regexp_extract(name, r"^([a-zA-Z0]+)", 1)
-    inner = F.get(folders, F.size(folders) - 1)
-    head = F.when(F.col("head").rlike(_MADE) | F.col("head").rlike(_FOREIGN) | F.col("head").rlike(_OWN_WORDS), "").otherwise(F.regexp_replace("head", "[0-9]", "0"))
-    shape = [
-        _bucket(F.col("bytes"), 2, "b:"), _bucket(F.col("longest"), 4, "m:"), _bucket(F.col("bytes") / F.col("lines"), 2, "w:"),
-        F.concat(F.lit("i:"), F.col("ignored")), F.concat_ws("|", F.lit("l"), "language"), F.concat_ws("|", F.lit("le"), "language", ending),
-        F.concat_ws("|", F.lit("te"), top, ending), F.concat_ws("|", F.lit("ts"), top, F.size(parts), ending), F.concat_ws("|", F.lit("ie"), inner, ending),
-        F.concat_ws("|", F.lit("la"), last, ending), F.concat_ws("|", F.lit("fi"), first), F.concat_ws("|", F.lit("ti"), top, inner),
-        F.when(F.col("lines").isNull(), "nometa"), F.when(F.col("head") != "", "hashead"),
-        F.concat(F.lit("ib:"), F.col("ignored"), _bucket(F.col("bytes"), 4, "")),
+    plain = F.coalesce(F.col("longest") < 1_000, F.lit(False)) & ~head.rlike(_MENTION)
+    return files.withColumn("by_head", header).withColumn("label", F.when(header | bulk | place, 1.0).when(plain, 0.0))
+
+
+def _grams(texts: list[str], n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of every run of ``n`` characters."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    starts = len(codes) - n + 1
+    if starts <= 0:
+        return row[:0], row[:0]
+    value = np.full(starts, salt, np.uint64)
+    for i in range(n):
+        value = (value ^ codes[i : i + starts]) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(31)
+    whole = row[:starts] == row[n - 1 :]
+    return row[:starts][whole], (value >> np.uint64(64 - FEATURE_BITS))[whole].astype(np.int64)
+
+
+def _log(value: float, base: float) -> int:
+    return int(np.log(max(value, 1)) / np.log(base))
+
+
+def _parts(row: tuple) -> list[str]:
+    """Path components, endings and their combinations, language and size; shape where it is known."""
+    path, language, ignored, size, lines, longest, _ = row
+    *folders, name = path.split("/")
+    stem, dot, rest = name.partition(".")
+    ending, top, inner = dot + rest, folders[0] if folders else "", folders[-1] if folders else ""
+    last = re.search(r"([a-z0-9]+)$", stem)
+    out = [f"d:{f}" for f in folders] + [
+        f"i:{ignored}", f"l:{language}", f"le:{language}|{ending}", f"te:{top}|{ending}", f"ts:{top}|{len(folders)}|{ending}", f"ie:{inner}|{ending}",
+        f"la:{last.group() if last else ''}|{ending}", f"ti:{top}|{inner}",
     ]
-    return F.filter(
-        F.concat(F.array(*shape), _marked(folders, "d:"), _grams(F.concat(F.lit("/"), path, F.lit("$")), 4, "p4"), _grams(path, 6, "p6"), _grams(head, 3, "h3")),
-        lambda t: t.isNotNull(),
-    )
-
-
-def _features(files: DataFrame) -> DataFrame:
-    hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="tokens", outputCol="raw").transform(files.withColumn("tokens", _tokens()))
-    return Normalizer(inputCol="raw", outputCol="features").transform(hashed).drop("tokens", "raw")
-
-
-def _fit(rows: DataFrame, limit: int) -> LinearSVCModel | float:
-    """The machine, or the constant decision where the labelled rows know one class only."""
-    sampled = materialise(rows.select("label", (1 + F.col("label")).alias("weight"), "features").orderBy(F.xxhash64("id")).limit(limit))
-    kinds = {r[0] for r in sampled.select("label").distinct().collect()}
-    if len(kinds) < 2:
-        return 1.0 if kinds == {1.0} else -1.0
-    return LinearSVC(maxIter=60, regParam=2e-4, standardization=False, aggregationDepth=2, weightCol="weight").fit(sampled.coalesce(4))
-
+    if size == size:
+        out += [f"b:{_log(size, 2)}", f"ib:{ignored}|{_log(size, 4)}"]
+    if longest == longest:
+        out.append(f"m:{_log(longest, 4)}")
+        if lines == lines and size == size:
+            out.append(f"w:{_log(size / max(lines, 1), 2)}")
+    return out
 
-def _margin(model: LinearSVCModel | float, rows: DataFrame) -> DataFrame:
-    if isinstance(model, float):
-        return rows.withColumn("margin", F.lit(model))
-    scored = model.setRawPredictionCol("_raw").setPredictionCol("_pred").transform(rows)
-    from pyspark.ml.functions import vector_to_array
 
-    return scored.withColumn("margin", vector_to_array("_raw")[1]).drop("_raw", "_pred")
+class Features:
+    """Hashed features of rows as a sparse matrix; path runs, parts and first line weigh the same."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        paths = [re.sub(r"\d", "0", f"/{r[0]}$") for r in rows]
+        heads = [re.sub(r"\d", "0", _MASK.sub("", r[6])) for r in rows]
+        parts = [(i, zlib.crc32(t.encode("utf-8", "surrogatepass")) >> (32 - FEATURE_BITS)) for i, r in enumerate(rows) for t in _parts(r)]
+        of_parts = np.array(parts, np.int64).reshape(-1, 2)
+        blocks = [[_grams(paths, 4, 1), _grams(paths, 6, 2)], [(of_parts[:, 0], of_parts[:, 1])], [_grams(heads, 3, 3), _grams(heads, 5, 4)]]
+        row, feature, value = [], [], []
+        for block in blocks:
+            cells = np.unique(np.concatenate([r << FEATURE_BITS | f for r, f in block]))
+            row.append(cells >> FEATURE_BITS)
+            feature.append(cells & (1 << FEATURE_BITS) - 1)
+            value.append(1 / np.sqrt(np.maximum(np.bincount(row[-1], minlength=len(rows)), 1))[row[-1]])
+        self.n, self.row, self.feature, self.value = len(rows), np.concatenate(row), np.concatenate(feature), np.concatenate(value)
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.feature] * self.value, minlength=self.n) + weights[-1]
+
+    def transposed(self, per_row: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.feature, per_row[self.row] * self.value, minlength=1 << FEATURE_BITS), per_row.sum())
+
+
+def fit_machine(rows: list[tuple], label: np.ndarray, cost: float = COST) -> np.ndarray:
+    """Weights, the offset last, of least squared norm and squared hinge loss, by Newton steps."""
+    x, y = Features(rows), np.where(label > 0, 1.0, -1.0)
+    each = cost * np.where(y > 0, len(y) / max((y > 0).sum(), 1), len(y) / max((y < 0).sum(), 1)) / 2
+    w = np.zeros((1 << FEATURE_BITS) + 1)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        gap = np.maximum(1 - y * x.times(w), 0)
+        return w @ w / 2 + (each * gap * gap).sum(), gap
+
+    now, gap = loss(w)
+    for _ in range(12):
+        gradient = w - x.transposed(2 * each * y * gap)
+        active = 2 * each * (gap > 0)
+        step, rest = np.zeros_like(w), -gradient
+        way, size = rest.copy(), rest @ rest
+        first = size
+        for _ in range(12):
+            bent = way + x.transposed(active * x.times(way))
+            length = size / (way @ bent)
+            step, rest = step + length * way, rest - length * bent
+            size, before = rest @ rest, size
+            if size < 0.01 * first:
+                break
+            way = rest + size / before * way
+        scale = 1.0
+        while (tried := loss(w + scale * step))[0] > now and scale > 1e-3:
+            scale /= 2
+        w, done, (now, gap) = w + scale * step, now - tried[0] < 1e-3 * now, tried
+        if done:
+            break
+    return w.astype(np.float32)
+
+
+_INPUT = ["path", "language", "ignored", "bytes", "lines", "longest", "head"]
+
+
+def _rows(pdf: pd.DataFrame) -> list[tuple]:
+    return list(zip(*[pdf[c].astype(float) if c in ("bytes", "lines", "longest") else pdf[c] for c in _INPUT], strict=True))
+
+
+def _fit_fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    fold, label = int(pdf["judged"].iloc[0]), pdf["label"].to_numpy()
+    if len(set(label)) < 2:
+        constant = np.zeros((1 << FEATURE_BITS) + 1, np.float32)
+        constant[-1] = 1.0 if set(label) == {1.0} else -1.0
+        return pd.DataFrame({"judged": [fold], "weights": [constant.tobytes()]})
+    bare = pdf[~pdf["by_head"]].assign(lines=np.nan, longest=np.nan, head="")
+    return pd.DataFrame({"judged": [fold], "weights": [fit_machine(_rows(pd.concat([pdf, bare])), np.concatenate([label, bare["label"].to_numpy()])).tobytes()]})
+
+
+def _machines(files: DataFrame, train_rows: int) -> dict[int, np.ndarray]:
+    """The machine of each fold, fitted on labelled rows of the others; without any, all files are hand-written."""
+    sampled = materialise(files.orderBy(F.xxhash64("id")).limit(train_rows))
+    labelled = label_of_giveaways(sampled).where("label is not null")
+    dealt = labelled.withColumn("judged", F.explode(F.array(*[F.lit(k) for k in range(FOLDS)]))).where("judged <> fold")
+    fitted = dealt.select("judged", "label", "by_head", *_INPUT).groupBy("judged").applyInPandas(_fit_fold, "judged int, weights binary")
+    out = {r.judged: np.frombuffer(r.weights, np.float32) for r in fitted.collect()}
+    nothing = np.zeros((1 << FEATURE_BITS) + 1, np.float32)
+    nothing[-1] = -1.0
+    return {k: out.get(k, nothing) for k in range(FOLDS)}
+
+
+def _margins(files: DataFrame, machines: dict[int, np.ndarray], *keep: str) -> DataFrame:
+    shared = files.sparkSession.sparkContext.broadcast(machines)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            margin = np.zeros(len(pdf))
+            if len(pdf):
+                x, fold = Features(_rows(pdf)), pdf["fold"].to_numpy()
+                for k, weights in shared.value.items():
+                    if (fold == k).any():
+                        margin = np.where(fold == k, x.times(weights), margin)
+            yield pdf[["id", *keep]].assign(margin=margin)
+
+    kept = [f"{c} {files.schema[c].dataType.simpleString()}" for c in ("id", *keep)]
+    return files.select(*dict.fromkeys(("id", "fold", *_INPUT, *keep))).mapInPandas(score, ", ".join([*kept, "margin double"]))
+
+
+def _not_written() -> Column:
+    return F.col("margin") > 0
 
 
 def judge_files(files: DataFrame, *, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(file_id, margin, not_written): the decision on every file.
-
-    Defined cases: repeated and re-indexed ids count once, in their latest version; null ids take
-    no part; a null path is an empty one; null or broken metadata, sizes and languages are
-    features of their own; without rows of both kinds to learn from, all files get the same
-    margin; an empty table gives no rows; further columns are ignored.
+    """(file_id, margin, not_written): the decision on every file, by a machine that never saw its repository.
+
+    At most ``train_rows`` rows are labelled and fitted on; every file is judged. Defined cases:
+    repeated and re-indexed ids count once, in their latest version; null ids take no part; a null
+    path is an empty one; null or broken metadata, sizes and languages give no features; a
+    repository is the workspace, or else the first folder; a fold whose others know one class only
+    gets that class, without labels hand-written; an empty table gives no rows; further columns
+    are ignored.
     """
-    rows = materialise(_features(_giveaways(_conform(files))))
-    scored = _margin(_fit(rows.where(F.col("label").isNotNull()), train_rows), rows)
-    # The machine never saw the headers; a header or a data dump outweighs any margin it gives.
-    return scored.select(F.col("id").alias("file_id"), "margin", ((F.col("margin") > 0) | F.col("header")).alias("not_written"))
+    rows = _conform(files)
+    return _margins(rows, _machines(rows, train_rows)).select(F.col("id").alias("file_id"), "margin", _not_written().alias("not_written"))
 
 
 def validate_by_repository(files: DataFrame, *, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Held-out accuracy of the machine alone: each third of the repositories judged by the rest."""
-    rows = materialise(_features(_giveaways(_conform(files))).where(F.col("label").isNotNull()))
-    fold = F.pmod(F.xxhash64(F.coalesce("workspace", F.element_at(F.split("path", "/"), 1))), F.lit(3))
-    out = None
-    for k in range(3):
-        scored = _margin(_fit(rows.where(fold != k), train_rows), rows.where(fold == k))
-        hit = (F.col("margin") > 0) == (F.col("label") > 0)
-        part = scored.agg(F.lit(k).alias("fold"), F.count("*").alias("n_files"), F.sum("label").cast("long").alias("n_not_written"), F.sum(hit.cast("long")).alias("n_right"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Per held-out fold of repositories: files, labelled ones and the right ones among them, and what was found without a label."""
+    rows = _conform(files)
+    judged = _margins(label_of_giveaways(rows), _machines(rows, train_rows), "fold", "label")
+    right = F.count_if(_not_written() == (F.col("label") > 0))
+    return judged.groupBy("fold").agg(
+        F.count("*").alias("n_files"), F.count("label").alias("n_labelled"), F.count_if(F.col("label") > 0).alias("n_not_written"), right.alias("n_right"),
+        F.count_if(F.col("label").isNull() & _not_written()).alias("n_found_unlabelled"),
+    )
