@@ -39,6 +39,7 @@ _DATA = r"^(#define \w+ |[^/#]{0,60}|.{0,40}\"data:[a-z/-]{0,40};)(\[\[|\[\(|\[-
 _DATA_LATE = r"^[^/#]*[=(:{\[,]\s*(\[\[|\[\(|\[-?\d[\d.]*,|\{ ?-?\d[\d.]*,|0x[0-9a-f]+,|\"[A-Za-z0-9+/]{24}|b\"\\x)|\"data:[a-z/-]*;base64,| VALUES \("
 _SQUEEZED = r"^(!function\(|\(\(\)=>|\(function\(|\.[a-z]\{|var e=|\"use strict\";)"
 _MENTION = r"(?i)generat|do not edit|licen[cs]e|copyright|upstream|vendor|minif|overwritten"
+_DENIED = r"(?i)\b(not|never) (auto-?)?generated\b|hand-?written|written by hand"
 _PLACES = (
     r"(^|/)(node_modules|bower_components|third_party|Pods|site-packages|\.venv|\.next|__generated__|__snapshots__|lcov-report|coverage|generated-sources)/"
     r"|^(vendor|external|deps|dist)/"
@@ -69,7 +70,7 @@ def label_of_giveaways(files: DataFrame) -> DataFrame:
     header = head.rlike(_MADE) | head.rlike(_FOREIGN) | head.rlike(_DATA) | head.rlike(_DATA_LATE) | head.rlike(_SQUEEZED)
     bulk = F.coalesce(F.col("longest") >= 10_000, F.lit(False))
     place = F.col("path").rlike(_PLACES) | F.col("path").rlike(_NAMES)
-    plain = F.coalesce(F.col("longest") < 1_000, F.lit(False)) & ~head.rlike(_MENTION)
+    plain = F.coalesce(F.col("longest") < 1_000, F.lit(False)) & (~head.rlike(_MENTION) | head.rlike(_DENIED))
     return files.withColumn("by_head", header).withColumn("label", F.when(header | bulk | place, 1.0).when(plain, 0.0))
 
 

@@ -5,7 +5,7 @@ from codeweft.llm.source_files import Features, fit_machine, judge_files, label_
 BASE = "export const theNameOfAVeryLongDeclarationThatGoesOnAndOnBeforeItsValue: ReadonlyArray<number> = "
 HEADS = [
     ("/* eslint-disable */ /* auto-generated by apigen */", 1.0), (BASE + "[12, 13, 14, 15,", 1.0), (BASE + "items[0] + first", 0.0),
-    ("// Parses the tokens that are generated by the lexer", None), ("// Code generated by x", 1.0), ("# Hand-tuned; not generated", None), ("import x from 'y'", 0.0),
+    ("// Parses the tokens that are generated by the lexer", None), ("// Code generated by x", 1.0), ("# Hand-tuned; not generated", 0.0), ("import x from 'y'", 0.0),
 ]
 FILE = "id long, path string, language string, gitignored int, byte_length long, metadata string, workspace string, loaded_at timestamp"
 
