@@ -1,32 +1,39 @@
-"""Most similar vectors of every vector: kd-trees over stable projections, chi-square stopping.
+"""Most similar vectors of every vector: projected kd-trees searched outwards, chi-square stopping.
 
 Vectors are put onto the unit sphere and projected by Gaussian (2-stable) directions, so the
 projected difference of two vectors at distance d is d times a standard normal: its square over
-d² is chi-square with one degree of freedom per direction. Each tree splits a low-dimensional
-projection at medians (fitted on a bounded sample) into leaves of about ``LEAF`` vectors. Trees
-come in rounds, each a fresh projection: the vectors in a query's leaf are its next projected
-neighbours and are verified with the full vectors. From the query's distances to its leaf's faces
-the chi-square law gives the chance that a vector as near as its current k-th would lie in the
-leaf; once the chance that all leaves so far missed such a vector is below ``1 - CERTAINTY``, the
-query stops. Every vector stays in the index.
+d² is chi-square with one degree of freedom per direction. A kd-tree splits a low-dimensional
+projection at medians into leaves of about ``LEAF`` vectors. Of every leaf the chi-square law gives,
+from the query's projected distances to the faces on the way, the chance that a vector at a given
+distance lies in it. A query takes leaves in the order of these chances, over the trees of a round,
+and verifies what lies in them, until the chance that a neighbour lies in none of them is small
+enough (the stopping test). One tree prunes little at the distances asked for, hence several; a
+query that exhausts a round's leaves goes on in fresh trees, without an end but the test.
+
+Leaves hold vectors as 8-bit codes with their exact rounding error, which bounds the error of a
+similarity; what may reach the bar is computed from the full vectors afterwards.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.runtime import materialise
+from codeweft.runtime import broadcast_if_small, materialise
 
-#: Vectors of a leaf, about; trees of a round; most trees; wanted chance to see a neighbour.
-LEAF, ROUND, TREES, CERTAINTY = 512, 8, 64, 0.97
-#: Vectors that the trees' medians are fitted on; the leaves hold all vectors.
-SAMPLE = 65_536
+#: Vectors of a leaf, about; trees of a round; leaves of a tree that a query may take; wanted chance to see a neighbour.
+LEAF, TREES, BEAM, CERTAINTY = 512, 8, 8, 0.97
+#: Vectors that the medians are fitted on (the leaves hold all vectors), fewest of a median of its
+#: own, and most levels of a tree (its medians are sent to the executors, 2 MB a tree at most).
+SAMPLE, LEAST, LEVELS = 65_536, 16, 18
+#: A leaf with more vectors, or queries, than so many times ``LEAF`` is searched in blocks.
+BLOCK = 8
 
 
 def sound(vector: Column, length: int) -> Column:
@@ -69,29 +76,59 @@ class _Forest:
     def _fit(projected: np.ndarray, depth: int) -> list[np.ndarray]:
         medians, node = [], np.zeros(len(projected), np.int64)
         for level in range(depth):
-            x = projected[:, level]
-            order = np.lexsort((x, node))
-            starts = np.searchsorted(node[order], np.arange(2**level + 1))
-            counts = np.diff(starts)
-            middle = np.minimum(starts[:-1] + counts // 2, max(len(x) - 1, 0))
-            medians.append(np.where(counts > 0, x[order][middle], 0).astype(np.float32))
+            x, own = projected[:, level], np.zeros(2**level, np.float32)
+            # A node with a thin sample takes the median of its nearest ancestor with enough of it.
+            for up in range(level, -1, -1):
+                order = np.lexsort((x, node >> up))
+                starts = np.searchsorted((node >> up)[order], np.arange(2 ** (level - up) + 1))
+                counts = np.diff(starts)
+                middle = x[order][np.minimum(starts[:-1] + counts // 2, len(x) - 1)] if len(x) else np.zeros(len(counts))
+                own = np.where(np.repeat(counts, 2**up) >= LEAST, np.repeat(middle, 2**up), own)
+                if (counts < LEAST).all():
+                    break
+            medians.append(own.astype(np.float32))
             node = 2 * node + (x >= medians[-1][node])
         return medians
 
-    def leaves(self, units: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf in each tree, and the chance that every tree misses a vector at ``distance``."""
-        leaf = np.zeros((len(units), len(self.medians)), np.int32)
-        missed = np.ones(len(units))
-        for t, medians in enumerate(self.medians):
+    def leaf(self, tree: int, projected: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(projected), np.int64)
+        for level, median in enumerate(self.medians[tree]):
+            node = 2 * node + (projected[:, level] >= median[node])
+        return node
+
+    def likely(self, tree: int, projected: np.ndarray, reach: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The likeliest leaves of a vector at distance ``reach``, by falling chance, and their chances."""
+        node, chance = np.zeros((len(projected), 1), np.int64), np.ones((len(projected), 1))
+        for level, median in enumerate(self.medians[tree]):
+            gap = projected[:, level, None] - median[node]
+            near = gap >= 0
+            stay = (1 + _chi_square_1((gap / reach[:, None]) ** 2)) / 2
+            node = np.concatenate([2 * node + near, 2 * node + ~near], axis=1)
+            chance = np.concatenate([chance * stay, chance * (1 - stay)], axis=1)
+            if node.shape[1] > beam:
+                kept = np.argpartition(-chance, beam, axis=1)[:, :beam]
+                node, chance = np.take_along_axis(node, kept, 1), np.take_along_axis(chance, kept, 1)
+        order = np.argsort(-chance, axis=1, kind="stable")
+        return np.take_along_axis(node, order, 1), np.take_along_axis(chance, order, 1)
+
+    def plan(self, units: np.ndarray, reach: np.ndarray, need: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of own leaves; keys of leaves by falling chance and which are taken; and the chance
+        that those miss a vector at ``reach``. ``need`` is minus the log of the chance wanted."""
+        own, keys, chances, gains = [], [], [], []
+        for t in range(len(self.medians)):
             projected = units @ self.directions[t]
-            node, seen = np.zeros(len(units), np.int64), np.ones(len(units))
-            for level, median in enumerate(medians):
-                gap = projected[:, level] - median[node]
-                seen *= (1 + _chi_square_1(gap * gap / distance**2)) / 2
-                node = 2 * node + (gap >= 0)
-            leaf[:, t] = node
-            missed *= 1 - seen
-        return leaf, missed
+            leaf, chance = self.likely(t, projected, reach, beam)
+            before = np.cumsum(chance, axis=1) - chance
+            own.append(self.leaf(t, projected) | t << 32)
+            keys.append(leaf | t << 32)
+            chances.append(chance)
+            gains.append(-np.log(np.maximum(1 - chance / np.maximum(1 - before, 1e-9), 1e-9)))
+        keys, chances, gains = (np.concatenate(x, axis=1) for x in (keys, chances, gains))
+        order = np.argsort(-chances, axis=1, kind="stable")
+        keys, gains = np.take_along_axis(keys, order, 1), np.take_along_axis(gains, order, 1)
+        total = np.cumsum(gains, axis=1)
+        taken = total - gains < need[:, None]
+        return np.stack(own, axis=1), keys, taken, np.exp(-(gains * taken).sum(axis=1))
 
 
 def _chi_square_1(x: np.ndarray) -> np.ndarray:
@@ -102,29 +139,94 @@ def _chi_square_1(x: np.ndarray) -> np.ndarray:
     return 1 - series * np.exp(-z * z)
 
 
+def _codes(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors rounded to 8 bits a value, and how far their directions are from the vectors."""
+    codes = np.rint(units * (127 / np.abs(units).max(axis=1, keepdims=True))).astype(np.int8)
+    rounded = codes / np.linalg.norm(codes.astype(np.float64), axis=1, keepdims=True)
+    return codes, np.linalg.norm(units - rounded, axis=1)
+
+
+def _place(forest: _Forest, goal: float, beam: int):
+    """Keys (tree and leaf) a class lies in or looks into, with its roles there."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf[["_class"]].assign(_code=b"", _error=0.0, _keys=None, _roles=None, _missed=1.0)
+            if len(pdf):
+                units, active, missed = _matrix(pdf["_unit"]), pdf["_active"].to_numpy(), pdf["_missed"].to_numpy()
+                own, keys, taken, left = forest.plan(units, pdf["_reach"].to_numpy(), np.log(np.maximum(missed, 1e-300) / goal), beam)
+                taken &= active[:, None]
+                codes, out["_error"] = _codes(units)
+                out["_code"] = [c.tobytes() for c in codes]
+                all_keys, roles = [], []
+                for i in range(len(pdf)):
+                    asked, at = keys[i, taken[i]], own[i]
+                    away = asked[~np.isin(asked, at)]
+                    all_keys.append(np.concatenate([at, away]))
+                    roles.append(np.concatenate([_LIES + _ASKS * np.isin(at, asked), np.full(len(away), _ASKS)]).astype(np.int8))
+                out["_keys"], out["_roles"], out["_missed"] = all_keys, roles, np.where(active, missed * left, missed)
+            yield out
+
+    return place
+
+
+_LIES, _ASKS = 1, 2
+
+
 def _verify(k: int, floor: float):
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, active = pdf["_class"].to_numpy(), np.nonzero(pdf["_active"].to_numpy())[0]
-        units = _matrix(pdf["_unit"])
+        role, keys, error = pdf["_role"].to_numpy(), pdf["_class"].to_numpy(), pdf["_error"].to_numpy()
+        lies, asks = np.nonzero(role & _LIES)[0], np.nonzero(role & _ASKS)[0]
+        if not len(lies) or not len(asks):
+            return pd.DataFrame({"_a": keys[:0], "_b": keys[:0]})
+        codes = np.frombuffer(b"".join(pdf["_code"]), np.int8).reshape(len(pdf), -1).astype(np.float32)
+        codes /= np.linalg.norm(codes, axis=1, keepdims=True)
+        inside, most = codes[lies], error[lies].max()
         found = []
-        for i in range(0, len(active), 512):
-            own = active[i : i + 512]
-            sims = units[own] @ units.T
-            sims[np.arange(len(own)), own] = -2
+        for i in range(0, len(asks), 512):
+            own = asks[i : i + 512]
+            sims = codes[own] @ inside.T
+            sims[keys[own][:, None] == keys[lies][None, :]] = -2
             bar = np.full(len(own), floor)
             if sims.shape[1] > k + 1:
-                bar = np.maximum(bar, np.partition(sims, -k, axis=1)[:, -k])
-            a, b = np.nonzero(sims >= bar[:, None] - 1e-5)
-            exact = np.einsum("ij,ij->i", units[own[a]].astype(np.float64), units[b].astype(np.float64))
-            keep = exact >= floor - 5e-7
-            found.append(pd.DataFrame({"_class": keys[own[a]][keep], "_near": keys[b][keep], "_sim": exact[keep]}))
-        if not found:
-            return pd.DataFrame({"_class": keys[:0], "_near": keys[:0], "_sim": np.zeros(0)})
-        return pd.concat(found)
+                # What is below the k-th for certain: both similarities may be off by their errors.
+                bar = np.maximum(bar, np.partition(sims, -k, axis=1)[:, -k] - error[own] - most)
+            a, b = np.nonzero(sims >= (bar - error[own] - most - 1e-5)[:, None])
+            near = sims[a, b] >= bar[a] - error[own[a]] - error[lies[b]] - 1e-5
+            one, two = keys[own[a[near]]], keys[lies[b[near]]]
+            found.append(pd.DataFrame({"_a": np.minimum(one, two), "_b": np.maximum(one, two)}))
+        return pd.concat(found).drop_duplicates()
 
     return verify
 
 
+def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        sims = np.zeros(len(pdf))
+        if len(pdf):
+            sims = np.einsum("ij,ij->i", _matrix(pdf["_of_a"]).astype(np.float64), _matrix(pdf["_of_b"]).astype(np.float64))
+        yield pdf[["_a", "_b"]].assign(_sim=sims)
+
+
+def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
+    """Adds _i and _j: an overfull leaf's vectors are cut into blocks _i, its queries into blocks _j, and all blocks meet."""
+    lies, asks = (F.col("_role").bitwiseAND(x) > 0 for x in (_LIES, _ASKS))
+    sizes = rows.groupBy("_key").agg(F.count_if(lies).alias("_n_lie"), F.count_if(asks).alias("_n_ask"))
+    over = materialise(
+        sizes.where((F.col("_n_lie") > BLOCK * leaf) | (F.col("_n_ask") > BLOCK * leaf)).select("_key", *[F.ceil(F.col(n) / (BLOCK * leaf // 2)).cast("int").alias(c) for n, c in (("_n_lie", "_in_i"), ("_n_ask", "_in_j"))])
+    )
+    if not over.head(1):
+        return rows.withColumn("_i", F.lit(0)).withColumn("_j", F.lit(0))
+    known = rows.join(broadcast_if_small(over, ()), "_key", "left").withColumn("_in_i", F.greatest(F.coalesce("_in_i", F.lit(1)), F.lit(1))).withColumn("_in_j", F.greatest(F.coalesce("_in_j", F.lit(1)), F.lit(1)))
+    dealt = lambda n: F.pmod(F.xxhash64("_class"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    whole = known.where("_in_i = 1 and _in_j = 1").withColumn("_i", F.lit(0)).withColumn("_j", F.lit(0))
+    cut = known.where("_in_i > 1 or _in_j > 1")
+    held = cut.where(lies).withColumn("_role", F.lit(_LIES).cast("tinyint")).withColumn("_i", dealt("_in_i")).withColumn("_j", F.explode(upto("_in_j")))
+    asked = cut.where(asks).withColumn("_role", F.lit(_ASKS).cast("tinyint")).withColumn("_i", F.explode(upto("_in_i"))).withColumn("_j", dealt("_in_j"))
+    return whole.unionByName(held).unionByName(asked).drop("_in_i", "_in_j")
+
+
 def _best(pairs: DataFrame, key: str, k: int, *fields: Column) -> DataFrame:
     """The k best of each key; partial lists are cut to k at once, so no group is collected whole."""
     rank = F.struct(*fields)
@@ -134,63 +236,59 @@ def _best(pairs: DataFrame, key: str, k: int, *fields: Column) -> DataFrame:
 
 
 def nearest(
-    df: DataFrame, key: str, vector: str, *, length: int, k: int = 5, floor: float = 0.0, leaf: int = LEAF,
-    certainty: float = CERTAINTY, trees: int = TREES, sample: int = SAMPLE, seed: int = 17,
+    df: DataFrame, key: str, vector: str, *, length: int, k: int = 5, floor: float = 0.0, leaf: int = LEAF, beam: int = BEAM,
+    certainty: float = CERTAINTY, trees: int = TREES, sample: int = SAMPLE, levels: int = LEVELS, seed: int = 17,
 ) -> DataFrame:
     """The up to ``k`` most similar other vectors of each: (``key``, neighbour, similarity, rank).
 
     Similarity is the cosine to six decimals, at least ``floor``; ties go to the smaller key.
+    Every vector is a query and every vector is in the leaves. A pair that one end finds counts for
+    both. A query stops when it misses a vector as near as its k-th neighbour so far (at first: at
+    the distance of ``floor``) with a chance of at most 1 - ``certainty``.
+
     Defined cases: null keys, and vectors that are null, empty, of another length, all zero or
     hold null, NaN or infinite values take no part; repeated keys count once (their smallest
     vector); equal directions are searched once as a class, whose members are all neighbours of
     each other at similarity 1; an empty table gives no rows; other columns are ignored.
-    Expected recall is ``certainty`` or more per neighbour as far as ``trees`` allow.
     """
     units = materialise(_units(df, key, vector, length))
     members = units.groupBy("_unit").agg(F.min("_key").alias("_class"), F.count("*").alias("_n"))
     classes = materialise(members.select("_class", "_unit"))
     n = classes.count()
-    depth = max(0, math.ceil(math.log2(max(n, 1) / leaf)))
+    depth = min(levels, max(0, math.ceil(math.log2(max(n, 1) / leaf))))
     kind = classes.schema["_class"].dataType.simpleString()
     widest = math.sqrt(max(2 - 2 * floor, 1e-6))
     share = min(1.0, 1.2 * sample / max(n, 1))
     drawn = classes.select("_unit").sample(share, seed).limit(sample).toPandas()["_unit"] if n else pd.Series([], dtype=object)
     fitted = _matrix(drawn) if len(drawn) else np.zeros((0, length), np.float32)
-
-    state = classes.select("_class", F.lit(1.0).alias("_missed"), F.lit(widest).alias("_reach"), F.lit(True).alias("_active"))
-    best = None
-    rounds = 1 if depth == 0 else -(-trees // ROUND)
-    for r in range(rounds):
-        forest = _Forest(fitted, depth, 1 if depth == 0 else ROUND, seed + 1 + r)
-
-        def assign(it: Iterator[pd.DataFrame], forest: _Forest = forest) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                if len(pdf):
-                    leaves, missed = forest.leaves(_matrix(pdf["_unit"]), pdf["_reach"].to_numpy())
-                    pdf["_leaves"], pdf["_missed"] = list(leaves), pdf["_missed"].to_numpy() * missed
-                else:
-                    pdf["_leaves"] = None
-                yield pdf[["_class", "_unit", "_active", "_missed", "_reach", "_leaves"]]
-
-        placed = classes.join(state, "_class").mapInPandas(
-            assign, f"_class {kind}, _unit binary, _active boolean, _missed double, _reach double, _leaves array<int>"
-        )
-        placed = materialise(placed)
-        rows = placed.select("_class", "_unit", "_active", F.posexplode("_leaves").alias("_tree", "_leaf"))
-        if r:
-            wanted = rows.where("_active").select("_tree", "_leaf").distinct()
-            rows = rows.join(wanted, ["_tree", "_leaf"], "left_semi")
-        pairs = rows.groupBy("_tree", "_leaf").applyInPandas(_verify(k, floor), f"_class {kind}, _near {kind}, _sim double")
-        if best is not None:
-            pairs = pairs.unionByName(best.select("_class", F.explode("_top").alias("_p")).select("_class", F.col("_p._near").alias("_near"), (-F.col("_p._minus")).alias("_sim")))
+    alone = 1 - certainty
+
+    state = classes.select("*", F.lit(1.0).alias("_missed"), F.lit(widest).alias("_reach"), F.lit(True).alias("_active"))
+    links, rounds = [], 0
+    while True:
+        forest = _Forest(fitted, depth, trees if depth else 1, seed + 1 + rounds)
+        placed = materialise(state.mapInPandas(
+            _place(forest, alone, beam), f"_class {kind}, _code binary, _error double, _keys array<bigint>, _roles array<tinyint>, _missed double"
+        ))
+        rows = placed.select("_class", "_code", "_error", F.explode(F.arrays_zip("_keys", "_roles")).alias("_at")).select("_class", "_code", "_error", F.col("_at._keys").alias("_key"), F.col("_at._roles").alias("_role"))
+        if rounds:
+            asked = rows.where(F.col("_role") >= _ASKS).select("_key").distinct()
+            rows = rows.join(asked, "_key", "left_semi")
+        seen = _blocks(rows, leaf).groupBy("_key", "_i", "_j").applyInPandas(_verify(k, floor), f"_a {kind}, _b {kind}").distinct()
+        for side in ("_a", "_b"):
+            seen = seen.join(classes.select(F.col("_class").alias(side), F.col("_unit").alias(f"_of{side}")), side)
+        links.append(materialise(seen.mapInPandas(_exact, f"_a {kind}, _b {kind}, _sim double").where(F.col("_sim") >= floor - 5e-7)))
+        rounds += 1
+        pairs = reduce(DataFrame.unionByName, links)
+        pairs = pairs.select(F.explode(F.array(F.struct(F.col("_a").alias("_class"), F.col("_b").alias("_near"), "_sim"), F.struct(F.col("_b").alias("_class"), F.col("_a").alias("_near"), "_sim"))).alias("_p")).select("_p.*")
         best = materialise(_best(pairs, "_class", k, (-F.col("_sim")).alias("_minus"), F.col("_near")))
-        kth = F.when(F.size("_top") == k, F.sqrt(F.greatest(2 + 2 * F.element_at("_top", -1)["_minus"], F.lit(1e-6))))
-        state = placed.select("_class", "_missed", "_active").join(best, "_class", "left").select(
-            "_class", "_missed", F.coalesce(kth, F.lit(widest)).alias("_reach"), (F.col("_active") & (F.col("_missed") > 1 - certainty)).alias("_active")
-        )
-        state = materialise(state)
-        if not state.where("_active").head(1):
+        open_ones = placed.where(F.col("_missed") > alone).select("_class", "_missed")
+        if not depth or not open_ones.head(1):
             break
+        kth = F.when(F.size("_top") == k, F.sqrt(F.greatest(2 + 2 * F.element_at("_top", -1)["_minus"], F.lit(1e-6))))
+        # Those at rest stay in the leaves for the others.
+        asking = open_ones.join(best, "_class", "left").select("_class", "_missed", F.coalesce(kth, F.lit(widest)).alias("_reach"), F.lit(True).alias("_active"))
+        state = classes.join(asking, "_class", "left").select("_class", "_unit", F.coalesce("_missed", F.lit(0.0)).alias("_missed"), F.coalesce("_reach", F.lit(widest)).alias("_reach"), F.coalesce("_active", F.lit(False)).alias("_active"))
 
     # Classes become their members again; k + 1 members of a class are enough for anyone's list.
     member = units.join(members.select("_unit", "_class", "_n"), "_unit").select("_key", "_class", "_n")

@@ -68,3 +68,27 @@ def test_neighbours_against_brute_force(spark):
     assert sorted(got[got.symbol_id == 5008].neighbour) == [3, 5000, 5001, 5002, 5003]
     assert got.groupby("symbol_id").size().max() <= 5 and not set(got.symbol_id) & {b[0] for b in bad}
     assert nearest(df.limit(0), "symbol_id", "embedding", length=16).count() == 0
+
+
+def _recall(spark, vectors, **how):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>")
+    got = {(r.id, r.neighbour) for r in nearest(df, "id", "v", length=vectors.shape[1], k=3, **how).collect()}
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    sims = np.round(units @ units.T, 6)
+    np.fill_diagonal(sims, -2)
+    want = {(i, int(j)) for i, row in enumerate(sims) for j in sorted(range(len(row)), key=lambda j: (-row[j], j))[:3]}
+    return len(got & want) / len(want), len(got)
+
+
+def test_queries_go_on_in_fresh_trees_until_the_test_holds(spark):
+    vectors = np.random.default_rng(3).standard_normal((400, 12)).astype(np.float32)
+    recall, n = _recall(spark, vectors, leaf=16, trees=2, beam=2, floor=-1.0)
+    assert recall > 0.95 and n == 1200
+
+
+def test_overfull_leaves_are_cut_into_blocks(spark):
+    rng = np.random.default_rng(4)
+    crowd = rng.standard_normal(12) + 0.01 * rng.standard_normal((300, 12))
+    vectors = np.concatenate([crowd, rng.standard_normal((300, 12))]).astype(np.float32)
+    recall, n = _recall(spark, vectors, leaf=4, trees=2, floor=-1.0, sample=64)
+    assert recall > 0.95 and n == 1800
