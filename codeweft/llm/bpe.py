@@ -100,7 +100,11 @@ class Encoder:
                 self.halves[token] = (token, token)
 
     def _fits(self, left: int, right: int) -> bool:
-        """Whether the merges leave a border between the two tokens: undo them latest first."""
+        """Whether the merges leave a border between the two tokens: undo them latest first.
+
+        The check is the published one of linear-time back-tracking encoders (the ``bpe`` crate
+        of the public rust-gems collection, MIT licence).
+        """
         cap = 1 << 60
         while True:
             if self.merged.get((left, right), cap) < cap:

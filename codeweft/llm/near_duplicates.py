@@ -23,9 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.operators.components import connected_components
-from codeweft.runtime import materialise
+from codeweft.runtime import broadcast_if_small, materialise
 
 SYMBOLS, BITS, CHUNK, ERRORS = 40, 16, 4, 2
+#: Classes that are looked at for crowded keys, and classes of a key beyond which its comparisons
+#: are cut into blocks of so many; both spread the work and change no result.
+PROBED, CROWD = 20_000, 2_048
+_KEPT = list(combinations(range(CHUNK), CHUNK - ERRORS))
 _LOW_WORDS = -(-SYMBOLS // 16)
 _LOW = [f"_low{i}" for i in range(_LOW_WORDS)]
 
@@ -82,20 +86,40 @@ def _symbol(chunk: Column, at: int) -> Column:
     return F.shiftrightunsigned(chunk, BITS * at).bitwiseAND(2**BITS - 1)
 
 
-def _candidates(classes: DataFrame, kind: str) -> DataFrame:
-    """Distinct pairs of classes whose signatures share a key."""
+def _keys(classes: DataFrame, kind: str) -> DataFrame:
+    """Every class once for each chunk and each choice of the chunk's symbols that may be wrong."""
     signed = classes.select("_class", "_shingles").mapInArrow(_chunk_signatures, f"_class {kind}, _chunks array<bigint>, " + ", ".join(f"{x} bigint" for x in _LOW))
     chunks = signed.select("_class", *_LOW, F.posexplode("_chunks").alias("_no", "_chunk"))
-    kept = list(combinations(range(CHUNK), CHUNK - ERRORS))
     enumerated = F.explode(F.array(*[
-        F.struct(F.lit(v).alias("v"), F.xxhash64("_no", F.lit(v), *[_symbol(F.col("_chunk"), i) for i in keep]).alias("key")) for v, keep in enumerate(kept)
+        F.struct(F.lit(v).alias("v"), F.xxhash64("_no", F.lit(v), *[_symbol(F.col("_chunk"), i) for i in keep]).alias("key")) for v, keep in enumerate(_KEPT)
     ]))
-    keyed = chunks.select("_class", "_chunk", *_LOW, enumerated.alias("_k")).select("_class", "_chunk", *_LOW, F.col("_k.v").alias("_v"), F.col("_k.key").alias("_key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
+    return chunks.select("_class", "_chunk", *_LOW, enumerated.alias("_k")).select("_class", "_chunk", *_LOW, F.col("_k.v").alias("_v"), F.col("_k.key").alias("_key"))
+
+
+def _sides(classes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the key join; where a key is crowded its rows are dealt into blocks that all meet."""
+    n = classes.count()
+    share = min(1.0, PROBED / max(n, 1))
+    keyed, drawn = _keys(classes, kind), F.pmod(F.xxhash64("_class"), F.lit(1_000_000)) < int(share * 1_000_000)
+    probed = _keys(classes.where(drawn), kind).groupBy("_key", "_v").count()
+    blocks = F.ceil(F.col("count") / (share * CROWD)).cast("int")
+    crowds = materialise(probed.where(F.col("count") > max(CROWD * share, 8)).select("_key", "_v", blocks.alias("_blocks")))
+    if not crowds.head(1):
+        both = keyed.withColumn("_i", F.lit(0)).withColumn("_j", F.lit(0))
+        return both.alias("a"), both.alias("b")
+    known = keyed.join(broadcast_if_small(crowds, ()), ["_key", "_v"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    own, all_of = F.pmod(F.xxhash64("_class", F.lit(7)), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    return known.withColumn("_i", own).withColumn("_j", all_of).alias("a"), known.withColumn("_j", own).withColumn("_i", all_of).alias("b")
+
+
+def _candidates(classes: DataFrame, kind: str) -> DataFrame:
+    """Distinct pairs of classes whose signatures share a key."""
+    a, b = _sides(classes, kind)
+    block = (F.col("a._i") == F.col("b._i")) & (F.col("a._j") == F.col("b._j"))
     apart = F.col("a._chunk").bitwiseXOR(F.col("b._chunk"))
     # Of the keys that a pair shares in a chunk only the first counts, so it comes once a chunk.
     first = F.lit(False)
-    for v, keep in enumerate(kept):
+    for v, keep in enumerate(_KEPT):
         rest = [i for i in range(max(keep)) if i not in keep]
         own = F.col("a._v") == v
         for i in rest:
@@ -104,7 +128,7 @@ def _candidates(classes: DataFrame, kind: str) -> DataFrame:
     # The keys meet more pairs than they promise: those beyond the signature distance go at once,
     # told by the low bits that travel with the keys (equal symbols have equal low bits).
     close = _agreeing_low_bits() >= SYMBOLS - (SYMBOLS // CHUNK * (ERRORS + 1) - 1)
-    pairs = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._v") == F.col("b._v")) & (F.col("a._class") < F.col("b._class")) & first & close)
+    pairs = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._v") == F.col("b._v")) & block & (F.col("a._class") < F.col("b._class")) & first & close)
     return pairs.select(F.col("a._class").alias("_a"), F.col("b._class").alias("_b")).distinct()
 
 

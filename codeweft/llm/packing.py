@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity by multiway differencing.
 
-Items are spread over groups of near-equal total size by a hash of their key; each group is
-packed alone. In a group, the Karmarkar-Karp method keeps partial partitions into k windows and
+Items are spread over groups of near-equal total size by a hash of their key, those of a key with
+very many items by a hash of the row; each group is packed alone. In a group, the Karmarkar-Karp method keeps partial partitions into k windows and
 merges the two with the largest imbalance so that the imbalances oppose each other; k starts at
 the least possible count and rises whenever a window exceeds the capacity.
 """
@@ -13,15 +13,17 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.runtime import materialise
+from codeweft.runtime import broadcast_if_small, materialise
 
 #: Containers of a group, about: more lose less space at the group's end, but take longer.
 GROUP_CONTAINERS = 512
 #: Share of the total size that the smallest items hold which fill the windows' last room.
 FILLER_SHARE = 0.25
+#: A key (or null) with more items than this is spread over the groups.
+KEY_ITEMS = 1_000
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, int]:
@@ -109,21 +111,38 @@ def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return window
 
 
-def pack(sizes: DataFrame, key: str, size: str, capacity: int, group_containers: int = GROUP_CONTAINERS) -> DataFrame:
+def _dealt(items: DataFrame, groups: int, capacity: int, key_items: int) -> DataFrame:
+    """Adds _group, and in _first how many parts of the row's key lie in groups before it."""
+    items = items.withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(groups))).withColumn("_first", F.lit(0).cast("bigint"))
+    hot = materialise(items.groupBy(F.col("_key").alias("_hot")).count().where(F.col("count") > key_items).select("_hot"))
+    if not hot.head(1):
+        return items
+    hot = broadcast_if_small(hot, ())
+    same = F.col("_key").eqNullSafe(F.col("_hot"))
+    spread = items.drop("_first").join(hot, same, "left_semi").withColumn("_group", F.pmod(F.xxhash64("_key", "_row"), F.lit(groups)))
+    before = Window.partitionBy("_hot").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    parts = spread.groupBy(F.col("_key").alias("_hot"), F.col("_group").alias("_in")).agg(F.sum(F.ceil(F.col("_size") / capacity)).alias("_parts"))
+    first = parts.select("_hot", "_in", F.coalesce(F.sum("_parts").over(before), F.lit(0)).alias("_first"))
+    numbered = spread.join(first, same & (F.col("_group") == F.col("_in"))).drop("_hot", "_in")
+    return items.join(hot, same, "left_anti").unionByName(numbered)
+
+
+def pack(sizes: DataFrame, key: str, size: str, capacity: int, group_containers: int = GROUP_CONTAINERS, key_items: int = KEY_ITEMS) -> DataFrame:
     """Containers of the items: (``key``, part, container_id, size_from, size_to).
 
     An item above the capacity fills whole containers and leaves one part that is packed like an
     item; no other item is split. Defined cases: null, zero and negative sizes take no part;
     items with the same key are items of their own, told apart by their part; items of the full
-    capacity fill a container alone; an empty table gives no rows; other columns are ignored.
+    capacity fill a container alone; a key, or null, with more than ``key_items`` items is spread
+    over all groups; an empty table gives no rows; other columns are ignored.
     Only keys and sizes are shuffled, and a group holds a bounded number of tokens.
     """
-    items = materialise(sizes.where(F.col(size) > 0).select(F.col(key).alias("_key"), F.col(size).cast("long").alias("_size")))
+    items = materialise(sizes.where(F.col(size) > 0).select(F.col(key).alias("_key"), F.col(size).cast("long").alias("_size"), F.monotonically_increasing_id().alias("_row")))
     total = items.agg(F.sum("_size")).first()[0] or 0
     groups = max(1, -(-total // (capacity * group_containers)))
 
     def pack_group(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_size", "_key"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values(["_size", "_key", "_row"], ascending=[False, True, True], kind="stable")
         size_of = pdf["_size"].to_numpy()
         whole, rest = size_of // capacity, size_of % capacity
         left = rest > 0
@@ -139,15 +158,15 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int, group_containers:
         start = parts * capacity
         # Equal keys get parts of their own: each copy's parts follow those of the copy before.
         first = pd.Series(whole + left).groupby(pd.Series(keys), dropna=False).cumsum().to_numpy() - (whole + left) if seen.any() else np.zeros(len(pdf), np.int64)
+        before = pdf["_first"].to_numpy()
         return pd.DataFrame({
             "key": keys[rows],
-            "part": (parts + first[rows]).astype(np.int32),
+            "part": (parts + first[rows] + before[rows]).astype(np.int32),
             "container_id": (int(name[0]) << 24) + container,
             "size_from": start,
             "size_to": np.minimum(start + capacity, size_of[rows]),
         })
 
     kind = items.schema["_key"].dataType.simpleString()
-    grouped = items.withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(groups))).groupBy("_group")
-    packed = grouped.applyInPandas(pack_group, f"key {kind}, part int, container_id bigint, size_from bigint, size_to bigint")
+    packed = _dealt(items, groups, capacity, key_items).groupBy("_group").applyInPandas(pack_group, f"key {kind}, part int, container_id bigint, size_from bigint, size_to bigint")
     return packed.withColumnRenamed("key", key)

@@ -67,3 +67,13 @@ def test_containers_hold_every_token_once(spark):
     assert len(got[got.doc_id == 7]) == 3 and got[got.doc_id == 7].part.nunique() == 3
     assert not {502, 503, 504} & set(got.doc_id) and len(got[~got.doc_id.isin([500, 7])].doc_id) == 400
     assert pack(df.limit(0), "doc_id", "n", 100).count() == 0
+
+
+def test_one_key_of_many_items_is_spread_over_the_groups(spark):
+    rows = [(None, 10 + i % 7) for i in range(600)] + [(1, 5)] * 90 + [(i, 20) for i in range(2, 100)]
+    df = spark.createDataFrame(rows, "doc_id long, n long")
+    got = pack(df, "doc_id", "n", 100, group_containers=10, key_items=80).toPandas()
+    size = got.size_to - got.size_from
+    assert len(got) == len(rows) and size.groupby(got.container_id).sum().max() <= 100
+    assert got[got.doc_id.isna()].part.nunique() == 600 and got[got.doc_id == 1].part.nunique() == 90
+    assert (got[got.doc_id.isna()].container_id // (1 << 24)).value_counts().max() < 200

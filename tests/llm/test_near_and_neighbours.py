@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from codeweft.llm import near_duplicates as near_duplicates_module
 from codeweft.llm.near_duplicates import groups_of_records, near_duplicates, pairs_of_records
 from codeweft.llm.neighbours import nearest
 
@@ -92,3 +93,14 @@ def test_overfull_leaves_are_cut_into_blocks(spark):
     vectors = np.concatenate([crowd, rng.standard_normal((300, 12))]).astype(np.float32)
     recall, n = _recall(spark, vectors, leaf=4, trees=2, floor=-1.0, sample=64)
     assert recall > 0.95 and n == 1800
+
+
+def test_crowded_keys_in_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates_module, "CROWD", 8)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:i] + ["edited"] + words[i:]) for i in range(0, 60, 2)] + [f"other text {i} alone" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    _, links = near_duplicates(df, "id", "t", shingle=3, threshold=0.5)
+    sets = [{tuple(x.split()[j : j + 3]) for j in range(len(x.split()) - 2)} for x in texts]
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert {(r.class_a, r.class_b) for r in links.collect()} == want and len(want) > 400
