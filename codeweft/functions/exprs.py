@@ -81,23 +81,26 @@ def recency(age_days: Column, window: float = 30.0) -> Column:
 
 
 def identity_score(name: Column, fqn: Column, query: str) -> Column:
-    """How exactly a name answers a query, from 1 (same) down to 0 (unrelated)."""
-    q = F.lit(query)
-    low, full, ql = F.lower(name), F.lower(fqn), query.lower()
-    parts = segments(name)
-    asked = segments(q)
-    shared = F.size(F.array_intersect(parts, asked))
-    return (
-        F.when(name == q, 1.0)
-        .when(low == ql, 0.9)
-        .when(fqn == q, 0.8)
-        .when(full.endswith(F.lit("." + ql)), 0.7)
-        .when(low.startswith(ql), 0.6)
-        .when(low.contains(ql), 0.5)
-        .when((shared == F.size(asked)) & (F.size(asked) > 0), 0.3)
-        .when(shared > 0, 0.2)
-        .otherwise(0.0)
-    )
+    """How exactly a name answers a query, whatever the case: from 1 (the name or its qualified form) down to 0."""
+    asked = query.lower()
+    low, full = F.lower(name), F.coalesce(F.lower(fqn), F.lit(""))
+    parts, places = segments(name), F.split(full, r"[:#./-]+")
+    # What each kind of match is worth.
+    rungs = [
+        (low == asked, 1.0),
+        (full == asked, 1.0),
+        (full.endswith(asked), 0.9),
+        (low.startswith(asked), 0.8),
+        (F.array_contains(parts, asked), 0.7),
+        (F.array_contains(places, asked), 0.6),
+        (F.exists(parts, lambda p: p.startswith(asked)), 0.5),
+        (low.contains(asked), 0.3),
+        (full.contains(asked), 0.2),
+    ]
+    score = F.lit(0.0)
+    for met, worth in reversed(rungs):
+        score = F.when(met, worth).otherwise(score)
+    return score
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.runtime import materialise
+from codeweft.runtime import discard, materialise
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, source: str, target: str) -> DataFram
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = None
     while (now := print_of(links)) != before:
-        before = now
-        links = materialise(_stars(links))
+        before, old = now, links
+        links = materialise(_stars(old))
+        discard(old)
     leaves = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.exprs import path_divergence, round_half_up
-from codeweft.runtime import materialise
+from codeweft.runtime import discard, materialise
 
 
 def project(edges: DataFrame, owner: DataFrame, node: str = "node", to: str = "file_id") -> DataFrame:
@@ -63,7 +63,9 @@ def page_rank(edges: DataFrame, *, damping: float = 0.85, iterations: int = 20,
         gained = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
         after = ranks.select("node", "sink", F.col("rank").alias("before")).join(gained, "node", "left")
         rank = (1 - damping) / n + damping * (F.coalesce("gain", F.lit(0.0)) + lost / n)
-        ranks = materialise(after.select("node", "sink", rank.alias("rank"), F.abs(rank - F.col("before")).alias("change")))
+        before, ranks = ranks, materialise(after.select("node", "sink", rank.alias("rank"), F.abs(rank - F.col("before")).alias("change")))
+        if i:
+            discard(before)
         lost, change = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)), F.sum("change")).first()
         if tolerance is not None and change < tolerance:
             break
@@ -246,3 +248,36 @@ def percent_position(df: DataFrame, value: str, key: str, alias: str) -> DataFra
     placed = ordered.withColumn("_i", local).join(F.broadcast(before), "_p")
     at = F.when(F.col("_all") > 1, (F.col("_before") + F.col("_i")) / (F.col("_all") - 1)).otherwise(0.5)
     return placed.withColumn(alias, at).drop("_p", "_i", "_before", "_all")
+
+
+def settle(links: DataFrame, sweeps: int) -> DataFrame:
+    """(node, community): sweeps of moves that gain modularity, over symmetric links.
+
+    ``links`` has node, other, weight, coin (a hash of the node) and part (the links of a part are a
+    graph of their own). In each sweep the nodes whose coin shows this sweep's bit move, all at
+    once, to the linked community of most gain, if it beats staying. It ends after three sweeps
+    without a move. A community is named by its smallest node.
+    """
+    nodes = links.groupBy("node").agg(F.sum("weight").alias("degree"), F.first("part").alias("part"), F.first("coin").alias("coin"))
+    sums = nodes.groupBy("part").agg(F.sum("degree").alias("twice"))
+    of = materialise(nodes.join(sums, "part").select("node", "degree", "twice", "coin", F.col("node").alias("community"), F.lit(False).alias("moved")))
+    still = 0
+    for sweep in range(sweeps):
+        total = of.groupBy("community").agg(F.sum("degree").alias("total"))
+        far = of.select(F.col("node").alias("other"), F.col("community").alias("to"))
+        linked = links.join(far, "other").groupBy("node", "to").agg(F.sum("weight").alias("linked"))
+        own = of.join(total, "community").select("node", "degree", "twice", "coin", "community", F.col("total").alias("home"))
+        cells = linked.join(total.withColumnRenamed("community", "to"), "to").join(own, "node")
+        gain = F.col("linked") * F.col("twice") - F.col("degree") * (F.col("total") - F.when(F.col("to") == F.col("community"), F.col("degree")).otherwise(0.0))
+        best = cells.withColumn("gain", gain).groupBy("node").agg(
+            F.min(F.struct((-F.col("gain")).alias("loss"), "to")).alias("best"), F.max(F.when(F.col("to") == F.col("community"), F.col("gain"))).alias("stay")
+        )
+        stay = F.coalesce("stay", -F.col("degree") * (F.col("home") - F.col("degree")))
+        moving = (-F.col("best.loss") > stay) & (F.shiftright("coin", sweep % 62).bitwiseAND(1) == 1)
+        before, of = of, materialise(own.join(best, "node").select("node", "degree", "twice", "coin", F.when(moving, F.col("best.to")).otherwise(F.col("community")).alias("community"), moving.alias("moved")))
+        discard(before)
+        still = 0 if of.where("moved").head(1) else still + 1
+        if still == 3:
+            break
+    least = of.groupBy("community").agg(F.min("node").alias("name"))
+    return of.join(least, "community").select("node", F.col("name").alias("community"))

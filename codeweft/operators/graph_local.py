@@ -1,9 +1,9 @@
 """Graph algorithms that are sequential by nature, run where the graph fits one worker.
 
 Betweenness is a sum over sources, so sources are spread over tasks and each task holds the
-adjacency (broadcast behind a checked bound). Bridges and Louvain moves depend on one visiting
-order; a graph up to ``LOCAL_EDGES`` edges is one piece, a larger one is cut into its weakly
-connected components, which spread over tasks. Ranks have a distributed twin for larger graphs.
+adjacency (broadcast behind a checked bound). Bridges and strong components do not depend on what
+else is in a piece, so a graph up to ``LOCAL_EDGES`` edges is one piece and a larger one is cut
+into its weakly connected components. Ranks and communities have distributed twins of equal result.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.operators import graph
 from codeweft.operators.components import connected_components
 from codeweft.operators.graph import symmetric, weighted
 from codeweft.runtime import materialise
@@ -121,7 +122,7 @@ def _strong_of(pdf: pd.DataFrame) -> pd.DataFrame:
     for root in sorted(out):
         if root in number:
             continue
-        open_nodes, borders, stack = [root], [root], [(root, iter(out[root]))]
+        open_nodes, place, borders, stack = [root], {root: 0}, [root], [(root, iter(out[root]))]
         number[root] = len(number)
         while stack:
             v, rest = stack[-1]
@@ -130,7 +131,7 @@ def _strong_of(pdf: pd.DataFrame) -> pd.DataFrame:
                 stack.pop()
                 if borders[-1] == v:
                     borders.pop()
-                    at = open_nodes.index(v) if open_nodes[-1] != v else len(open_nodes) - 1
+                    at = place[v]
                     members = open_nodes[at:]
                     del open_nodes[at:]
                     done.update(members)
@@ -138,6 +139,7 @@ def _strong_of(pdf: pd.DataFrame) -> pd.DataFrame:
                         rows += [(m, min(members), len(members)) for m in members]
             elif w not in number:
                 number[w] = len(number)
+                place[w] = len(open_nodes)
                 open_nodes.append(w)
                 borders.append(w)
                 stack.append((w, iter(out.get(w, ()))))
@@ -173,6 +175,12 @@ def page_rank(edges: DataFrame, *, damping: float = 0.85, iterations: int = 20,
     return edges.select("src", "dst").groupBy(F.lit(0).alias("_")).applyInPandas(rank, f"node {kind}, rank double")
 
 
+def ranks(edges: DataFrame, **options) -> DataFrame:
+    """Page rank in one task while it may hold the edges (counted first), else distributed."""
+    edges = materialise(edges.select("src", "dst"))
+    return (page_rank if edges.count() <= LOCAL_EDGES else graph.page_rank)(edges, **options)
+
+
 def bridges(edges: DataFrame) -> DataFrame:
     """(kind, a, b): bridges (a < b) and articulation points (a = b) of the undirected graph."""
     kind = edges.schema["src"].dataType.simpleString()
@@ -180,41 +188,60 @@ def bridges(edges: DataFrame) -> DataFrame:
     return _pieces(both).groupBy("component").applyInPandas(_bridges_of, f"kind string, a {kind}, b {kind}")
 
 
-def _louvain(pdf: pd.DataFrame, sweeps: int = 20, resolution: float = 1.0) -> pd.DataFrame:
-    near: dict = defaultdict(lambda: defaultdict(float))
-    for a, b, w in zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True):
-        near[a][b] += w
-        near[b][a] += w
-    nodes = sorted(near)
-    degree = {v: sum(near[v].values()) for v in nodes}
-    twice = sum(degree.values())
-    of, total = {v: v for v in nodes}, dict(degree)
-    order = np.random.default_rng(7).permutation(len(nodes))
-    for _ in range(sweeps):
-        moved = False
-        for i in order:
-            v = nodes[i]
-            own, links = of[v], defaultdict(float)
-            for w, x in near[v].items():
-                if w != v:
-                    links[of[w]] += x
-            total[own] -= degree[v]
-            gain = lambda c: links[c] / twice - resolution * degree[v] * total[c] / twice**2 * 1.0  # noqa: E731, B023
-            best = min(sorted(links), key=lambda c: (-gain(c), c), default=own)
-            if gain(best) <= gain(own) + 1e-12:
-                best = own
-            total[best] += degree[v]
-            if best != own:
-                of[v], moved = best, True
-        if not moved:
+def _settle(pdf: pd.DataFrame, sweeps: int) -> pd.DataFrame:
+    """The sweeps of ``graph.settle`` over links that one task holds."""
+    nodes, ends = np.unique(np.concatenate([pdf["node"], pdf["other"]]), return_inverse=True)
+    src, dst, weight, n = ends[: len(pdf)], ends[len(pdf) :], pdf["weight"].to_numpy(float), len(nodes)
+    group, coin = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    group[src], coin[src] = pdf["part"].factorize()[0], pdf["coin"].to_numpy()
+    degree = np.bincount(src, weight, minlength=n)
+    twice = np.bincount(group, degree)[group]
+    of, still = np.arange(n), 0
+    for sweep in range(sweeps):
+        total = np.bincount(of, degree, minlength=n)
+        cells, at = np.unique(src * n + of[dst], return_inverse=True)
+        v, c, linked = cells // n, cells % n, np.bincount(at, weight)
+        home = c == of[v]
+        gain = linked * twice[v] - degree[v] * (total[c] - home * degree[v])
+        stay = -degree * (total[of] - degree)
+        stay[v[home]] = gain[home]
+        order = np.lexsort((c, -gain, v))
+        first = order[np.searchsorted(v[order], np.arange(n))]
+        moving = (gain[first] > stay) & ((coin >> (sweep % 62)) & 1 == 1)
+        of = np.where(moving, c[first], of)
+        still = 0 if moving.any() else still + 1
+        if still == 3:
             break
-    least: dict = {}
-    for v in nodes:
-        least[of[v]] = min(least.get(of[v], v), v)
-    return pd.DataFrame({"node": nodes, "community": [least[of[v]] for v in nodes]})
-
-
-def communities(edges: DataFrame) -> DataFrame:
-    """(node, community) by Louvain local moving, a community named by its smallest node."""
-    kind = edges.schema["src"].dataType.simpleString()
-    return _pieces(weighted(edges)).groupBy("component").applyInPandas(lambda pdf: _louvain(pdf), f"node {kind}, community {kind}")
+    least = np.full(n, n)
+    np.minimum.at(least, of, np.arange(n))
+    return pd.DataFrame({"node": nodes, "community": nodes[least[of]]})
+
+
+def settle(links: DataFrame, sweeps: int) -> DataFrame:
+    """Communities like ``graph.settle``, for links that one task may hold."""
+    kind = links.schema["node"].dataType.simpleString()
+    return links.groupBy(F.lit(0).alias("_")).applyInPandas(lambda pdf: _settle(pdf, sweeps), f"node {kind}, community {kind}")
+
+
+def communities(edges: DataFrame, *, sweeps: int = 40, split_size: int = 50, split_cohesion: float = 0.05) -> DataFrame:
+    """(node, community) by local moving on modularity, a community named by its smallest node.
+
+    In a sweep about half of the nodes, told by a bit of their hash, move at once to the community
+    of most gain (ties: the smallest name). Communities of at least ``split_size`` nodes whose
+    links inside are less than ``split_cohesion`` of all their links are settled again alone. Up to
+    ``LOCAL_EDGES`` links the sweeps run in one task, beyond it as joins; the result is the same.
+    """
+    ends = weighted(edges).where("src <> dst")
+    both = ends.select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight").unionByName(ends.select(F.col("dst").alias("node"), F.col("src").alias("other"), "weight"))
+    links = materialise(both.groupBy("node", "other").agg(F.sum("weight").cast("double").alias("weight")).withColumn("coin", F.xxhash64("node")))
+    run = settle if links.count() <= LOCAL_EDGES else graph.settle
+    first = materialise(run(links.withColumn("part", F.lit(0)), sweeps))
+    named = links.join(first.withColumnRenamed("community", "part"), "node").join(first.select(F.col("node").alias("other"), F.col("community").alias("_far")), "other")
+    inside = F.sum(F.when(F.col("part") == F.col("_far"), F.col("weight")).otherwise(0.0)) / 2
+    share = inside / (F.sum("weight") - inside)
+    loose = named.groupBy("part").agg(F.countDistinct("node").alias("_n"), share.alias("_share")).where((F.col("_n") >= split_size) & (F.col("_share") < split_cohesion))
+    again = materialise(named.where("part = _far").join(loose.select("part"), "part", "left_semi").select("node", "other", "weight", "coin", "part"))
+    if not again.head(1):
+        return first
+    second = materialise(run(again, sweeps)).withColumnRenamed("community", "_new")
+    return first.join(second, "node", "left").select("node", F.coalesce("_new", "community").alias("community"))

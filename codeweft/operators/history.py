@@ -68,14 +68,15 @@ def weighted_score(parts: dict[str, tuple[Column, float]], digits: int = 3) -> C
     return round_half_up(total, digits)
 
 
-def bug_scores(churned: DataFrame, fixes: DataFrame, files: DataFrame, coupled: DataFrame) -> DataFrame:
-    """Score per file from churn position, fix ratio, complexity, instability and authors."""
-    rows = files.select("file_id", "max_cyclomatic").join(churned.select("file_id", "commits", "authors", "churn_position"), "file_id").join(fixes, "file_id", "left").join(coupled.select(F.col("node").alias("file_id"), "instability"), "file_id", "left")
+def bug_scores(churned: DataFrame, fixes: DataFrame, files: DataFrame, coupled: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Score per file from churn position, fix ratio, complexity, instability, rank position and authors."""
+    rows = files.select("file_id", "max_cyclomatic").join(churned.select("file_id", "commits", "authors", "churn_position"), "file_id").join(fixes, "file_id", "left").join(coupled.select(F.col("node").alias("file_id"), "instability"), "file_id", "left").join(ranks.select(F.col("node").alias("file_id"), "rank_position"), "file_id", "left")
     parts = {
         "churn": (F.col("churn_position"), 0.2),
         "fix": (F.coalesce("fixes", F.lit(0)) / F.col("commits"), 0.2),
         "complexity": (clamp(F.col("max_cyclomatic"), 20), 0.2),
         "instability": (F.col("instability"), 0.15),
+        "rank": (F.col("rank_position"), 0.1),
         "authors": (clamp(F.col("authors"), 10), 0.15),
     }
     fired = sum((F.when(F.coalesce(s, F.lit(0.0)) > 0.5, 1).otherwise(0) for s, _ in parts.values()), F.lit(0))

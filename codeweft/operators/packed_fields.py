@@ -144,6 +144,6 @@ def split_packed(df: DataFrame, key: str, field: str, *, key_as: str, pos_as: st
     rows = df.select(F.col(key).alias("_key"), F.col(field).alias("_text")).where(F.trim(F.col("_text")) != "").distinct()
     rows = rows.withColumn("_skeleton", skeleton(F.col("_text")))
     rules = materialise(rows.select("_skeleton").distinct().mapInPandas(_resolve_batches, f"_skeleton string, _rule {_RULE}"))
-    ruled = rows.join(broadcast_if_small(rules, ("_skeleton",)), "_skeleton").select("_key", runs(F.col("_text")).alias("_runs"), "_rule")
+    ruled = rows.join(broadcast_if_small(rules), "_skeleton").select("_key", runs(F.col("_text")).alias("_runs"), "_rule")
     values = F.filter(F.transform("_rule", lambda span: _value(F.col("_runs"), span)), lambda v: v != "")
     return ruled.select(F.col("_key").alias(key_as), F.posexplode(values).alias(pos_as, value_as))

@@ -86,10 +86,10 @@ def ranked(df: DataFrame, score: str, key: str, *, base: int = 0, top: int | Non
 
 
 def fuse(channels: dict[str, tuple[DataFrame, float]], key: str, *, k: int = 60) -> DataFrame:
-    """Weighted reciprocal-rank fusion of ranked channels (key, rank), weights renormalised over the given ones."""
-    total = sum(w for _, w in channels.values()) or 1.0
-    parts = [df.select(key, (F.lit(w / total) / (k + F.col("rank"))).alias("part")) for df, w in channels.values()]
-    return reduce(DataFrame.unionByName, parts).groupBy(key).agg(round_half_up(F.sum("part"), 8).alias("score"))
+    """Weighted reciprocal-rank fusion of ranked channels (key, rank), weights renormalised over those with rows."""
+    parts = reduce(DataFrame.unionByName, [df.select(key, F.lit(i).alias("_channel"), F.lit(float(w)).alias("_w"), (F.lit(float(w)) / (k + F.col("rank"))).alias("_part")) for i, (df, w) in enumerate(channels.values())])
+    total = parts.select("_channel", "_w").distinct().agg(F.sum("_w").alias("_total"))
+    return parts.groupBy(key).agg(F.sum("_part").alias("_sum")).crossJoin(F.broadcast(total)).select(key, round_half_up(F.col("_sum") / F.col("_total"), 8).alias("score"))
 
 
 def identity_channel(names: DataFrame, key: str, name: str, fqn: str, query: str) -> DataFrame:

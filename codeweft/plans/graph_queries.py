@@ -47,19 +47,13 @@ def k6_shortest(spark: SparkSession, folder: str) -> DataFrame:
     return paths.select("node", F.col("depth").cast("long").alias("depth"), F.array_join("path", ">").alias("path"))
 
 
-def _page_rank(edges: DataFrame, **options) -> DataFrame:
-    """Ranks in one task while it may hold the graph, else distributed; the same numbers."""
-    edges = materialise(edges)
-    return (graph_local.page_rank if edges.count() <= graph_local.LOCAL_EDGES else graph.page_rank)(edges, **options)
-
-
 def k14_pagerank(spark: SparkSession, folder: str) -> DataFrame:
-    ranks = _page_rank(b.imports(spark, folder), iterations=20)
+    ranks = graph_local.ranks(b.imports(spark, folder), iterations=20)
     return ranks.select("node", round_half_up(F.col("rank"), 8).alias("rank"))
 
 
 def k15_pagerank_converged(spark: SparkSession, folder: str) -> DataFrame:
-    ranks = _page_rank(b.imports(spark, folder), iterations=100, tolerance=1e-6)
+    ranks = graph_local.ranks(b.imports(spark, folder), iterations=100, tolerance=1e-6)
     return ranks.select("node", round_half_up(F.col("rank"), 6).alias("rank"))
 
 
@@ -112,8 +106,9 @@ def k26_impact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def k28_unreached(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that no entry point (a file that imports and is not imported) leads to."""
     edges = b.imports(spark, folder)
-    entries = edges.select(F.col("src").alias("node")).where("node % 10 = 0")
+    entries = edges.select(F.col("src").alias("node")).join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
     return graph.unreached(b.code_files(spark, folder).select(F.col("file_id").alias("node")), edges, entries)
 
 
@@ -212,7 +207,7 @@ ORACLES = {
       FROM im JOIN l a ON a.file_id = im.src JOIN l z ON z.file_id = im.dst WHERE (a.layer, z.layer) IN (('ECONOMY', 'PROMO'), ('STANDARD', 'LARGE'))""",
     "k26_impact": b.with_views("im", "fl", recursive=True) + _REACH.format(start="max(dst)", to="src", by="dst", most=3) + """, f AS (SELECT node, min(depth) AS depth FROM hit GROUP BY 1)
       SELECT CAST(f.depth AS BIGINT) AS depth, regexp_extract(fl.path, '^[^/]+/[^/]+') AS module, count(*) AS n_files FROM f JOIN fl ON fl.file_id = f.node WHERE f.depth > 0 GROUP BY 1, 2""",
-    "k28_unreached": b.with_views("im", "fl", recursive=True) + """, hit(node) AS (SELECT DISTINCT src FROM im WHERE src % 10 = 0 UNION SELECT im.dst FROM hit JOIN im ON im.src = hit.node)
+    "k28_unreached": b.with_views("im", "fl", recursive=True) + """, hit(node) AS (SELECT DISTINCT src FROM im WHERE src NOT IN (SELECT dst FROM im) UNION SELECT im.dst FROM hit JOIN im ON im.src = hit.node)
       SELECT file_id AS node FROM fl WHERE file_id NOT IN (SELECT node FROM hit)""",
     "k30_untested_exports": f"""WITH s AS {b.latest_sql('symbols', 'file_id', 'name', 'metadata')}, f AS {b.latest_sql('files', 'path')} SELECT s.id, s.name, f.path FROM s JOIN f ON f.id = s.file_id
       WHERE json_extract_string(s.metadata, '$.exported') = 'true' AND f.path NOT IN (SELECT target_file FROM tool_calls WHERE target_file IS NOT NULL)""",

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions.exprs import module_of, round_half_up
-from codeweft.operators import graph, history, search
+from codeweft.operators import graph, graph_local, history, search
 from codeweft.plans import bindings as b
+from codeweft.runtime import materialise
 from codeweft.sources.tables import table
 
 QUERY = "ScopeSweeper"
@@ -33,7 +34,9 @@ def m3_bug_scores(spark: SparkSession, folder: str) -> DataFrame:
     changes = _changes(spark, folder)
     churned = graph.percent_position(history.churn(changes).select("file_id", "commits", "authors"), "commits", "file_id", "churn_position")
     fixes = changes.where("is_fix").groupBy("file_id").agg(F.count("*").alias("fixes"))
-    return history.bug_scores(churned, fixes, b.code_files(spark, folder), graph.coupling(b.imports(spark, folder)))
+    edges = materialise(b.imports(spark, folder))
+    ranks = graph_local.ranks(edges, iterations=20).withColumn("rank", F.round("rank", 9))
+    return history.bug_scores(churned, fixes, b.code_files(spark, folder), graph.coupling(edges), graph.percent_position(ranks, "rank", "node", "rank_position"))
 
 
 def m4_drift(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,20 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: A side is broadcast only when its measured size stays below this many bytes.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir`` where set, else (tests) a private one."""
+    """Folder all executors share: ``spark.checkpoint.dir`` where set, else, in local mode only, a private one."""
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="codeweft-"))
     return sc.getCheckpointDir()
 
@@ -27,25 +30,47 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet into the shared folder and read it back.
 
     Unlike a cached frame this survives the loss of executors, keeps column pruning and
-    statistics, and ends the lineage. The files are removed when the application ends.
+    statistics, and ends the lineage. The files are removed by ``discard`` or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/codeweft-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = (files, hadoop)
+    return out
 
 
-def broadcast_if_small(df: DataFrame, text_columns: tuple[str, ...], limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only where a count of rows and text bytes proves the bound; else plain.
+def discard(df: DataFrame) -> None:
+    """Remove the files of a materialised frame that nothing lazy reads any more."""
+    files, path = df._written_to
+    files.delete(path, True)
+
+
+def _bytes_of(value: Column, kind: DataType) -> Column:
+    """Bytes of a value in memory, nested ones included, counted generously."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        return 24 + F.coalesce(F.aggregate(value, F.lit(0).cast("bigint"), lambda n, x: n + 8 + _bytes_of(x, kind.elementType)), F.lit(0))
+    if isinstance(kind, MapType):
+        return _bytes_of(F.map_keys(value), ArrayType(kind.keyType)) + _bytes_of(F.map_values(value), ArrayType(kind.valueType))
+    if isinstance(kind, StructType):
+        return sum((_bytes_of(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(16)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only where a count over all rows and columns proves the bound; else plain.
 
     ``df`` should be materialised, since it is read once for the measurement. Beyond the bound
     the join stays a shuffle join, which AQE splits where a key is hot.
     """
-    width = sum((F.coalesce(F.length(c), F.lit(0)) for c in text_columns), F.lit(64))
-    size = df.agg(F.sum(width)).first()[0] or 0
+    width = sum((_bytes_of(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(32))
+    size = df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
     return F.broadcast(df) if size <= limit else df
 
 

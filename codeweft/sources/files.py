@@ -27,7 +27,7 @@ def git_log(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.option("lineSep", "\u0001").text(path).where(F.trim("value") != "")
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     head = F.split(lines[0], r"\|", 4)
-    rows = whole.select(head.alias("h"), F.explode_outer(F.slice(lines, 2, 1_000_000)).alias("path"))
+    rows = whole.select(head.alias("h"), F.explode_outer(F.slice(lines, 2, F.size(lines))).alias("path"))
     subject = F.get("h", 3)
     return rows.select(F.get("h", 0).alias("commit_id"), F.timestamp_seconds(F.get("h", 1).cast("long")).alias("ts"), F.get("h", 2).alias("author"), subject.alias("subject"), F.coalesce(subject.rlike(r"(?i)\b(fix(es|ed)?|bug|hotfix)\b"), F.lit(False)).alias("is_fix"), "path")
 

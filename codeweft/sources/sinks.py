@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,16 +10,13 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], vers
     """Keep the newest version per key of the table at ``path`` and ``new``; returns the new generation's path.
 
     Generations are written beside each other and switched by the caller, so a lost job leaves the
-    old one whole.
+    old one whole. A column that only one side has is null for the rows of the other; a column of
+    another type is an error. Ties of the version go to the smallest remaining values.
     """
-    from pyspark.errors import AnalysisException
-    from pyspark.sql import Window
-
-    try:
-        rows = spark.read.parquet(path).unionByName(new)
-    except AnalysisException:
-        rows = new
-    order = Window.partitionBy(*keys).orderBy(F.col(version).desc(), *[F.col(c) for c in new.columns if c not in keys])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    rows = spark.read.parquet(path).unionByName(new, allowMissingColumns=True) if there else new
+    order = Window.partitionBy(*keys).orderBy(F.col(version).desc(), *[F.col(c) for c in rows.columns if c not in keys and c != version])
     out = f"{path.rstrip('/')}.next"
     rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").write.mode("overwrite").parquet(out)
     return out

@@ -40,11 +40,15 @@ def hourly_stream(spans: DataFrame, group: str, ts: str = "ts", late: str | None
 
 
 def attributed_stream(shown: DataFrame, accepted: DataFrame, group: str, window: str = "2 minutes") -> DataFrame:
-    """Showings within the window before each acceptance, as a stream-stream interval join."""
+    """The newest showing within the window before each acceptance (ties: the larger id), as an interval join of streams.
+
+    A result comes out once the watermark has passed its acceptance.
+    """
     s = shown.select(F.col(group).alias("_g"), F.col("ts").alias("shown_ts"), F.col("id").alias("shown_id")).withWatermark("shown_ts", window)
     a = accepted.select(group, F.col("ts").alias("accepted_ts"), F.col("id").alias("accepted_id")).withWatermark("accepted_ts", window)
     near = F.expr(f"_g = {group} AND shown_ts <= accepted_ts AND shown_ts >= accepted_ts - INTERVAL {window}")
-    return a.join(s, near).select(group, "accepted_id", "shown_id", "shown_ts", "accepted_ts")
+    newest = a.join(s, near).groupBy(group, "accepted_id", "accepted_ts").agg(F.max(F.struct("shown_ts", "shown_id")).alias("_s"))
+    return newest.select(group, "accepted_id", F.col("_s.shown_id").alias("shown_id"), F.col("_s.shown_ts").alias("shown_ts"), "accepted_ts")
 
 
 def expire(spans: DataFrame, aggregates: DataFrame, now, span_days: int = 7, aggregate_days: int = 90) -> tuple[DataFrame, DataFrame]:
