@@ -107,7 +107,7 @@ def _sides(classes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     if not crowds.head(1):
         both = keyed.withColumn("_i", F.lit(0)).withColumn("_j", F.lit(0))
         return both.alias("a"), both.alias("b")
-    known = keyed.join(broadcast_if_small(crowds, ()), ["_key", "_v"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    known = keyed.join(broadcast_if_small(crowds), ["_key", "_v"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     own, all_of = F.pmod(F.xxhash64("_class", F.lit(7)), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     return known.withColumn("_i", own).withColumn("_j", all_of).alias("a"), known.withColumn("_j", own).withColumn("_i", all_of).alias("b")
 

@@ -217,7 +217,7 @@ def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
     )
     if not over.head(1):
         return rows.withColumn("_i", F.lit(0)).withColumn("_j", F.lit(0))
-    known = rows.join(broadcast_if_small(over, ()), "_key", "left").withColumn("_in_i", F.greatest(F.coalesce("_in_i", F.lit(1)), F.lit(1))).withColumn("_in_j", F.greatest(F.coalesce("_in_j", F.lit(1)), F.lit(1)))
+    known = rows.join(broadcast_if_small(over), "_key", "left").withColumn("_in_i", F.greatest(F.coalesce("_in_i", F.lit(1)), F.lit(1))).withColumn("_in_j", F.greatest(F.coalesce("_in_j", F.lit(1)), F.lit(1)))
     dealt = lambda n: F.pmod(F.xxhash64("_class"), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     whole = known.where("_in_i = 1 and _in_j = 1").withColumn("_i", F.lit(0)).withColumn("_j", F.lit(0))

@@ -117,7 +117,7 @@ def _dealt(items: DataFrame, groups: int, capacity: int, key_items: int) -> Data
     hot = materialise(items.groupBy(F.col("_key").alias("_hot")).count().where(F.col("count") > key_items).select("_hot"))
     if not hot.head(1):
         return items
-    hot = broadcast_if_small(hot, ())
+    hot = broadcast_if_small(hot)
     same = F.col("_key").eqNullSafe(F.col("_hot"))
     spread = items.drop("_first").join(hot, same, "left_semi").withColumn("_group", F.pmod(F.xxhash64("_key", "_row"), F.lit(groups)))
     before = Window.partitionBy("_hot").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
