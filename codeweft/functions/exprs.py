@@ -143,3 +143,22 @@ def glob_to_regex(glob: str) -> str:
         out += {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|"}.get(c, "\\" + c if c in r".+()^$|\[]" else c)
         i += 1
     return out + "$"
+
+
+def param_count(signature: Column) -> Column:
+    """Parameters of a signature: commas of its first parentheses that no inner bracket holds; 0 for none and void."""
+    inner = F.regexp_extract(signature, r"(?s)^[^(]*\((.*)$", 1)
+    start = F.struct(F.lit(1).alias("depth"), F.lit(False).alias("filled"), F.lit(0).alias("n"), F.lit("").alias("word"))
+
+    def step(s: Column, c: Column) -> Column:
+        depth = s["depth"] + F.when(c.isin("(", "<", "[", "{"), 1).when(c.isin(")", ">", "]", "}"), -1).otherwise(0)
+        splits = (c == ",") & (s["depth"] == 1)
+        filled = s["filled"] | ((c != " ") & (depth > 0))
+        after = F.struct(
+            depth.alias("depth"), F.when(splits, False).otherwise(filled).alias("filled"), (s["n"] + F.when(splits & s["filled"], 1).otherwise(0)).alias("n"),
+            F.when((depth > 0) & (F.length(s["word"]) < 5), F.concat(s["word"], c)).otherwise(s["word"]).alias("word"),
+        )
+        return F.when(s["depth"] == 0, s).otherwise(after)
+
+    total = F.aggregate(F.split(inner, ""), start, step, lambda s: F.when((s["depth"] > 0) | (F.trim(s["word"]) == "void") & (s["n"] == 0), 0).otherwise(s["n"] + s["filled"].cast("int")))
+    return F.when(signature.contains("("), total).otherwise(0)

@@ -137,3 +137,14 @@ def greedy_budget(items: DataFrame, group: str, order: list[Column], size: str,
 
     kept = F.aggregate("_all", start, step, lambda s: s["kept"])
     return listed.select(group, F.explode(kept).alias("_k")).select(group, *[F.col(f"_k.{c}").alias(c) for c in fields])
+
+
+def seeded_sample(rows: DataFrame, key: str, n: int, *, seed: str) -> DataFrame:
+    """The ``n`` rows whose keys come first by a hash with a seed: the same rows each time, wherever they lie."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def vector_drift(pairs: DataFrame, pinned: str, now: str, *, least: float = 0.99) -> DataFrame:
+    """(n, mean, least, drifted) of the similarity between pinned vectors and those of today."""
+    s = pairs.select(round_half_up(cosine(F.col(pinned), F.col(now)), 6).alias("_s"))
+    return s.agg(F.count("*").alias("n"), round_half_up(F.avg("_s"), 4).alias("mean"), F.min("_s").alias("least"), F.count_if(F.col("_s") < least).alias("drifted"))

@@ -142,16 +142,22 @@ _PAIRS = """, kept AS (SELECT * FROM cf WHERE commit_id IN (SELECT commit_id FRO
   co AS (SELECT file_a, file_b, together, x.n AS n_a, y.n AS n_b, floor(together::DOUBLE / x.n * 1000 + 0.5) / 1000 AS confidence, floor(together::DOUBLE / (x.n + y.n - together) * 1000 + 0.5) / 1000 AS similarity
          FROM pr JOIN own x ON x.file_id = file_a JOIN own y ON y.file_id = file_b)"""
 _WEEK = "floor(commits / greatest(date_diff('day', first_seen, last_seen) / 7.0, 1.0)::DOUBLE * 100 + 0.5) / 100"
-_TF = "len(list_filter(regexp_extract_all(lower(coalesce({f}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda t: t = '{t}'))"
+_WORDS = "regexp_extract_all(lower(coalesce({f}, '')), '[\\p{{L}}\\p{{N}}_]+')"
+
+
+def _bm25_sql(source: str, fields: dict[str, float], terms: list[str], mark: str = "") -> str:
+    """Views that score ``source`` (id and the fields); the last is called bm behind the mark."""
+    tf = lambda t: " + ".join(f"{w} * len(list_filter({_WORDS.format(f=f)}, lambda t: t = '{t}'))" for f, w in fields.items())
+    n_words = " + ".join(f"len({_WORDS.format(f=f)})" for f in fields)
+    part = lambda i: f"ln((n - df_{i} + 0.5) / (df_{i} + 0.5) + 1) * tf_{i} * 2.2::DOUBLE / (tf_{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))"
+    all_ = range(len(terms))
+    return f"""{mark}r AS (SELECT id, {n_words} AS length, {', '.join(f'({tf(t)})::DOUBLE AS tf_{i}' for i, t in enumerate(terms))} FROM {source}),
+      {mark}s AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean, {', '.join(f'count(*) FILTER (tf_{i} > 0) AS df_{i}' for i in all_)} FROM {mark}r),
+      {mark}bm AS (SELECT id, floor(({' + '.join(map(part, all_))}) * 1e6 + 0.5) / 1e6 AS score FROM {mark}r, {mark}s WHERE {' AND '.join(f'tf_{i} > 0' for i in all_)})"""
 
 
 def _bm25() -> str:
-    tf = lambda t: f"(5.0 * {_TF.format(f='title', t=t)} + 1.0 * {_TF.format(f='content', t=t)})"
-    n_words = " + ".join(f"len(regexp_extract_all(lower(coalesce({f}, '')), '[\\p{{L}}\\p{{N}}_]+'))" for f in ("title", "content"))
-    part = lambda t: f"ln((n - df_{t} + 0.5) / (df_{t} + 0.5) + 1) * tf_{t} * 2.2 / (tf_{t} + 1.2 * (0.25 + 0.75 * length / mean))"
-    return f"""d AS {b.latest_sql('decisions', 'title', 'content')}, r AS (SELECT id, {n_words} AS length, {tf('cursor')} AS tf_cursor, {tf('keeper')} AS tf_keeper FROM d),
-      s AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean, count(*) FILTER (tf_cursor > 0) AS df_cursor, count(*) FILTER (tf_keeper > 0) AS df_keeper FROM r),
-      bm AS (SELECT id, floor(({part('cursor')} + {part('keeper')}) * 1e6 + 0.5) / 1e6 AS score FROM r, s WHERE tf_cursor > 0 AND tf_keeper > 0)"""
+    return f"d AS {b.latest_sql('decisions', 'title', 'content')}, " + _bm25_sql("d", {"title": 5.0, "content": 1.0}, ["cursor", "keeper"])
 
 
 def _grams(x: str) -> str:
