@@ -51,3 +51,41 @@ def env_type(value: Column) -> Column:
         .when(value.rlike(r"^-?\d*\.\d+$"), "number").when(value.rlike(r"^[a-z][a-z0-9+.-]*://"), "url").when(value.rlike(r"^\S+@\S+\.\S+$"), "email")
         .when(value.rlike(r"^(\.{0,2}/|~/|[A-Z]:\\)"), "path").when(value.rlike(r"^[\[{].*[\]}]$"), "json").otherwise("text")
     )
+
+
+# Shapes of code that costs or leaks (name, class, pattern), over single lines.
+ANTIPATTERNS = [
+    ("unbounded_query", "query", r"(?i)\bselect\s+\*\s+from\s+\w+\s*(;|['\"`)]|$)"),
+    ("query_in_loop", "query", r"(?i)\b(for|foreach|while)\b.*\b(query|execute|find_one|findone|fetch)\s*\("),
+    ("listener_without_end", "leak", r"\baddEventListener\s*\("),
+    ("timer_without_end", "leak", r"\bsetInterval\s*\("),
+    ("blocking_call", "stall", r"\b(readFileSync|execSync|time\.sleep)\s*\("),
+    ("everything_caught", "error", r"(?i)\bexcept\s*:|\bcatch\s*\(?\s*(\w+)?\s*\)?\s*\{\s*\}"),
+]
+SMELLS = [
+    ("todo", "note", r"\b(TODO|FIXME|HACK|XXX)\b"),
+    ("stub", "stub", r"(?i)not[ _]?implemented|\bunimplemented!"),
+    ("fixed_address", "value", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
+    ("fixed_port", "value", r"localhost:[0-9]{2,5}"),
+    ("printed", "leftover", r"\bconsole\.(log|debug)\s*\(|\bdebugger\b"),
+    ("switched_off_check", "check", r"eslint-disable|@ts-ignore|# ?noqa|# ?type: ?ignore"),
+]
+
+
+def counted_rules(texts: DataFrame, key: str, text: Column, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(rule, class, texts, lines): how many texts and lines break each rule."""
+    found = scan_lines(texts, key, text, rules)
+    return found.groupBy("rule", "class").agg(F.countDistinct(key).alias("texts"), F.count("*").alias("lines"))
+
+
+def complexity_report(symbols: DataFrame, *, least: int = 5, top: int = 50) -> DataFrame:
+    """The symbols that are hardest to follow: by complexity, nesting and parameters, with the verdict of each bound."""
+    verdict = F.concat_ws(",", F.when(F.col("cyclomatic") > 10, "complex"), F.when(F.col("max_nesting") > 4, "nested"), F.when(F.col("param_count") > 5, "parameters"))
+    rows = symbols.where(F.col("cyclomatic") >= least).select("id", "name", "cyclomatic", "max_nesting", "param_count", verdict.alias("verdict"))
+    return rows.orderBy(F.col("cyclomatic").desc(), F.col("max_nesting").desc_nulls_last(), F.col("param_count").desc_nulls_last(), "id").limit(top)
+
+
+def edit_safety(files: DataFrame) -> DataFrame:
+    """Verdict on editing each file (dependents, complexity, tests): ``safe``, ``careful`` or ``risky``."""
+    points = F.when(F.col("dependents") >= 10, 2).when(F.col("dependents") >= 3, 1).otherwise(0) + F.when(F.col("complexity") > 20, 1).otherwise(0) + F.when(F.col("tests") == 0, 1).otherwise(0)
+    return files.select("node", points.cast("long").alias("points"), F.when(points >= 3, "risky").when(points == 2, "careful").otherwise("safe").alias("verdict"))

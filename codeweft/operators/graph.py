@@ -281,3 +281,97 @@ def settle(links: DataFrame, sweeps: int) -> DataFrame:
             break
     least = of.groupBy("community").agg(F.min("node").alias("name"))
     return of.join(least, "community").select("node", F.col("name").alias("community"))
+
+
+def project_typed(edges: DataFrame, nodes: DataFrame, *, excluded: list[str] = (), across: bool = False) -> DataFrame:
+    """Distinct file edges (src, dst) out of symbol edges (src, dst, type) between different files.
+
+    ``nodes`` has node, file_id and workspace. Types in ``excluded`` and, unless ``across``, edges
+    between workspaces make none.
+    """
+    kept = edges.where(~F.col("type").isin(list(excluded))) if excluded else edges
+    a = nodes.select(F.col("node").alias("src"), F.col("file_id").alias("_a"), F.col("workspace").alias("_wa"))
+    z = nodes.select(F.col("node").alias("dst"), F.col("file_id").alias("_z"), F.col("workspace").alias("_wz"))
+    both = kept.join(a, "src").join(z, "dst").where("_a <> _z")
+    return (both if across else both.where(F.col("_wa").eqNullSafe(F.col("_wz")))).select(F.col("_a").alias("src"), F.col("_z").alias("dst")).distinct()
+
+
+def traverse(
+    edges: DataFrame, start, *, direction: str = "outgoing", types: list[str] = (), max_depth: int = 3, max_nodes: int = 100, token_budget: int | None = 4000, name_length: Column | None = None
+) -> tuple[DataFrame, dict[str, bool]]:
+    """Breadth-first walk from one node under limits: (node, depth, edge_type, in_degree), and what cut it short.
+
+    ``edges`` has src, dst and type. A level is walked in the order of its discovery: by the
+    parent's place, then the neighbour. A node costs a quarter of its two names' characters and
+    fifty more (``name_length``: characters of ``node`` twice). in_degree counts the walked edges into a
+    node. The result is bounded by ``max_nodes``, and so is what the driver sees of a level.
+    """
+    way = {"outgoing": ("src", "dst"), "incoming": ("dst", "src")}
+    ends = [way[direction]] if direction in way else list(way.values())
+    kept = edges.where(F.col("type").isin(list(types))) if types else edges
+    steps = None
+    for a, z in ends:
+        part = kept.select(F.col(a).alias("_from"), F.col(z).alias("node"), "type")
+        steps = part if steps is None else steps.unionByName(part)
+    steps = materialise(steps)
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType
+    cost = F.ceil(((F.length(F.col("node").cast("string")) * 2 if name_length is None else name_length) + 50) / 4)
+    shape = f"node {kind.simpleString()}, place long, depth int, edge_type string"
+    found, level, flags, used = [], [(start, 0, 0, None)], {"depth": False, "nodes": False, "budget": False}, 0
+    seen = {start}
+    while level:
+        for row in level if token_budget is None else []:
+            found.append(row)
+        if token_budget is not None:
+            costs = {r.node: r.c for r in spark.createDataFrame(level, shape).select("node", cost.alias("c")).collect()}
+            for row in level:
+                if used + costs[row[0]] > token_budget:
+                    flags["budget"] = True
+                    break
+                used += costs[row[0]]
+                found.append(row)
+        if len(found) >= max_nodes:
+            found, flags["nodes"] = found[:max_nodes], True
+        if flags["budget"] or flags["nodes"]:
+            break
+        here = spark.createDataFrame([(r[0], r[1]) for r in level], f"_from {kind.simpleString()}, _place long")
+        known = spark.createDataFrame([(n,) for n in seen], f"node {kind.simpleString()}")
+        near = steps.join(F.broadcast(here), "_from").join(F.broadcast(known), "node", "left_anti")
+        if level[0][2] >= max_depth:
+            flags["depth"] = bool(near.head(1))
+            break
+        first = near.groupBy("node").agg(F.min(F.struct("_place", "type")).alias("b"))
+        most = max_nodes - len(found)
+        new = first.orderBy("b._place", "node").limit(most).select("node", F.col("b.type").alias("type")).collect()
+        level = [(r.node, i, level[0][2] + 1, r.type) for i, r in enumerate(new)]
+        seen.update(r[0] for r in level)
+    nodes = spark.createDataFrame(found, shape)
+    walked = nodes.where(F.col("depth") < max_depth).select(F.col("node").alias("_from"))
+    into = steps.join(F.broadcast(walked), "_from").groupBy("node").agg(F.count("*").alias("in_degree"))
+    return nodes.join(into, "node", "left").select("node", "depth", "edge_type", F.coalesce("in_degree", F.lit(0)).alias("in_degree")), flags
+
+
+def impact(edges: DataFrame, changed: DataFrame, facts: DataFrame, together: DataFrame, tests: DataFrame, *, max_depth: int = 3) -> DataFrame:
+    """(node, depth, coupled, tests, risk): what a change reaches against the edges, and how risky each is.
+
+    ``facts`` has node and complexity; ``together`` (file_a, file_b, similarity) are files that
+    change together; ``tests`` (node, n_tests). Files that only change together with a changed one
+    are hidden dependents, at depth null. Risk is 0.4 for nearness, 0.3 for complexity over 20, 0.2 for
+    changing together, 0.1 without tests.
+    """
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    reached = reach(back, changed, max_depth=max_depth).where("depth > 0")
+    both = together.select(F.col("file_a").alias("_c"), F.col("file_b").alias("node"), "similarity").unionByName(together.select(F.col("file_b").alias("_c"), F.col("file_a").alias("node"), "similarity"))
+    coupled = both.join(changed.select(F.col("node").alias("_c")), "_c").groupBy("node").agg(F.max("similarity").alias("coupled"))
+    rows = reached.join(coupled, "node", "full").join(changed.select("node"), "node", "left_anti").join(facts.select("node", "complexity"), "node", "left").join(tests, "node", "left").na.fill(0, ["n_tests"])
+    near = F.coalesce(1.0 / F.col("depth"), F.lit(0.0)) * 0.4
+    hard = F.least(F.lit(1.0), F.coalesce("complexity", F.lit(0)) / 20.0) * 0.3
+    risk = near + hard + F.coalesce("coupled", F.lit(0.0)) * 0.2 + F.when(F.col("n_tests") == 0, 0.1).otherwise(0.0)
+    return rows.select("node", F.col("depth").cast("long").alias("depth"), F.coalesce("coupled", F.lit(0.0)).alias("coupled"), F.col("n_tests").alias("tests"), round_half_up(risk, 4).alias("risk"))
+
+
+def renames(old: DataFrame, new: DataFrame, path: str, content: str) -> DataFrame:
+    """(old_path, new_path): files that are gone and files that are new with a content only one file on each side has."""
+    gone, came = old.join(new.select(path), path, "left_anti"), new.join(old.select(path), path, "left_anti")
+    one = lambda df, name: df.where(F.col(content).isNotNull()).groupBy(content).agg(F.min(path).alias(name), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    return one(gone, "old_path").join(one(came, "new_path"), content).select("old_path", "new_path")

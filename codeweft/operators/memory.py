@@ -75,3 +75,21 @@ def mine(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, cue, confidence, n): sentences of each cue in a text."""
     counts = F.array(*[F.struct(F.lit(n).alias("cue"), F.lit(c).alias("confidence"), F.size(F.regexp_extract_all(F.col(text), F.lit(f"({p})"), F.lit(1))).cast("long").alias("n")) for n, p, c in CUES])
     return texts.select(key, F.explode(counts).alias("c")).select(key, "c.*").where("n > 0")
+
+
+def replay(changes: DataFrame, key: str, at: str, change: str) -> DataFrame:
+    """(key, state, changes): each fact after all its changes; the latest decides (ties: the larger name)."""
+    g = changes.groupBy(key).agg(F.max(F.struct(F.col(at).alias("at"), F.col(change).alias("c")))["c"].alias("state"), F.count("*").alias("changes"))
+    return g.select(key, "state", "changes")
+
+
+def at_detail(rows: DataFrame, level: str, levels: dict[str, list[str]]) -> DataFrame:
+    """The columns of a level of detail; ``full``, or a level that is not listed, keeps all."""
+    return rows.select(*levels.get(level, rows.columns))
+
+
+def interval_at(points: DataFrame, ranges: DataFrame, key: str, at: str, lo: str, hi: str, order: str) -> DataFrame:
+    """Each point (``key``, ``at``) with the shortest range of its key that holds it, ties by ``order``; points in none are left out."""
+    met = points.select(key, at).distinct().join(ranges.select(key, lo, hi, order), key).where(F.col(at).between(F.col(lo), F.col(hi)))
+    best = met.groupBy(key, at).agg(F.min(F.struct((F.col(hi) - F.col(lo)).alias("n"), F.col(order).alias("o")))["o"].alias(order))
+    return best.select(key, at, order)

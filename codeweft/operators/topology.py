@@ -24,7 +24,7 @@ def link_calls(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     e = endpoints.select(F.col("id").alias("endpoint_id"), url_pattern(F.col("path")).alias("_p"), F.upper("method").alias("_m"))
     path = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://[^/]+", ""), r"[?#].*$", "")
     c = calls.select("call_id", F.upper("method").alias("_cm"), url_pattern(path).alias("_cp"))
-    parts = F.split(F.substring("_cp", 2, 100_000), "/")
+    parts = F.split(F.col("_cp").substr(F.lit(2), F.length("_cp")), "/")
     suffix = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, i, F.size(parts)), "/")))
     keyed = c.select("call_id", "_cm", "_cp", F.explode(F.array_distinct(suffix)).alias("_p"))
     score = F.when(F.col("_p") == F.col("_cp"), 1.0).otherwise(0.7) + F.when(F.col("_m").eqNullSafe(F.col("_cm")), 0.2).otherwise(0.0)

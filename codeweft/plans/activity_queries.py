@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.exprs import round_half_up, timestamp_of, token_estimate, url_pattern
 from codeweft.operators import detectors, history, memory, telemetry, topology
 from codeweft.plans import bindings as b
+from codeweft.plans.history_queries import _similar
 from codeweft.sources.tables import table
 
 DOMAINS = {"billing": ["ledger", "budget", "wallet", "vault"], "search": ["query", "index", "ranker", "corpus", "vector"], "storage": ["cache", "store", "archive", "table"]}
@@ -127,9 +128,10 @@ def q3_drift(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q4_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Endpoints called by their own paths behind a gateway prefix."""
+    """Calls through a gateway, with values in place of parameters, linked to the endpoints they meet."""
     endpoints = b.latest(spark, folder, "api_endpoints", "method", "path").where("path is not null")
-    calls = endpoints.select(F.col("id").alias("call_id"), F.concat(F.lit("https://gateway.example/edge"), "path").alias("url"), "method")
+    url = F.concat(F.lit("https://gateway.example/edge"), F.regexp_replace("path", r"\{[^}/]*\}|:[A-Za-z_][A-Za-z0-9_]*", "42"), F.lit("?page=2"))
+    calls = endpoints.select(F.col("id").alias("call_id"), url.alias("url"), F.lower("method").alias("method"))
     return topology.link_calls(calls, endpoints)
 
 
@@ -159,12 +161,6 @@ def m13_gates(spark: SparkSession, folder: str) -> DataFrame:
     return gated.withColumn("value", round_half_up(F.col("value"), 4))
 
 
-def c19_renames(spark: SparkSession, folder: str) -> DataFrame:
-    """Different paths with the same content."""
-    files = b.latest(spark, folder, "files", "path", "content_hash").where("content_hash is not null")
-    return files.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("path").alias("first_path")).where("n > 1")
-
-
 def h10_tokens(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").where("text is not null")
     return docs.groupBy("source").agg(F.sum(token_estimate(F.col("text"))).alias("tokens"), F.count("*").alias("docs"))
@@ -181,7 +177,7 @@ def d12_share(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     d6_hourly, d8_latency, runtime_tree, runtime_dependencies, attribution_nearest, attribution_once, usage_by_tool, usage_trend, usage_repeated_reads, usage_cohorts, usage_weights,
     session_duplicates, n1_valid_at, n2_stats, n2_timeline, n4_supersede, n6_similar, n11_mined, n12_chunks, q1_services, q3_drift, q4_links, q4_patterns, q6_tunnels, q8_domains,
-    r1_scan, m13_gates, c19_renames, h10_tokens, d16_dispersion, d12_share,
+    r1_scan, m13_gates, h10_tokens, d16_dispersion, d12_share,
 )} | {"runtime_profile": p1_profile}
 
 _HOUR = """, h AS (SELECT service, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H') AS hour, count(*) AS calls, count(*) FILTER (status = 2) AS errors, floor(sum(duration) * 100 + 0.5) / 100 AS total, min(duration) AS least, max(duration) AS most,
@@ -200,6 +196,13 @@ def _domain_sql() -> str:
 
 
 ORACLES = {
+    "n6_similar": f"WITH t AS (SELECT id, title, {_similar('title', repr('Rebuild the segment oracle'))} AS similarity FROM {b.latest_sql('decisions', 'title')} WHERE title IS NOT NULL) SELECT * FROM t WHERE similarity >= 0.2",
+    "n11_mined": "WITH " + ", ".join(f"c{i} AS (SELECT doc_id, '{n}' AS cue, {c}::DOUBLE AS confidence, len(regexp_extract_all(text, '{p}'))::BIGINT AS n FROM documents WHERE text IS NOT NULL)" for i, (n, p, c) in enumerate(memory.CUES)) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(len(memory.CUES))) + ") WHERE n > 0",
+    "q4_links": f"""WITH e AS (SELECT id, upper(method) AS m, {_PATTERN.format('path')} AS p, path FROM {b.latest_sql('api_endpoints', 'method', 'path')} WHERE path IS NOT NULL),
+      c AS (SELECT id AS call_id, m AS cm, {_PATTERN.format("'/edge' || regexp_replace(path, '\\{[^}/]*\\}|:[A-Za-z_][A-Za-z0-9_]*', '42', 'g')")} AS cp FROM e),
+      l AS (SELECT call_id, e.id, CASE WHEN p = cp THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END + CASE WHEN m IS NOT DISTINCT FROM cm THEN 0.2::DOUBLE ELSE 0 END AS s FROM c JOIN e ON starts_with(p, '/') AND (p = cp OR ends_with(cp, p)))
+      SELECT call_id, id AS endpoint_id, least(s, 1.0::DOUBLE) AS confidence FROM l QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY s DESC, id) = 1""",
+    "r1_scan": "WITH t AS (SELECT id, unnest(string_split(input_snippet, chr(10))) AS line, unnest(range(1, len(string_split(input_snippet, chr(10))) + 1)) AS no FROM " + b.latest_sql("tool_calls", "input_snippet") + " WHERE input_snippet IS NOT NULL) " + " UNION ALL ".join("SELECT id, CAST(no AS BIGINT) AS line_no, '{}' AS rule, '{}' AS class FROM t WHERE regexp_matches(line, '{}')".format(n, c, p.replace("'", "''")) for n, c, p in detectors.RULES),
     "d6_hourly": b.with_views("sp") + _HOUR + " SELECT * FROM h",
     "runtime_profile": b.with_views("sp") + _HOUR + """ SELECT service, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(errors) AS BIGINT) AS errors, floor(sum(p50 * calls) / sum(calls) * 1000 + 0.5) / 1000 AS p50_wavg,
       floor(sum(p95 * calls) / sum(calls) * 1000 + 0.5) / 1000 AS p95_wavg, floor(sum(p99 * calls) / sum(calls) * 1000 + 0.5) / 1000 AS p99_wavg FROM h GROUP BY 1""",
@@ -229,7 +232,6 @@ ORACLES = {
     "q8_domains": _domain_sql(),
     "m13_gates": f"""WITH f AS {b.latest_sql('files', 'status', 'byte_length')}, m AS (SELECT count(*) FILTER (status <> 'ok')::DOUBLE / count(*) * 100 AS bad, count(*) FILTER (byte_length > 1000000)::DOUBLE AS large FROM f)
       SELECT 'parse_failures' AS rule, floor(bad * 1e4 + 0.5) / 1e4 AS value, CASE WHEN bad > 20 THEN 'error' WHEN bad > 5 THEN 'warning' ELSE 'pass' END AS verdict FROM m UNION ALL SELECT 'large_files', large, CASE WHEN large > 1e9 THEN 'error' WHEN large > 0 THEN 'warning' ELSE 'pass' END FROM m""",
-    "c19_renames": f"WITH f AS {b.latest_sql('files', 'path', 'content_hash')} SELECT content_hash, count(*) AS n, min(path) AS first_path FROM f WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "h10_tokens": "SELECT source, CAST(sum(CAST(ceil(length(text)::DOUBLE / 4 * 1.15::DOUBLE) AS BIGINT)) AS BIGINT) AS tokens, count(*) AS docs FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "d16_dispersion": "SELECT l_returnflag, floor(avg(l_quantity) * 1e4 + 0.5) / 1e4 AS mean, floor(stddev_samp(l_quantity) * 1e4 + 0.5) / 1e4 AS spread, quantile_disc(l_quantity, 0.95) AS p95 FROM lineitem GROUP BY 1",
     "d12_share": "SELECT user_id, event_type, count(*) AS n, floor(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY user_id) * 1000 + 0.5) / 1000 AS share FROM events GROUP BY 1, 2",

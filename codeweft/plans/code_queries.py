@@ -71,7 +71,7 @@ def m7_risk(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("file_id", risk.alias("risk"))
 
 
-def c14_first_version(spark: SparkSession, folder: str) -> DataFrame:
+def d17_reload_lag(spark: SparkSession, folder: str) -> DataFrame:
     """How late reloads of a session came after its first load, in whole hours."""
     s = table(spark, folder, "sessions").groupBy("id").agg(F.min("loaded_at").alias("a"), F.max("loaded_at").alias("z"), F.count("*").alias("n"))
     return s.where("n > 1").select("id", "n", F.floor((F.unix_micros(F.col("z").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))) / 3_600_000_000).alias("hours"))
@@ -123,7 +123,7 @@ def b2_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    c15_resolved, k8_call_graph, k11_children, k27_dead_code, l16_duplicate_names, l17_clones, m6_debt, m7_risk, c14_first_version, d2_shared_files, d4_languages, d14_mode, e5_latest,
+    c15_resolved, k8_call_graph, k11_children, k27_dead_code, l16_duplicate_names, l17_clones, m6_debt, m7_risk, d17_reload_lag, d2_shared_files, d4_languages, d14_mode, e5_latest,
     f4_provenance_top, g4_common_customers, b9_matching_lines, b2_filters,
 )}
 
@@ -131,6 +131,10 @@ _DEGREE = "dg AS (SELECT node AS file_id, CAST(sum(i) AS BIGINT) AS n_in, CAST(s
 _ROUND = "floor(({0}) * 1000 + 0.5) / 1000"
 
 ORACLES = {
+    "m6_debt": b.with_views("im", "fl", "cf") + """, ii AS (SELECT node AS file_id, floor(sum(o)::DOUBLE / count(*) * 1000 + 0.5) / 1000 AS i FROM (SELECT src AS node, 1 AS o FROM im UNION ALL SELECT dst, 0 FROM im) GROUP BY 1), ch AS (SELECT file_id, count(*) AS c FROM cf GROUP BY 1),
+      m AS (SELECT regexp_extract(path, '^[^/]+/[^/]+') AS module, avg(max_cyclomatic) / 50 AS x, avg(coalesce(i, 0.0::DOUBLE)) AS k, avg(CASE WHEN i IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) AS t, avg(coalesce(c, 0)) / 60 AS h FROM fl LEFT JOIN ii USING (file_id) LEFT JOIN ch USING (file_id) GROUP BY 1),
+      s AS (SELECT module, floor((least(1, x) * 0.3::DOUBLE + least(1, k) * 0.25::DOUBLE + least(1, t) * 0.25::DOUBLE + least(1, h) * 0.2::DOUBLE) * 1000 + 0.5) / 1000 AS score FROM m)
+      SELECT module, score, CASE WHEN score <= 0.2 THEN 'A' WHEN score <= 0.4 THEN 'B' WHEN score <= 0.6 THEN 'C' WHEN score <= 0.8 THEN 'D' ELSE 'F' END AS grade FROM s""",
     "c15_resolved": f"""WITH s AS {b.latest_sql('symbols', 'symbol_id', 'fqn', 'name')}, w AS (SELECT DISTINCT symbol_id AS n FROM {b.latest_sql('decisions', 'symbol_id')} WHERE symbol_id <> ''),
       k AS (SELECT id, 1.0::DOUBLE AS c, symbol_id AS n FROM s UNION ALL SELECT id, 0.9, fqn FROM s UNION ALL SELECT id, 0.7, name FROM s), f AS (SELECT w.n, k.id, k.c, count(*) FILTER (k.c = 0.7::DOUBLE) OVER (PARTITION BY w.n) AS same FROM w LEFT JOIN k ON k.n = w.n QUALIFY row_number() OVER (PARTITION BY w.n ORDER BY k.c DESC, k.id) = 1)
       SELECT n AS symbol_id, id, c AS confidence, coalesce(c = 0.7::DOUBLE AND same >= 10, false) AS weak FROM f""",
@@ -144,7 +148,7 @@ ORACLES = {
         WHERE json_extract_string(metadata, '$.exported') = 'true' AND (symbol_id IS NULL OR symbol_id NOT IN (SELECT symbol_id FROM d WHERE symbol_id IS NOT NULL)))
       SELECT id, floor((f + 1)::DOUBLE / 3 * 1000 + 0.5) / 1000 AS confidence FROM r WHERE floor((f + 1)::DOUBLE / 3 * 1000 + 0.5) / 1000 >= 0.6""",
     "m7_risk": b.with_views("im", "fl", "cf") + f", {_DEGREE} SELECT fl.file_id, " + _ROUND.format("least(1, n_in * 10 / 50.0::DOUBLE) * 0.25::DOUBLE + least(1, max_cyclomatic / 20.0::DOUBLE) * 0.2::DOUBLE + 0.5::DOUBLE * 0.2::DOUBLE + least(1, coalesce(commits, 0) / 30.0::DOUBLE) * 0.2::DOUBLE + n_out::DOUBLE / (n_in + n_out) * 0.15::DOUBLE") + " AS risk FROM fl JOIN dg USING (file_id) LEFT JOIN ch USING (file_id)",
-    "c14_first_version": "SELECT id, count(*) AS n, CAST(floor((epoch_us(max(loaded_at)) - epoch_us(min(loaded_at))) / 3600000000) AS BIGINT) AS hours FROM sessions GROUP BY 1 HAVING count(*) > 1",
+    "d17_reload_lag": "SELECT id, count(*) AS n, CAST(floor((epoch_us(max(loaded_at)) - epoch_us(min(loaded_at))) / 3600000000) AS BIGINT) AS hours FROM sessions GROUP BY 1 HAVING count(*) > 1",
     "d2_shared_files": f"WITH c AS {b.latest_sql('tool_calls', 'session_id', 'target_file')} SELECT target_file, count(DISTINCT session_id) AS sessions FROM c WHERE target_file IS NOT NULL GROUP BY 1 HAVING count(DISTINCT session_id) >= 3",
     "d4_languages": f"WITH f AS {b.latest_sql('files', 'language', 'workspace')} SELECT workspace, count(*) AS n, array_to_string(list_sort(list(DISTINCT language) FILTER (language IS NOT NULL)), ',') AS languages FROM f GROUP BY 1",
     "d14_mode": f"WITH c AS {b.latest_sql('tool_calls', 'session_id', 'tool_name')} SELECT session_id, tool_name, count(*) AS n FROM c WHERE session_id <> '' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, tool_name) = 1",

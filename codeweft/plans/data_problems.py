@@ -59,4 +59,21 @@ def _sql_direct(fk: ForeignKey) -> str:
     WHERE t.k IS NULL OR t.target_at > r.record_at"""
 
 
-ORACLES = {"p5_found": " UNION ALL ".join(map(_sql_direct, REFERENCES))}
+def _sql_resolved(fk: ForeignKey) -> str:
+    """Every reference of a foreign key with its target's record, one row a record."""
+    ref, key = f"CAST({fk.column} AS VARCHAR)", f"CAST({fk.key} AS VARCHAR)"
+    return f"""
+    SELECT '{fk.table}' AS ref_table, '{fk.column}' AS ref_column, r.record_key, r.target_key, r.record_at, '{fk.target}' AS target_table, t.target_record, t.target_at, d.record_key IS NOT NULL AS gone
+    FROM (SELECT {key} AS record_key, first({ref} ORDER BY loaded_at NULLS LAST, {fk.column}) FILTER ({ref} <> '') AS target_key, min(loaded_at) AS record_at FROM {fk.table} GROUP BY 1) r
+    LEFT JOIN (SELECT CAST({fk.field} AS VARCHAR) AS k, min(CAST({fk.target_key} AS VARCHAR)) AS target_record, min(loaded_at) AS target_at FROM {fk.target} WHERE {fk.field} IS NOT NULL GROUP BY 1) t ON t.k = r.target_key
+    LEFT JOIN (SELECT DISTINCT record_key FROM deleted_records WHERE table_name = '{fk.target}' AND key_field = '{fk.field}') d ON d.record_key = r.target_key
+    WHERE r.target_key IS NOT NULL"""
+
+
+_REPORT = f"""WITH RECURSIVE refs AS ({" UNION ALL ".join(map(_sql_resolved, REFERENCES + STRUCTURE))}),
+  lost(t, k) AS (SELECT ref_table, record_key FROM refs WHERE target_record IS NULL UNION SELECT e.ref_table, e.record_key FROM lost JOIN refs e ON e.target_table = lost.t AND e.target_record = lost.k),
+  told AS (SELECT *, 'direct' AS origin, CASE WHEN target_record IS NULL THEN CASE WHEN gone THEN 'deleted' ELSE 'missing' END ELSE 'late' END AS reason FROM refs WHERE target_record IS NULL OR target_at > record_at
+    UNION ALL SELECT *, 'inherited', 'orphaned' FROM refs e WHERE EXISTS (SELECT 1 FROM lost WHERE lost.t = e.target_table AND lost.k = e.target_record))
+  SELECT ref_table, ref_column, origin, reason, strftime(record_at, '%Y-%m') AS ref_month, count(*) AS n_refs, count(DISTINCT target_key) AS n_targets FROM told GROUP BY 1, 2, 3, 4, 5"""
+
+ORACLES = {"p5_found": " UNION ALL ".join(map(_sql_direct, REFERENCES)), "p5_report": _REPORT}

@@ -20,10 +20,9 @@ def _starts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def k1_projection(spark: SparkSession, folder: str) -> DataFrame:
-    """Parent links between symbols lifted to their files."""
-    symbols = b.latest(spark, folder, "symbols", "file_id", "parent_id")
-    edges = symbols.where("parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst"))
-    return graph.project(edges, symbols.select(F.col("id").alias("node"), "file_id"))
+    """Links between successive lines of an order (the symbols) lifted to their parts (the files)."""
+    lines = table(spark, folder, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("node"), F.col("l_partkey").alias("file_id"))
+    return graph.project(lines.select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst")), lines)
 
 
 def k2_weighted(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,7 +162,6 @@ QUERIES = {f.__name__: f for f in (
     k35_workspaces, k40_snapshot_diff, q7_components,
 )}
 
-_SYMBOLS = b.latest_sql("symbols", "file_id", "parent_id")
 _RANK = """, n AS (SELECT count(*) AS n FROM (SELECT src FROM im UNION SELECT dst FROM im)), od AS (SELECT src, count(*) AS o FROM im GROUP BY 1),
   nodes AS (SELECT node, od.o FROM (SELECT src AS node FROM im UNION SELECT dst FROM im) LEFT JOIN od ON od.src = node)"""
 
@@ -183,7 +181,11 @@ _DIVERGE = """(greatest(len(string_split(a.path, '/')), len(string_split(z.path,
 _REACH = """, hit(node, depth) AS (SELECT {start}, 0 FROM im UNION SELECT im.{to}, hit.depth + 1 FROM hit JOIN im ON im.{by} = hit.node WHERE hit.depth < {most})"""
 
 ORACLES = {
-    "k1_projection": f"WITH s AS {_SYMBOLS} SELECT DISTINCT a.file_id AS src, p.file_id AS dst FROM s a JOIN s p ON a.parent_id = p.id WHERE a.file_id <> p.file_id",
+    "k6_shortest": b.with_views("im", recursive=True) + """, u AS (SELECT src, dst FROM im UNION SELECT dst, src FROM im), s AS (SELECT min(src) AS s FROM im),
+      f(node, depth, path) AS (SELECT s, 0, [s] FROM s UNION ALL SELECT node, depth, path FROM (SELECT u.dst AS node, f.depth + 1 AS depth, list_append(f.path, u.dst) AS path, row_number() OVER (PARTITION BY u.dst ORDER BY f.node) AS n
+        FROM f JOIN u ON u.src = f.node WHERE f.depth < 4 AND NOT list_contains(f.path, u.dst)) WHERE n = 1)
+      SELECT node, CAST(depth AS BIGINT) AS depth, array_to_string(path, '>') AS path FROM f QUALIFY row_number() OVER (PARTITION BY node ORDER BY depth) = 1""",
+    "k1_projection": "SELECT DISTINCT a.l_partkey AS src, z.l_partkey AS dst FROM lineitem a JOIN lineitem z ON a.l_orderkey = z.l_orderkey AND z.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> z.l_partkey",
     "k2_weighted": "SELECT l_suppkey AS src, o_custkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey <> o_custkey GROUP BY 1, 2",
     "k4_traverse": b.with_views("im", recursive=True) + _REACH.format(start="min(src)", to="dst", by="src", most=3) + " SELECT DISTINCT im.src, im.dst FROM im JOIN hit ON hit.node = im.src",
     "k5_bfs": b.with_views("im", recursive=True) + _REACH.format(start="min(src)", to="dst", by="src", most=5) + " SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM hit GROUP BY 1",

@@ -103,7 +103,7 @@ def l4_hybrid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def l7_identity(spark: SparkSession, folder: str) -> DataFrame:
-    return search.identity_channel(b.latest(spark, folder, "symbols", "name", "fqn"), "id", "name", "fqn", QUERY)
+    return search.identity_channel(b.latest(spark, folder, "symbols", "name", "fqn"), "id", "name", "fqn", "Repository")
 
 
 def l8_grep(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,6 +160,16 @@ def _bm25() -> str:
     return f"d AS {b.latest_sql('decisions', 'title', 'content')}, " + _bm25_sql("d", {"title": 5.0, "content": 1.0}, ["cursor", "keeper"])
 
 
+_SEGMENTS = "list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_\\-.:/]+'), lambda s: s <> '')"
+
+
+def _identity(q: str) -> str:
+    q = q.lower()
+    return f"""CASE WHEN lower(name) = '{q}' OR lower(fqn) = '{q}' THEN 1.0 WHEN coalesce(ends_with(lower(fqn), '{q}'), false) THEN 0.9 WHEN starts_with(lower(name), '{q}') THEN 0.8
+      WHEN list_contains({_SEGMENTS}, '{q}') THEN 0.7 WHEN list_contains(regexp_split_to_array(coalesce(lower(fqn), ''), '[:#./-]+'), '{q}') THEN 0.6
+      WHEN len(list_filter({_SEGMENTS}, lambda s: starts_with(s, '{q}'))) > 0 THEN 0.5 WHEN contains(lower(name), '{q}') THEN 0.3 WHEN coalesce(contains(lower(fqn), '{q}'), false) THEN 0.2 ELSE 0.0 END"""
+
+
 def _grams(x: str) -> str:
     return f"CASE WHEN length({x}) < 3 THEN [lower({x})] ELSE list_distinct(list_transform(range(1, CAST(length({x}) AS INTEGER) - 1), lambda i: substr(lower({x}), i, 3))) END"
 
@@ -168,7 +178,36 @@ def _similar(x: str, q: str) -> str:
     return f"floor(len(list_intersect({_grams(x)}, {_grams(q)}))::DOUBLE / len(list_distinct(list_concat({_grams(x)}, {_grams(q)}))) * 1e6 + 0.5) / 1e6"
 
 
+_SHARE = "floor(({0}) * 1000 + 0.5) / 1000"
+_UNIT = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce({0}, 0.0::DOUBLE)))"
+_SIGNALS = {"churn_position": 0.2, "fixes::DOUBLE / commits": 0.2, "max_cyclomatic / 20.0::DOUBLE": 0.2, "instability": 0.15, "rank_position": 0.1, "authors / 10.0::DOUBLE": 0.15}
+
+
+def _bugs_sql() -> str:
+    from codeweft.plans.graph_queries import _RANK, _rank_rounds
+
+    rounds = _rank_rounds(20).rpartition(" SELECT node,")[0]
+    place = "(row_number() OVER (ORDER BY {0}, {1}) - 1)::DOUBLE / (count(*) OVER () - 1)"
+    return b.with_views("commits", "cf", "fl", "im") + _CHURN + _RANK + rounds + f""", pr AS (SELECT node AS file_id, {place.format('round(rank, 9)', 'node')} AS rank_position FROM r20), cp AS (SELECT *, {place.format('commits', 'file_id')} AS churn_position FROM ch),
+      fx AS (SELECT file_id, count(*) AS fixes FROM cf JOIN commits USING (commit_id) WHERE is_fix GROUP BY 1), ii AS (SELECT node AS file_id, {_SHARE.format('sum(o)::DOUBLE / count(*)')} AS instability FROM (SELECT src AS node, 1 AS o FROM im UNION ALL SELECT dst, 0 FROM im) GROUP BY 1),
+      al AS (SELECT fl.file_id, {', '.join(f'{_UNIT.format(x)} AS s{i}' for i, x in enumerate(_SIGNALS))} FROM fl JOIN cp USING (file_id) LEFT JOIN fx USING (file_id) LEFT JOIN ii USING (file_id) LEFT JOIN pr USING (file_id))
+      SELECT file_id, {_SHARE.format(' + '.join(f's{i} * {w}::DOUBLE' for i, w in enumerate(_SIGNALS.values())))} AS score, CAST({' + '.join(f'(s{i} > 0.5)::INT' for i in range(len(_SIGNALS)))} AS BIGINT) AS signals FROM al"""
+
+
+_NEAREST = "nv AS (SELECT q.vec_id AS query, v.vec_id, floor(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) * 1e6 + 0.5) / 1e6 AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id), ns AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS rank FROM nv QUALIFY rank <= 20)"
+
 ORACLES = {
+    "m3_bug_scores": _bugs_sql(),
+    "m8_trends": """WITH p AS (SELECT c_mktsegment, strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) / 1000 AS value FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY month) AS f, row_number() OVER (PARTITION BY c_mktsegment ORDER BY month DESC) AS l FROM p),
+      g AS (SELECT c_mktsegment, count(*) AS n_points, floor((avg(value) FILTER (l <= 3) - avg(value) FILTER (f <= 3)) * 1e4 + 0.5) / 1e4 AS delta FROM r GROUP BY 1) SELECT *, CASE WHEN delta > 0.05 THEN 'rising' WHEN delta < -0.05 THEN 'falling' ELSE 'steady' END AS direction FROM g""",
+    "l3_vector_search": f"WITH {_NEAREST} SELECT query, vec_id, similarity, rank FROM ns",
+    "l10_quality": f"""WITH {_NEAREST}, h AS (SELECT ns.query, ns.rank, (z.label = q.label)::INT AS hit FROM ns JOIN embeddings q ON q.vec_id = ns.query JOIN embeddings z ON z.vec_id = ns.vec_id), w AS (SELECT q.vec_id AS query, count(*) AS n FROM embeddings q JOIN embeddings z ON z.label = q.label AND z.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1),
+      g AS (SELECT query, sum(hit / log2(rank + 1)) AS dcg, sum(hit) AS hits, min(rank) FILTER (hit = 1) AS first FROM h GROUP BY 1), i AS (SELECT k, sum(1.0::DOUBLE / log2(j + 1)) AS ideal FROM range(1, 21) a(k), range(1, 21) c(j) WHERE j <= k GROUP BY 1)
+      SELECT g.query, CASE WHEN n IS NULL THEN 1.0 ELSE floor(dcg / ideal * 1e6 + 0.5) / 1e6 END::DOUBLE AS ndcg, CASE WHEN n IS NULL THEN 1.0 ELSE coalesce(floor(1.0::DOUBLE / first * 1e6 + 0.5) / 1e6, 0.0) END::DOUBLE AS mrr,
+        CASE WHEN n IS NULL THEN 1.0 ELSE floor(hits::DOUBLE / n * 1e6 + 0.5) / 1e6 END::DOUBLE AS recall, CASE WHEN n IS NULL THEN 1.0 ELSE floor(hits / 20.0::DOUBLE * 1e6 + 0.5) / 1e6 END::DOUBLE AS precision FROM g LEFT JOIN w USING (query) LEFT JOIN i ON i.k = least(n, 20)""",
+    "l7_identity": f"WITH s AS {b.latest_sql('symbols', 'name', 'fqn')}, r AS (SELECT id, {_identity('Repository')}::DOUBLE AS score FROM s) SELECT * FROM r WHERE score > 0",
+    "e7_budget": """WITH RECURSIVE d AS (SELECT source, doc_id, coalesce(n_chars, 0) AS n_chars, row_number() OVER (PARTITION BY source ORDER BY created_at DESC NULLS FIRST, doc_id) AS n FROM documents), g(source, n, used, took) AS (SELECT DISTINCT source, 0::BIGINT, 0::BIGINT, false FROM d
+      UNION ALL SELECT d.source, d.n, CASE WHEN g.used + d.n_chars <= 20000 THEN g.used + d.n_chars ELSE g.used END, g.used + d.n_chars <= 20000 FROM g JOIN d ON d.source = g.source AND d.n = g.n + 1) SELECT source, doc_id, n_chars FROM g JOIN d USING (source, n) WHERE took""",
     "m1_churn": b.with_views("commits", "cf") + _CHURN + f""" SELECT *, {_WEEK} AS per_week, CASE WHEN {_WEEK} <= 1 THEN 'stable' WHEN {_WEEK} <= 3 THEN 'active' ELSE 'volatile' END AS assessment FROM ch""",
     "m2_hotspots": b.with_views("commits", "cf", "fl") + _CHURN + """, h AS (SELECT file_id, floor(max_cyclomatic * ln(1 + commits) * 100 + 0.5) / 100 AS score FROM fl JOIN ch USING (file_id) WHERE max_cyclomatic >= 3)
       SELECT file_id, score, CASE WHEN score <= 3 THEN 'low' WHEN score <= 10 THEN 'medium' ELSE 'high' END AS risk FROM h WHERE score > 0""",

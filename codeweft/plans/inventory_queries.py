@@ -51,15 +51,6 @@ def k29_dead_exports(spark: SparkSession, folder: str) -> DataFrame:
     return symbols.select("id", "name").join(named, "name", "left_anti").select("id", "name")
 
 
-def k37_tests(spark: SparkSession, folder: str) -> DataFrame:
-    """Test files of source files with the same stem."""
-    files = b.latest(spark, folder, "files", "path").where("path is not null")
-    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\..*$", "")
-    rows = files.select("id", "path", stem.alias("stem"), F.col("path").startswith("tests/").alias("is_test"))
-    tests, sources = rows.where("is_test"), rows.where("not is_test")
-    return sources.select("stem", F.col("id").alias("source_id")).join(tests.select("stem", F.col("id").alias("test_id")), "stem").select("source_id", "test_id")
-
-
 def l11_freshness(spark: SparkSession, folder: str) -> DataFrame:
     """Files per workspace that changed after they were indexed."""
     files = b.latest(spark, folder, "files", "workspace", "indexed_at", "mtime_ms")
@@ -122,13 +113,6 @@ def session_journal(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("session_id", "calls", "errors", "files", F.col("a.tool_name").alias("first_tool"), F.col("z.tool_name").alias("last_tool"))
 
 
-def q2_service_mismatch(spark: SparkSession, folder: str) -> DataFrame:
-    """Endpoints whose service differs from their contract's."""
-    contracts = b.latest(spark, folder, "api_contracts", "service_id").select(F.col("id").alias("contract_id"), F.col("service_id").alias("contract_service"))
-    endpoints = b.latest(spark, folder, "api_endpoints", "contract_id", "service_id")
-    return endpoints.join(contracts, "contract_id").where("service_id <> contract_service").select("id", "service_id", "contract_service")
-
-
 def q3_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Contracts by type: loads, versions, declared paths."""
     c = b.latest(spark, folder, "api_contracts", "contract_type", "version", "parsed_spec")
@@ -143,8 +127,8 @@ def d17_lifespans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    k9_references, k13_neighbourhood, k20_bottlenecks, k22_module_dependencies, k29_dead_exports, k37_tests, l11_freshness, l21_common_parts, n3_heat, n5_reviews, h25_scripts, h27_stripped,
-    usage_rules, usage_packages, session_journal, q2_service_mismatch, q3_versions, d17_lifespans,
+    k9_references, k13_neighbourhood, k20_bottlenecks, k22_module_dependencies, k29_dead_exports, l11_freshness, l21_common_parts, n3_heat, n5_reviews, h25_scripts, h27_stripped,
+    usage_rules, usage_packages, session_journal, q3_versions, d17_lifespans,
 )}
 
 _TS = "try_cast(replace(replace({0}, 'T', ' '), 'Z', '+00') AS TIMESTAMPTZ) AT TIME ZONE 'UTC'"
@@ -158,8 +142,6 @@ ORACLES = {
       FROM im JOIN m a ON a.file_id = src JOIN m z ON z.file_id = dst WHERE a.module <> z.module GROUP BY 1, 2""",
     "k29_dead_exports": f"""WITH s AS {b.latest_sql('symbols', 'name', 'metadata')}, w AS (SELECT DISTINCT unnest(regexp_extract_all(input_snippet, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM tool_calls WHERE input_snippet IS NOT NULL)
       SELECT id, name FROM s WHERE name IS NOT NULL AND json_extract_string(metadata, '$.exported') = 'true' AND name NOT IN (SELECT name FROM w)""",
-    "k37_tests": f"""WITH f AS (SELECT id, path, regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\\..*$', '') AS stem FROM {b.latest_sql('files', 'path')} WHERE path IS NOT NULL)
-      SELECT s.id AS source_id, t.id AS test_id FROM f s JOIN f t ON t.stem = s.stem WHERE NOT starts_with(s.path, 'tests/') AND starts_with(t.path, 'tests/')""",
     "l11_freshness": f"WITH f AS {b.latest_sql('files', 'workspace', 'indexed_at', 'mtime_ms')} SELECT workspace, count(*) AS n, count(*) FILTER (make_timestamp(CAST(mtime_ms AS BIGINT) * 1000) > {_TS.format('indexed_at')}) AS stale, count(*) FILTER (mtime_ms IS NULL) AS unknown FROM f GROUP BY 1",
     "l21_common_parts": f"WITH s AS {b.latest_sql('symbols', 'name')}, p AS (SELECT unnest(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_\\-.:/]+')) AS part FROM s) SELECT part, count(*) AS n FROM p WHERE part <> '' GROUP BY 1 ORDER BY n DESC, part LIMIT 100",
     "n3_heat": f"""WITH f AS {b.latest_sql('decisions', 'hit_count', 'last_hit_at', 'created_at')}, d AS (SELECT id, coalesce(hit_count, 0) AS hits, {_DAYS.format('created_at')} AS c, coalesce({_DAYS.format('last_hit_at')}, {_DAYS.format('created_at')}) AS l FROM f)
@@ -172,7 +154,6 @@ ORACLES = {
     "usage_packages": f"WITH c AS (SELECT session_id, regexp_extract(input_snippet, '^npm i (@?[^@\\s]+)@', 1) AS package, regexp_extract(input_snippet, '@([0-9][^@\\s]*)$', 1) AS version FROM {b.latest_sql('tool_calls', 'session_id', 'input_snippet')} WHERE starts_with(input_snippet, 'npm i ')) SELECT package, count(*) AS n, count(DISTINCT version) AS versions, count(DISTINCT session_id) AS sessions FROM c WHERE package <> '' GROUP BY 1",
     "session_journal": f"""WITH c AS (SELECT *, {_TS.format('"timestamp"')} AS t FROM {b.latest_sql('tool_calls', 'session_id', '"timestamp"', 'tool_name', 'is_error', 'target_file')} WHERE session_id <> '')
       SELECT session_id, count(*) AS calls, count(*) FILTER (is_error = 1) AS errors, count(DISTINCT target_file) AS files, first(tool_name ORDER BY t ASC NULLS FIRST, id) AS first_tool, first(tool_name ORDER BY t DESC NULLS LAST, id DESC) AS last_tool FROM c GROUP BY 1""",
-    "q2_service_mismatch": f"SELECT e.id, e.service_id, c.service_id AS contract_service FROM {b.latest_sql('api_endpoints', 'contract_id', 'service_id')} e JOIN {b.latest_sql('api_contracts', 'service_id')} c ON c.id = e.contract_id WHERE e.service_id <> c.service_id",
     "q3_versions": f"SELECT contract_type, count(*) AS n, count(DISTINCT version) AS versions, CAST(sum(CAST(json_extract_string(parsed_spec, '$.paths') AS BIGINT)) AS BIGINT) AS paths FROM {b.latest_sql('api_contracts', 'contract_type', 'version', 'parsed_spec')} GROUP BY 1",
     "d17_lifespans": b.with_views("commits") + " SELECT author, count(*) AS commits, floor(count(*) FILTER (is_fix)::DOUBLE / count(*) * 1e4 + 0.5) / 1e4 AS fix_ratio, floor(greatest(date_diff('day', min(ts), max(ts)) / 7.0::DOUBLE, 1.0::DOUBLE) * 100 + 0.5) / 100 AS weeks FROM commits GROUP BY 1",
 }

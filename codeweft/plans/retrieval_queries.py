@@ -9,7 +9,7 @@ from codeweft.functions import questions
 from codeweft.functions.exprs import round_half_up, token_estimate
 from codeweft.operators import retrieval, search
 from codeweft.plans import bindings as b
-from codeweft.plans.history_queries import QUERY, _bm25_sql, _similar
+from codeweft.plans.history_queries import QUERY, _bm25_sql, _identity, _similar
 from codeweft.sources.tables import table
 
 SYMBOL_FIELDS = {"name": 4.0, "fqn": 2.0, "signature": 1.0}
@@ -139,14 +139,6 @@ QUERIES = {f.__name__: f for f in (
 
 _S = f"sy AS (SELECT *, coalesce(cyclomatic::DOUBLE / (max(cyclomatic) OVER ()), 0) AS rank FROM {b.latest_sql('symbols', 'name', 'kind', 'fqn', 'signature', 'cyclomatic', 'byte_start', 'byte_end')})"
 _R6 = "floor(({0}) * 1e6 + 0.5) / 1e6"
-_SEGMENTS = "list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_\\-.:/]+'), lambda s: s <> '')"
-
-
-def _identity(q: str) -> str:
-    q = q.lower()
-    return f"""CASE WHEN lower(name) = '{q}' OR lower(fqn) = '{q}' THEN 1.0 WHEN coalesce(ends_with(lower(fqn), '{q}'), false) THEN 0.9 WHEN starts_with(lower(name), '{q}') THEN 0.8
-      WHEN list_contains({_SEGMENTS}, '{q}') THEN 0.7 WHEN list_contains(regexp_split_to_array(coalesce(lower(fqn), ''), '[:#./-]+'), '{q}') THEN 0.6
-      WHEN len(list_filter({_SEGMENTS}, lambda s: starts_with(s, '{q}'))) > 0 THEN 0.5 WHEN contains(lower(name), '{q}') THEN 0.3 WHEN coalesce(contains(lower(fqn), '{q}'), false) THEN 0.2 ELSE 0.0 END"""
 
 
 def _worth() -> str:
