@@ -220,15 +220,17 @@ def find_personal_data(records: DataFrame, name_parts: DataFrame, *, disclosure:
     cut = materialise(texts.mapInPandas(lambda it: _candidates(it, names), _CANDIDATE))
 
     # A listed part that the corpus also writes in lower case, or mostly alone, reveals little.
-    spans = cut.where("kind <> 'word'").withColumn("id", F.xxhash64("record_table", "record_key", "lo", "hi"))
+    spans = cut.where("kind <> 'word'")
     uses = spans.where("kind = 'name'").select(F.explode("parts").alias("part"), ((F.size("parts") > 1) & ~F.col("more")).alias("pair"))
     uses = uses.groupBy("part").agg(F.count_if(~F.col("pair")).alias("alone"), F.count_if("pair").alias("paired"))
     lower = cut.where("kind = 'word'").groupBy(F.col("record_key").alias("part")).agg(F.sum("lo").alias("lower"))
     counted = uses.join(lower, "part", "outer").na.fill(0)
-    words = {r.part for r in counted.where(F.col("alone") + F.col("lower") >= F.greatest(ALONE * (F.col("alone") + F.col("lower") + F.col("paired")), F.lit(10))).collect()}
-    telling = F.exists("parts", lambda p: ~p.isin(sorted(words)) if words else F.lit(True))
+    # The parts are a fixed list of bounded length, so one row holds those that are words too.
+    words = counted.where(F.col("alone") + F.col("lower") >= F.greatest(ALONE * (F.col("alone") + F.col("lower") + F.col("paired")), F.lit(10))).agg(F.collect_set("part").alias("_words"))
+    spans = spans.crossJoin(F.broadcast(words))
+    telling = F.size(F.array_except("parts", "_words")) > 0
     decisive = F.when(F.col("kind") == "name", ~F.col("more") & (telling | (F.col("decisive") & (F.size("parts") > 0)))).otherwise(F.col("decisive"))
-    spans = spans.withColumn("decisive", F.coalesce(decisive, F.lit(False))).withColumn("domain", F.when(F.col("kind") == "name", "name").otherwise("number"))
+    spans = spans.withColumn("decisive", F.coalesce(decisive, F.lit(False))).withColumn("domain", F.when(F.col("kind") == "name", "name").otherwise("number")).drop("_words")
 
     # How strongly each context term reveals each type, against all candidates it stands beside.
     # Most undecided names are words, so they count against a term; undecided digits do not.
@@ -246,10 +248,11 @@ def find_personal_data(records: DataFrame, name_parts: DataFrame, *, disclosure:
     revealing = rated.withColumn("strength", strength).where((F.col("strength") >= disclosure) & (F.col("hits") >= confidence * F.col("n")))
 
     doubtful = open_kinds.where("not decisive")
-    judged = doubtful.select("id", "domain", "kind", F.explode("terms").alias("term")).join(revealing, ["domain", "term"])
-    accepted = judged.where(F.col("kind") == F.col("type")).groupBy("id").agg(F.max(F.struct("strength", "type")).alias("best")).select("id", F.col("best.type").alias("accepted"))
+    span = ["record_table", "record_key", "lo", "hi"]
+    judged = doubtful.select(*span, "domain", "kind", "value", F.explode("terms").alias("term")).join(revealing, ["domain", "term"])
+    accepted = judged.where(F.col("kind") == F.col("type")).groupBy(*span).agg(F.max(F.struct("strength", "type", "value")).alias("best"))
     sure = spans.where("decisive").select("record_table", "record_key", "lo", "hi", F.col("kind").alias("pii_type"), F.col("value").alias("pii_value"))
-    likely = doubtful.join(accepted, "id").select("record_table", "record_key", "lo", "hi", F.col("accepted").alias("pii_type"), F.col("value").alias("pii_value"))
+    likely = accepted.select(*span, F.col("best.type").alias("pii_type"), F.col("best.value").alias("pii_value"))
     return _longest(sure.unionByName(likely))
 
 
