@@ -58,7 +58,7 @@ _NUMBERS = [
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 # Fields that hold two words and nothing else, in any case: perhaps an unlisted name.
 _FIELD = re.compile(
-    r"(?:(?<=[\"=<;:])|(?<=[;:] )|(?<= by )|(?<= from )|(?<= is )|(?<= Ms ))([^\W\d_]+(?:['’-][^\W\d_]+)*,? (?:[A-Za-z]\. )?[^\W\d_]{2,}(?:['’-][^\W\d_]+)*(?: [A-Z]\.)?)(?=\s?[<;\"\n]|, reach|$| \+\d| \(\d| 0\d)",
+    r"(?:(?<=[\"=<;:])|(?<=[;:] )|(?<= by )|(?<= from )|(?<= is ))([^\W\d_]+(?:['’-][^\W\d_]+)*,? (?:[A-Za-z]\. )?[^\W\d_]{2,}(?:['’-][^\W\d_]+)*(?: [A-Z]\.)?)(?=\s?[<;\"\n]|$| \+\d| \(\d| 0\d)",
     re.M,
 )
 _INITIAL = re.compile(r"(?:^| )[A-Z]\.(?: |$)")
