@@ -68,7 +68,7 @@ def tiers(rows: DataFrame, group: str, score: str, key: str, *, sizes: tuple[int
 def context(ranked: DataFrame, key: str, score: str, size: str, budget: int, *, top: int = 200) -> DataFrame:
     """What a context of ``budget`` tokens takes of the ``top`` best rows: in their order, passing over what does not fit."""
     best = ranked.orderBy(F.col(score).desc(), key).limit(top).withColumn("_one", F.lit(1))
-    return search.greedy_budget(best, "_one", [-F.col(score), F.col(key)], size, budget).drop("_one")
+    return search.take_within(best, "_one", [-F.col(score), F.col(key)], size, budget).drop("_one")
 
 
 def complete(seeds: DataFrame, edges: DataFrame, key: str, *, decay: float = 0.5) -> DataFrame:

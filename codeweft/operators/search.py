@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.exprs import cosine, identity_score, jaccard, round_half_up, trigrams
+from codeweft.runtime import discard, materialise
 
 
 def terms_of(text: Column) -> Column:
@@ -121,12 +122,8 @@ def grep(docs: DataFrame, key: str, text: str, pattern: str, *, context: int = 0
     return rows.select(key, (F.col("_i") + 1).cast("long").alias("line_no"), "line", F.array_join(before, "\n").alias("before"), F.array_join(after, "\n").alias("after"))
 
 
-def greedy_budget(items: DataFrame, group: str, order: list[Column], size: str, budget: int) -> DataFrame:
-    """Items taken in order while they fit the group's budget; too large ones are passed over.
-
-    The fold needs an order within a group, so each group is one sorted array; groups are bounded
-    result lists of one query each.
-    """
+def take_within(items: DataFrame, group: str, order: list[Column], size: str, budget: int) -> DataFrame:
+    """Like ``greedy_budget`` for short lists, such as the best rows of one query: a fold over each group's sorted array."""
     fields = [c for c in items.columns if c != group]
     listed = items.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *fields))).alias("_all"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{listed.schema['_all'].dataType.elementType.simpleString()}>").alias("kept"))
@@ -139,6 +136,34 @@ def greedy_budget(items: DataFrame, group: str, order: list[Column], size: str,
     return listed.select(group, F.explode(kept).alias("_k")).select(group, *[F.col(f"_k.{c}").alias(c) for c in fields])
 
 
+def greedy_budget(items: DataFrame, group: str, order: list[Column], size: str, budget: int, *, salts: int = 64) -> DataFrame:
+    """Items taken in order while they fit the group's budget; those that do not fit are passed over.
+
+    Groups of any length: in a round, the items that fit what is left are summed up in order, and
+    those whose sum fits are taken; what came before the last one taken never fits again. The sums
+    of ``salts`` parts of a group are formed first, and an item whose part alone exceeds the budget
+    is not looked at further, so no task sees more of a group than about a budget for each part.
+    Null sizes count as 0, null groups are a group; negative sizes are not allowed for.
+    """
+    fields = [c for c in items.columns if c != group]
+    place = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.xxhash64(*fields).alias("_h"))
+    open_ones = materialise(items.select(F.col(group).alias("_g"), F.struct(*fields).alias("_row"), place.alias("_at"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), F.lit(budget).cast("long").alias("_left")))
+    taken = []
+    while open_ones.head(1):
+        part = Window.partitionBy("_g", F.pmod(F.xxhash64("_at"), F.lit(salts))).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy("_g").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        near = open_ones.withColumn("_sum", F.sum("_size").over(part)).where("_sum <= _left").withColumn("_sum", F.sum("_size").over(whole))
+        now = materialise(near.where("_sum <= _left"))
+        taken.append(now.select("_g", "_row"))
+        rest = now.groupBy("_g").agg(F.max("_at").alias("_last"), (F.first("_left") - F.sum("_size")).alias("_now"))
+        after = open_ones.join(rest.withColumnRenamed("_g", "_of"), F.col("_g").eqNullSafe(F.col("_of"))).where((F.col("_at") > F.col("_last")) & (F.col("_size") <= F.col("_now")))
+        before, open_ones = open_ones, materialise(after.select("_g", "_row", "_at", "_size", F.col("_now").alias("_left")))
+        discard(before)
+    if not taken:
+        return items.limit(0)
+    return reduce(DataFrame.unionByName, taken).select(F.col("_g").alias(group), *[F.col(f"_row.{c}").alias(c) for c in fields])
+
+
 def seeded_sample(rows: DataFrame, key: str, n: int, *, seed: str) -> DataFrame:
     """The ``n`` rows whose keys come first by a hash with a seed: the same rows each time, wherever they lie."""
     return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

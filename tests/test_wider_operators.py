@@ -138,3 +138,13 @@ def test_renames_need_a_content_of_one_file_on_each_side(spark, rows):
         spark.createDataFrame([(1, 2, "calls"), (1, 3, "calls"), (2, 1, "docs")], "src int, dst int, type string"), spark.createDataFrame([(1, 10, "w"), (2, 20, "w"), (3, 30, "v")], "node int, file_id int, workspace string"), excluded=["docs"]
     )
     assert rows(kept) == [(10, 20)]
+
+
+def test_budgets_of_long_groups_equal_the_fold(spark, rows):
+    sizes = [(g, i, (i * 7919 + 31 * (g or 0)) % 97 if i % 11 else 0) for g in (1, 2, None) for i in range(150)] + [(4, 0, 5000)]
+    df = spark.createDataFrame(sizes, "g int, id int, n long")
+    order = [F.col("n") % 7, F.col("id")]
+    long, short = (f(df, "g", order, "n", 400) for f in (search.greedy_budget, search.take_within))
+    assert rows(long.select("g", "id")) == rows(short.select("g", "id")) and long.where("g = 4").count() == 0
+    assert rows(search.greedy_budget(df, "g", order, "n", 400, salts=1).select("g", "id")) == rows(long.select("g", "id"))
+    assert search.greedy_budget(df.limit(0), "g", order, "n", 400).count() == 0
