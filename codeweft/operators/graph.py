@@ -375,3 +375,31 @@ def renames(old: DataFrame, new: DataFrame, path: str, content: str) -> DataFram
     gone, came = old.join(new.select(path), path, "left_anti"), new.join(old.select(path), path, "left_anti")
     one = lambda df, name: df.where(F.col(content).isNotNull()).groupBy(content).agg(F.min(path).alias(name), F.count("*").alias("_n")).where("_n = 1").drop("_n")
     return one(gone, "old_path").join(one(came, "new_path"), content).select("old_path", "new_path")
+
+
+def edge_betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(src, dst, betweenness) over distinct edges from the given sources, by joins a level of all walks at a time.
+
+    Forward, each level holds how many shortest paths lead to a node; backward, each node gives its
+    credit to the edges that lead to it.
+    """
+    level = materialise(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))
+    levels, seen = [level], level.select("source", "node")
+    while True:
+        step = level.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("_to")), "node").groupBy("source", F.col("_to").alias("node")).agg(F.sum("paths").alias("paths"))
+        level = materialise(step.join(seen, ["source", "node"], "left_anti"))
+        if not level.head(1):
+            break
+        levels.append(level)
+        seen = seen.unionByName(level.select("source", "node"))
+    parts, credit = [], None
+    for above, below in zip(reversed(levels[:-1]), reversed(levels[1:]), strict=True):
+        owed = below.withColumn("credit", F.lit(0.0)) if credit is None else below.join(credit, ["source", "node"], "left").na.fill(0.0, ["credit"])
+        to = owed.select("source", F.col("node").alias("dst"), F.col("paths").alias("_all"), "credit")
+        shared = above.withColumnRenamed("node", "src").join(edges, "src").join(to, ["source", "dst"])
+        part = materialise(shared.select("source", "src", "dst", (F.col("paths") / F.col("_all") * (1 + F.col("credit"))).alias("part")))
+        parts.append(part.groupBy("src", "dst").agg(F.sum("part").alias("part")))
+        credit = part.groupBy("source", F.col("src").alias("node")).agg(F.sum("part").alias("credit"))
+    if not parts:
+        return edges.limit(0).select("src", "dst", F.lit(0.0).alias("betweenness"))
+    return reduce(DataFrame.unionByName, parts).groupBy("src", "dst").agg(F.round(F.sum("part"), 6).alias("betweenness"))

@@ -1,9 +1,9 @@
 """Graph algorithms that are sequential by nature, run where the graph fits one worker.
 
 Betweenness is a sum over sources, so sources are spread over tasks and each task holds the
-adjacency (broadcast behind a checked bound). Bridges and strong components do not depend on what
+adjacency (broadcast while a count proves the bound). Bridges and strong components do not depend on what
 else is in a piece, so a graph up to ``LOCAL_EDGES`` edges is one piece and a larger one is cut
-into its weakly connected components. Ranks and communities have distributed twins of equal result.
+into its weakly connected components. Betweenness, ranks and communities have distributed twins of equal result.
 """
 
 from __future__ import annotations
@@ -25,12 +25,16 @@ from codeweft.runtime import materialise
 LOCAL_EDGES = 5_000_000
 
 
-def edge_betweenness(edges: DataFrame) -> DataFrame:
-    """(src, dst, betweenness): shortest directed paths through each edge, not normalised."""
-    distinct = edges.where("src <> dst").select("src", "dst").distinct()
-    n = distinct.count()
-    if n > LOCAL_EDGES:
-        raise ValueError(f"{n} edges are more than one task may hold ({LOCAL_EDGES}); run it per component")
+def edge_betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(src, dst, betweenness): shortest directed paths through each edge, not normalised.
+
+    ``sources`` (node) are the starts of the paths, all nodes by default; fewer give an estimate that
+    the caller scales. Beyond ``LOCAL_EDGES`` edges the walks are joins; the result is the same.
+    """
+    distinct = materialise(edges.where("src <> dst").select("src", "dst").distinct())
+    starts = distinct.select(F.col("src").alias("node")).distinct() if sources is None else sources.select("node").distinct()
+    if distinct.count() > LOCAL_EDGES:
+        return graph.edge_betweenness(distinct, starts)
     pairs = distinct.toPandas().sort_values(["src", "dst"])
     adjacency: dict = {a: g["dst"].tolist() for a, g in pairs.groupby("src")}
     shared = edges.sparkSession.sparkContext.broadcast(adjacency)
@@ -61,8 +65,7 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
         yield pd.DataFrame([(a, b, x) for (a, b), x in score.items()], columns=["src", "dst", "part"])
 
     kind = edges.schema["src"].dataType.simpleString()
-    sources = distinct.select(F.col("src").alias("node")).distinct().repartition(edges.sparkSession.sparkContext.defaultParallelism)
-    parts = sources.mapInPandas(brandes, f"src {kind}, dst {kind}, part double")
+    parts = starts.repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInPandas(brandes, f"src {kind}, dst {kind}, part double")
     return parts.groupBy("src", "dst").agg(F.round(F.sum("part"), 6).alias("betweenness"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.exprs import round_half_up
+from codeweft.runtime import materialise
 
 
 def nearest_rank(value: str, share: float) -> Column:
@@ -16,8 +17,30 @@ def nearest_rank(value: str, share: float) -> Column:
     return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})")
 
 
-def interpolated(value: str, share: float) -> Column:
-    return F.expr(f"percentile({value}, {share}D)")
+def interpolated(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles of each group, interpolated between neighbours: (``group``, a column for each share).
+
+    Equal values are counted first; the counted values are sorted by ranges, and sums over the
+    ranges before tell each value's ranks, so a hot group is spread over tasks. Nulls do not count.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ranged = materialise(counted.repartitionByRange("_g", "_v").withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_g", "_p").agg(F.sum("_n").alias("_size"))
+    of_group = Window.partitionBy("_g")
+    sizes = sizes.select(F.col("_g").alias("_of"), F.col("_p").alias("_at"), (F.sum("_size").over(of_group.orderBy("_p")) - F.col("_size")).alias("_before"), F.sum("_size").over(of_group).alias("_all"))
+    local = F.sum("_n").over(Window.partitionBy("_p", "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("_local", local).join(sizes, F.col("_g").eqNullSafe(F.col("_of")) & (F.col("_p") == F.col("_at")))
+    end = F.col("_before") + F.col("_local")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= end - F.col("_n")) & (rank < end), F.col("_v")))
+
+    picked = []
+    for name, share in shares.items():
+        place = (F.col("_all") - 1) * share
+        picked += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_part_{name}")]
+    mixed = [(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n) for n in shares]
+    return placed.groupBy("_g").agg(*picked).select(F.col("_g").alias(group), *mixed)
 
 
 def hourly(spans: DataFrame, group: str, ts: str = "ts") -> DataFrame:
@@ -35,7 +58,9 @@ def profile(hours: DataFrame, group: str) -> DataFrame:
 
 def latency(calls: DataFrame, tool: str, value: str, error: Column) -> DataFrame:
     """Calls, errors, error rate, interpolated median and p95, and the most, per tool."""
-    return calls.groupBy(tool).agg(F.count("*").alias("calls"), F.count_if(error).alias("errors"), round_half_up(F.count_if(error) / F.count("*"), 4).alias("error_rate"), round_half_up(interpolated(value, 0.5), 4).alias("p50"), round_half_up(interpolated(value, 0.95), 4).alias("p95"), F.max(value).alias("most"))
+    g = calls.groupBy(tool).agg(F.count("*").alias("calls"), F.count_if(error).alias("errors"), round_half_up(F.count_if(error) / F.count("*"), 4).alias("error_rate"), F.max(value).alias("most"))
+    p = interpolated(calls, tool, value, {"p50": 0.5, "p95": 0.95}).withColumnRenamed(tool, "_of")
+    return g.join(p, F.col(tool).eqNullSafe(F.col("_of")), "left").select(tool, "calls", "errors", "error_rate", round_half_up(F.col("p50"), 4).alias("p50"), round_half_up(F.col("p95"), 4).alias("p95"), "most")
 
 
 def dependencies(spans: DataFrame) -> DataFrame:

@@ -81,3 +81,26 @@ def test_streams_attribute_the_newest_showing(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r.accepted_id, r.shown_id) for r in spark.table("attributed").collect() if r.user == "u"] == [(9, 2)]
+
+
+def test_betweenness_is_the_same_on_both_sides_of_the_bound(spark, rows, monkeypatch):
+    e = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 1), (5, 6), (6, 7), (9, 1), (9, 9)], "src long, dst long")
+    local = rows(graph_local.edge_betweenness(e))
+    monkeypatch.setattr(graph_local, "LOCAL_EDGES", 0)
+    assert rows(graph_local.edge_betweenness(e)) == local and len(local) == 9
+    some = spark.createDataFrame([(1,)], "node long")
+    assert dict(((a, b), x) for a, b, x in rows(graph_local.edge_betweenness(e, some)))[4, 5] == 3.0
+    assert graph_local.edge_betweenness(e.limit(0)).count() == 0
+
+
+def test_percentiles_over_ranges(spark):
+    import numpy as np
+
+    from codeweft.operators import telemetry
+
+    data = {"a": [5.0, 1.0, 1.0, 9.5, 3.0], "b": [2.0], None: [4.0, 8.0]}
+    df = spark.createDataFrame([(g, x) for g, xs in data.items() for x in xs] + [("c", None)], "g string, x double")
+    got = {r.g: (r.p50, r.p95) for r in telemetry.interpolated(df, "g", "x", {"p50": 0.5, "p95": 0.95}).collect()}
+    assert {g: tuple(np.round(v, 9)) for g, v in got.items()} == {g: tuple(np.round(np.percentile(xs, [50, 95]), 9)) for g, xs in data.items()}
+    told = {r.g: r.p50 for r in telemetry.latency(df.withColumn("e", F.lit(0)), "g", "x", F.col("e") == 1).collect()}
+    assert told == {"a": 3.0, "b": 2.0, None: 6.0, "c": None}
