@@ -32,10 +32,23 @@ def scan_lines(texts: DataFrame, key: str, text: Column, rules: list[tuple[str,
     return lines.select(key, (F.col("_i") + 1).cast("long").alias("line_no"), F.explode(found).alias("r")).select(key, "line_no", "r.rule", "r.class")
 
 
+# Shapes of secrets, each with what replaces it.
+SECRETS = [
+    (r"(?s)<private>.*?</private>", ""),
+    (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[SECRET]"),
+    (r"([a-z]+://[^/\s:@]+:)[^/\s@]+@", "$1[SECRET]@"),
+    (r"(?i)((?:password|passwd|secret|api_?key|token)\s*[:=]\s*['\"])[^'\"]{6,}(['\"])", "$1[SECRET]$2"),
+    (r"(?i)(\bauthorization:\s*(?:bearer|basic)\s+)[A-Za-z0-9._~+/=-]{8,}", "$1[SECRET]"),
+    (r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{20,})", "[SECRET]"),
+    (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "[SECRET]"),
+]
+
+
 def strip_secrets(text: Column) -> Column:
-    """Passwords in addresses and quoted secrets replaced."""
-    out = F.regexp_replace(text, r"([a-z]+://[^/\s:@]+:)[^/\s@]+@", "$1[SECRET]@")
-    return F.regexp_replace(out, r"(?i)((?:password|passwd|secret|api_?key|token)\s*[:=]\s*['\"])[^'\"]{6,}(['\"])", "$1[SECRET]$2")
+    """A text without its private passages, and with its secrets replaced."""
+    for shape, instead in SECRETS:
+        text = F.regexp_replace(text, shape, instead)
+    return text
 
 
 def gates(metrics: DataFrame, rules: list[tuple[str, str, float, float]]) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.exprs import identity_score, round_half_up
+from codeweft.functions import questions
 from codeweft.functions.questions import kind_worth
 from codeweft.operators import search
 
@@ -71,6 +75,63 @@ def context(ranked: DataFrame, key: str, score: str, size: str, budget: int, *,
     return search.take_within(best, "_one", [-F.col(score), F.col(key)], size, budget).drop("_one")
 
 
+Retriever = Callable[[DataFrame, str], DataFrame]
+#: Retrievers by name: symbols (id, name, fqn, kind, signature, rank, recency) and a question to (id, score).
+RETRIEVERS: dict[str, Retriever] = {}
+
+
+def retriever(name: str) -> Callable[[Retriever], Retriever]:
+    """Register a retriever under a name."""
+
+    def put(make: Retriever) -> Retriever:
+        RETRIEVERS[name] = make
+        return make
+
+    return put
+
+
+_FIELDS = {"name": 4.0, "fqn": 2.0, "signature": 1.0}
+
+
+@retriever("lexical")
+def _lexical(symbols: DataFrame, question: str) -> DataFrame:
+    return search.bm25(symbols, "id", _FIELDS, question)
+
+
+@retriever("near")
+def _near(symbols: DataFrame, question: str) -> DataFrame:
+    return search.fuzzy(symbols.where("name is not null"), "id", "name", question, least=0.2, edits=20).select("id", F.col("similarity").alias("score"))
+
+
+@retriever("exact")
+def _exact(symbols: DataFrame, question: str) -> DataFrame:
+    return exact(symbols, question).select("id", F.lit(1.0).alias("score"))
+
+
+@retriever("hybrid")
+def _hybrid(symbols: DataFrame, question: str) -> DataFrame:
+    """Full text and near names, ranks counted from one."""
+    parts = {n: (search.ranked(RETRIEVERS[n](symbols, question), "score", "id", base=1, top=200).select("id", "rank"), 0.5) for n in ("lexical", "near")}
+    return search.fuse(parts, "id")
+
+
+@retriever("classic")
+def _classic(symbols: DataFrame, question: str) -> DataFrame:
+    return classic(symbols, question, fields=_FIELDS).select("id", "score")
+
+
+def lucky(question: str) -> str:
+    """Which retriever a question is for: paths and single names are looked up, two words and more are searched."""
+    if re.search(questions.PATH_SHAPE, question):
+        return "exact"
+    return "classic" if len(question.split()) == 1 else "hybrid"
+
+
+def retrieve(symbols: DataFrame, question: str, name: str | None = None, top: int = 20) -> DataFrame:
+    """(id, score) of the ``top`` answers of a retriever, or of the one the question is for."""
+    return RETRIEVERS[name or lucky(question)](symbols, question).orderBy(F.col("score").desc(), "id").limit(top)
+
+
 def complete(seeds: DataFrame, edges: DataFrame, key: str, *, decay: float = 0.5) -> DataFrame:
     """Seeds with their score, and their neighbours in either direction with the best seed's score times ``decay``."""
     both = edges.select(F.col("src").alias(key), F.col("dst").alias("_n")).unionByName(edges.select(F.col("dst").alias(key), F.col("src").alias("_n")))

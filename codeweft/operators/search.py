@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.exprs import cosine, identity_score, jaccard, round_half_up, trigrams
+from codeweft.functions.stems import stem, stemmed
 from codeweft.runtime import discard, materialise
 
 
@@ -164,6 +165,25 @@ def greedy_budget(items: DataFrame, group: str, order: list[Column], size: str,
     return reduce(DataFrame.unionByName, taken).select(F.col("_g").alias(group), *[F.col(f"_row.{c}").alias(c) for c in fields])
 
 
+def stemmed_bm25(docs: DataFrame, key: str, fields: dict[str, float], query: str, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) like ``bm25``, but words meet by their stems.
+
+    Only the distinct terms of the collection are stemmed; those with a stem of the query pick the
+    postings that are scored.
+    """
+    asked = sorted({stem(t) for t in query_terms(query)})
+    terms = postings(docs, key, fields)
+    names = terms.select("term").distinct().withColumn("_s", stemmed("term")).where(F.col("_s").isin(asked) if asked else F.lit(False))
+    lengths = docs.select(key, reduce(lambda x, y: x + y, [F.size(terms_of(F.coalesce(f, F.lit("")))) for f in fields]).alias("_len"))
+    stats = lengths.agg(F.count("*").alias("_n"), F.avg("_len").alias("_mean"))
+    found = terms.join(names, "term").groupBy(key, "_s").agg(F.sum("tf").alias("_tf"))
+    df = found.groupBy("_s").agg(F.count("*").alias("_df"))
+    rows = found.join(df, "_s").join(lengths, key).crossJoin(F.broadcast(stats))
+    idf = F.ln((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
+    part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_mean")))
+    return rows.groupBy(key).agg(F.sum(part).alias("_score"), F.count("*").alias("_hit")).where(F.col("_hit") == len(asked)).select(key, round_half_up(F.col("_score"), 6).alias("score"))
+
+
 def seeded_sample(rows: DataFrame, key: str, n: int, *, seed: str) -> DataFrame:
     """The ``n`` rows whose keys come first by a hash with a seed: the same rows each time, wherever they lie."""
     return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

@@ -46,6 +46,26 @@ def shared_topics(items: DataFrame, group: str, entity: str, weight: Column) ->
     return a.join(z, entity).where("group_a < group_b").groupBy("group_a", "group_b").agg(F.count("*").alias("n_shared"), round_half_up(F.sum("_w"), 3).alias("weight"))
 
 
+def weighted_topics(items: DataFrame, group: str, kind: str, entity: str, weights: dict[str, float], common: dict[str, list[str]] | None = None, damp: float = 0.25) -> DataFrame:
+    """Pairs of groups by what they share, each kind of entity at its weight; common entities count for a part of it."""
+    weight = F.lit(0.0)
+    for name, w in weights.items():
+        often = F.col(entity).isin((common or {}).get(name, []) or [""])
+        weight = F.when(F.col(kind) == name, F.when(often, w * damp).otherwise(w)).otherwise(weight)
+    return shared_topics(items.withColumn("_e", F.concat_ws(":", kind, entity)), group, "_e", weight)
+
+
+def merge_people(rows: DataFrame, email: str, name: str) -> DataFrame:
+    """(email, name, person): authors who share an address or a name, whatever the case, are one person, named by the smallest of both."""
+    from codeweft.operators.components import connected_components
+
+    clean = rows.select(email, name, F.nullif(F.lower(F.trim(email)), F.lit("")).alias("_e"), F.nullif(F.lower(F.trim(name)), F.lit("")).alias("_n")).distinct()
+    ends = clean.select(F.concat(F.lit("email:"), "_e").alias("a"), F.concat(F.lit("name:"), "_n").alias("b"))
+    known = connected_components(ends.where("a is not null and b is not null"), "a", "b")
+    own = clean.withColumn("_k", F.coalesce(F.concat(F.lit("email:"), "_e"), F.concat(F.lit("name:"), "_n")))
+    return own.join(known, F.col("_k") == F.col("node"), "left").where("_k is not null").select(email, name, F.coalesce("component", "_k").alias("person"))
+
+
 def classify(items: DataFrame, key: str, text: Column, keywords: dict[str, list[str]]) -> DataFrame:
     """Domain with the most keyword hits, ties by name; items without a hit are left out."""
     terms = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))

@@ -47,3 +47,52 @@ def sarif(findings: DataFrame, key: str) -> DataFrame:
     """One SARIF result object for each finding (key, line_no, rule, class)."""
     place = F.struct(F.struct(F.struct(F.col(key).cast("string").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_no").alias("startLine")).alias("region")).alias("physicalLocation"))
     return findings.select(F.to_json(F.struct(F.col("rule").alias("ruleId"), F.struct(F.col("class").alias("text")).alias("message"), F.array(place).alias("locations"))).alias("line"))
+
+
+def annotations(findings: DataFrame, key: str) -> DataFrame:
+    """One workflow command for each finding, as pull requests show them."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    level = F.when(F.col("class").startswith("CWE"), "error").otherwise("warning")
+    return findings.select(F.concat(F.lit("::"), level, F.lit(" file="), safe(F.col(key)), F.lit(",line="), F.col("line_no").cast("string"), F.lit(",title="), safe(F.col("rule")), F.lit("::"), safe(F.col("class"))).alias("line"))
+
+
+def markdown(rows: DataFrame) -> DataFrame:
+    """(part, line) of a table in Markdown: two lines of header at 0 and 1, a line for each row at 2."""
+    cell = lambda c: F.replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\r\n]+", " "), F.lit("|"), F.lit("\\|"))
+    bar = lambda cells: "| " + " | ".join(cells) + " |"
+    head = rows.sparkSession.createDataFrame([(0, bar(rows.columns)), (1, bar(["-"] * len(rows.columns)))], "part int, line string")
+    return head.unionByName(rows.select(F.lit(2).alias("part"), F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in rows.columns]), F.lit(" |")).alias("line")))
+
+
+def json_lines(rows: DataFrame) -> DataFrame:
+    """One JSON object for each row, nulls included."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def dot(edges: DataFrame) -> DataFrame:
+    """(part, line) of a directed graph for Graphviz."""
+    q = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    ends = edges.sparkSession.createDataFrame([(0, "digraph {"), (2, "}")], "part int, line string")
+    return ends.unionByName(edges.select(F.lit(1).alias("part"), F.concat(F.lit("  "), q("src"), F.lit(" -> "), q("dst"), F.lit(";")).alias("line")))
+
+
+def capture(rows: DataFrame, folder: str, name: str) -> None:
+    """Write a snapshot under a name; taking it again replaces it, others stay."""
+    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/snapshot={name}")
+
+
+def snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """All snapshots of a folder as one table with their name; columns that came later are null in older ones."""
+    return spark.read.option("mergeSchema", "true").option("basePath", folder).parquet(folder)
+
+
+def timeline(taken: DataFrame, metrics: list[str]) -> DataFrame:
+    """(snapshot, metric, value, change): sums of the metrics of each snapshot, and their change since the one before by name."""
+    sums = taken.groupBy(F.col("snapshot").cast("string").alias("snapshot")).agg(*[F.sum(m).cast("double").alias(m) for m in metrics])
+    rows = sums.select("snapshot", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("m")).select("snapshot", "m.metric", "m.value")
+    return rows.withColumn("change", F.col("value") - F.lag("value").over(Window.partitionBy("metric").orderBy("snapshot")))
+
+
+def prune(log: DataFrame, at: str, now, days: int) -> DataFrame:
+    """An audit log without what is older than ``days``; rows without a time stay."""
+    return log.where(F.col(at).isNull() | (F.col(at) >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")))
