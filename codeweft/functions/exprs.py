@@ -162,3 +162,15 @@ def param_count(signature: Column) -> Column:
 
     total = F.aggregate(F.split(inner, ""), start, step, lambda s: F.when((s["depth"] > 0) | (F.trim(s["word"]) == "void") & (s["n"] == 0), 0).otherwise(s["n"] + s["filled"].cast("int")))
     return F.when(signature.contains("("), total).otherwise(0)
+
+
+def iso_of_nanos(nanos: Column) -> Column:
+    """Instant of nanoseconds, given as text, cut to milliseconds; null for what is no number."""
+    millis = F.floor(F.try_to_number(nanos, F.lit("9999999999999999999")) / 1_000_000).cast("long")
+    return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def micros_between(start: Column, end: Column) -> Column:
+    """Whole microseconds between two texts of nanoseconds; 0 where one is no number."""
+    number = lambda x: F.try_to_number(x, F.lit("9999999999999999999"))
+    return F.coalesce(F.floor((number(end) - number(start)) / 1000).cast("long"), F.lit(0))

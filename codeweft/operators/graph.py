@@ -403,3 +403,17 @@ def edge_betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     if not parts:
         return edges.limit(0).select("src", "dst", F.lit(0.0).alias("betweenness"))
     return reduce(DataFrame.unionByName, parts).groupBy("src", "dst").agg(F.round(F.sum("part"), 6).alias("betweenness"))
+
+
+def related(edges: DataFrame, files: DataFrame, target) -> DataFrame:
+    """(node, score): files near one file by place (0.3), by shared importers (0.5) and by the parts of their names (0.2).
+
+    ``files`` has node, module and parts (an array). Files that share nothing with it are left out.
+    """
+    own = files.where(F.col("node") == target).select(F.col("module").alias("_m"), F.col("parts").alias("_p"))
+    shared = co_imported(edges, target).select("node", "ratio")
+    both = F.array_union("parts", "_p")
+    names = F.when(F.size(both) > 0, F.size(F.array_intersect("parts", "_p")) / F.size(both)).otherwise(0.0)
+    rows = files.where(F.col("node") != target).join(shared, "node", "left").crossJoin(F.broadcast(own))
+    score = F.when(F.col("module") == F.col("_m"), 0.3).otherwise(0.0) + F.coalesce("ratio", F.lit(0.0)) * 0.5 + names * 0.2
+    return rows.select("node", round_half_up(score, 4).alias("score")).where("score > 0")

@@ -104,3 +104,10 @@ def overlapping(ranges: DataFrame, hunks: DataFrame, key: str) -> DataFrame:
     """Rows of ``ranges`` (lo, hi) that overlap a hunk (from_line, to_line) of the same key."""
     met = (F.col("lo") <= F.col("to_line")) & (F.col("hi") >= F.col("from_line"))
     return ranges.join(hunks, key).where(met)
+
+
+def oldest_delta(points: DataFrame, key: str, at: str, value: str, band: float = 0.1) -> DataFrame:
+    """The newest value of each key less its oldest, and its direction beyond a band (ties of the time: the larger value)."""
+    g = points.groupBy(key).agg(F.min(F.struct(at, value))[value].alias("_a"), F.max(F.struct(at, value))[value].alias("_z"))
+    delta = round_half_up((F.col("_z") - F.col("_a")).cast("double"), 4)
+    return g.select(key, delta.alias("delta"), F.when(delta > band, "rising").when(delta < -band, "falling").otherwise("steady").alias("direction"))

@@ -13,6 +13,12 @@ from codeweft.sources.tables import table
 
 DOMAINS = {"billing": ["ledger", "budget", "wallet", "vault"], "search": ["query", "index", "ranker", "corpus", "vector"], "storage": ["cache", "store", "archive", "table"]}
 
+#: (rule, metric, warning above, error above)
+GATES = [
+    ("parse_failures", "bad_pct", 5.0, 20.0), ("large_files", "large", 0.0, 1e9), ("no_language", "no_language_pct", 5.0, 25.0), ("most_complex", "most_complex", 15.0, 50.0), ("complex_share", "complex_pct", 5.0, 30.0),
+    ("deepest_nesting", "deepest", 4.0, 10.0), ("many_parameters", "params_pct", 5.0, 30.0), ("undocumented", "undocumented_pct", 50.0, 90.0),
+]
+
 
 def _calls(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return b.latest(spark, folder, "tool_calls", *columns)
@@ -155,10 +161,15 @@ def r1_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m13_gates(spark: SparkSession, folder: str) -> DataFrame:
-    files = b.latest(spark, folder, "files", "status", "byte_length")
-    metrics = files.agg((F.count_if(F.col("status") != "ok") / F.count("*") * 100).alias("bad_pct"), F.count_if(F.col("byte_length") > 1_000_000).alias("large"))
-    gated = detectors.gates(metrics, [("parse_failures", "bad_pct", 5.0, 20.0), ("large_files", "large", 0.0, 1e9)])
-    return gated.withColumn("value", round_half_up(F.col("value"), 4))
+    """Eight gates over files and symbols, and the worst verdict of all."""
+    files = b.latest(spark, folder, "files", "status", "byte_length", "language")
+    pct = lambda met: F.count_if(met) / F.count("*") * 100
+    of_files = files.agg(pct(F.col("status") != "ok").alias("bad_pct"), F.count_if(F.col("byte_length") > 1_000_000).alias("large"), pct(F.col("language").isNull()).alias("no_language_pct"))
+    symbols = b.latest(spark, folder, "symbols", "cyclomatic", "max_nesting", "param_count", "summary")
+    of_symbols = symbols.agg(F.max("cyclomatic").alias("most_complex"), pct(F.col("cyclomatic") > 10).alias("complex_pct"), F.max("max_nesting").alias("deepest"), pct(F.col("param_count") > 5).alias("params_pct"), pct(F.col("summary").isNull()).alias("undocumented_pct"))
+    gated = detectors.gates(of_files.crossJoin(of_symbols), GATES).withColumn("value", round_half_up(F.col("value"), 4))
+    worst = F.when(F.max(F.col("verdict") == "error"), "error").when(F.max(F.col("verdict") == "warning"), "warning").otherwise("pass")
+    return gated.unionByName(gated.agg(F.lit("overall").alias("rule"), F.count_if(F.col("verdict") != "pass").cast("double").alias("value"), worst.alias("verdict")))
 
 
 def h10_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,8 +241,10 @@ ORACLES = {
     "q4_patterns": f"WITH e AS {b.latest_sql('api_endpoints', 'path')} SELECT {_PATTERN.format('path')} AS pattern, count(*) AS n FROM e WHERE path IS NOT NULL GROUP BY 1",
     "q6_tunnels": f"WITH s AS {b.latest_sql('decisions', 'project_root', 'service_name')}, r AS (SELECT DISTINCT project_root, service_name FROM s WHERE project_root IS NOT NULL AND service_name IS NOT NULL) SELECT a.project_root AS group_a, z.project_root AS group_b, count(*) AS n_shared, count(*)::DOUBLE AS weight FROM r a JOIN r z ON a.service_name = z.service_name AND a.project_root < z.project_root GROUP BY 1, 2",
     "q8_domains": _domain_sql(),
-    "m13_gates": f"""WITH f AS {b.latest_sql('files', 'status', 'byte_length')}, m AS (SELECT count(*) FILTER (status <> 'ok')::DOUBLE / count(*) * 100 AS bad, count(*) FILTER (byte_length > 1000000)::DOUBLE AS large FROM f)
-      SELECT 'parse_failures' AS rule, floor(bad * 1e4 + 0.5) / 1e4 AS value, CASE WHEN bad > 20 THEN 'error' WHEN bad > 5 THEN 'warning' ELSE 'pass' END AS verdict FROM m UNION ALL SELECT 'large_files', large, CASE WHEN large > 1e9 THEN 'error' WHEN large > 0 THEN 'warning' ELSE 'pass' END FROM m""",
+    "m13_gates": f"""WITH f AS (SELECT count(*) FILTER (status <> 'ok')::DOUBLE / count(*) * 100 AS bad_pct, count(*) FILTER (byte_length > 1000000)::DOUBLE AS large, count(*) FILTER (language IS NULL)::DOUBLE / count(*) * 100 AS no_language_pct FROM {b.latest_sql('files', 'status', 'byte_length', 'language')}),
+      s AS (SELECT max(cyclomatic)::DOUBLE AS most_complex, count(*) FILTER (cyclomatic > 10)::DOUBLE / count(*) * 100 AS complex_pct, max(max_nesting)::DOUBLE AS deepest, count(*) FILTER (param_count > 5)::DOUBLE / count(*) * 100 AS params_pct, count(*) FILTER (summary IS NULL)::DOUBLE / count(*) * 100 AS undocumented_pct FROM {b.latest_sql('symbols', 'cyclomatic', 'max_nesting', 'param_count', 'summary')}),
+      g AS ({" UNION ALL ".join(f"SELECT '{n}' AS rule, floor({c} * 1e4 + 0.5) / 1e4 AS value, CASE WHEN {c} > {e} THEN 'error' WHEN {c} > {w} THEN 'warning' ELSE 'pass' END AS verdict FROM f, s" for n, c, w, e in GATES)})
+      SELECT * FROM g UNION ALL SELECT 'overall', count(*) FILTER (verdict <> 'pass')::DOUBLE, CASE WHEN bool_or(verdict = 'error') THEN 'error' WHEN bool_or(verdict = 'warning') THEN 'warning' ELSE 'pass' END FROM g""",
     "h10_tokens": "SELECT source, CAST(sum(CAST(ceil(length(text)::DOUBLE / 4 * 1.15::DOUBLE) AS BIGINT)) AS BIGINT) AS tokens, count(*) AS docs FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "d16_dispersion": "SELECT l_returnflag, floor(avg(l_quantity) * 1e4 + 0.5) / 1e4 AS mean, floor(stddev_samp(l_quantity) * 1e4 + 0.5) / 1e4 AS spread, quantile_disc(l_quantity, 0.95) AS p95 FROM lineitem GROUP BY 1",
     "d12_share": "SELECT user_id, event_type, count(*) AS n, floor(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY user_id) * 1000 + 0.5) / 1000 AS share FROM events GROUP BY 1, 2",
