@@ -73,6 +73,7 @@ ANTIPATTERNS = [
     ("listener_without_end", "leak", r"\baddEventListener\s*\("),
     ("timer_without_end", "leak", r"\bsetInterval\s*\("),
     ("blocking_call", "stall", r"\b(readFileSync|execSync|time\.sleep)\s*\("),
+    ("plain_transport", "transport", r"\bhttp://[0-9A-Za-z]"),
     ("everything_caught", "error", r"(?i)\bexcept\s*:|\bcatch\s*\(?\s*(\w+)?\s*\)?\s*\{\s*\}"),
 ]
 SMELLS = [

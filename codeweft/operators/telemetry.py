@@ -17,7 +17,12 @@ def nearest_rank(value: str, share: float) -> Column:
     return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})")
 
 
-def interpolated(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+def interpolated(value: str, share: float) -> Column:
+    """Exact interpolated percentile as an aggregate, for groups whose distinct values one task may hold."""
+    return F.expr(f"percentile({value}, {share}D)")
+
+
+def group_percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
     """Exact percentiles of each group, interpolated between neighbours: (``group``, a column for each share).
 
     Equal values are counted first; the counted values are sorted by ranges, and sums over the
@@ -59,7 +64,7 @@ def profile(hours: DataFrame, group: str) -> DataFrame:
 def latency(calls: DataFrame, tool: str, value: str, error: Column) -> DataFrame:
     """Calls, errors, error rate, interpolated median and p95, and the most, per tool."""
     g = calls.groupBy(tool).agg(F.count("*").alias("calls"), F.count_if(error).alias("errors"), round_half_up(F.count_if(error) / F.count("*"), 4).alias("error_rate"), F.max(value).alias("most"))
-    p = interpolated(calls, tool, value, {"p50": 0.5, "p95": 0.95}).withColumnRenamed(tool, "_of")
+    p = group_percentiles(calls, tool, value, {"p50": 0.5, "p95": 0.95}).withColumnRenamed(tool, "_of")
     return g.join(p, F.col(tool).eqNullSafe(F.col("_of")), "left").select(tool, "calls", "errors", "error_rate", round_half_up(F.col("p50"), 4).alias("p50"), round_half_up(F.col("p95"), 4).alias("p95"), "most")
 
 

@@ -100,7 +100,7 @@ def test_percentiles_over_ranges(spark):
 
     data = {"a": [5.0, 1.0, 1.0, 9.5, 3.0], "b": [2.0], None: [4.0, 8.0]}
     df = spark.createDataFrame([(g, x) for g, xs in data.items() for x in xs] + [("c", None)], "g string, x double")
-    got = {r.g: (r.p50, r.p95) for r in telemetry.interpolated(df, "g", "x", {"p50": 0.5, "p95": 0.95}).collect()}
+    got = {r.g: (r.p50, r.p95) for r in telemetry.group_percentiles(df, "g", "x", {"p50": 0.5, "p95": 0.95}).collect()}
     assert {g: tuple(np.round(v, 9)) for g, v in got.items()} == {g: tuple(np.round(np.percentile(xs, [50, 95]), 9)) for g, xs in data.items()}
     told = {r.g: r.p50 for r in telemetry.latency(df.withColumn("e", F.lit(0)), "g", "x", F.col("e") == 1).collect()}
     assert told == {"a": 3.0, "b": 2.0, None: 6.0, "c": None}
