@@ -230,7 +230,7 @@ def find_personal_data(records: DataFrame, name_parts: DataFrame, *, disclosure:
     spans = spans.crossJoin(F.broadcast(words))
     telling = F.size(F.array_except("parts", "_words")) > 0
     decisive = F.when(F.col("kind") == "name", ~F.col("more") & (telling | (F.col("decisive") & (F.size("parts") > 0)))).otherwise(F.col("decisive"))
-    spans = spans.withColumn("decisive", F.coalesce(decisive, F.lit(False))).withColumn("domain", F.when(F.col("kind") == "name", "name").otherwise("number")).drop("_words")
+    spans = materialise(spans.withColumn("decisive", F.coalesce(decisive, F.lit(False))).withColumn("domain", F.when(F.col("kind") == "name", "name").otherwise("number")).drop("_words", "parts", "more"))
 
     # How strongly each context term reveals each type, against all candidates it stands beside.
     # Most undecided names are words, so they count against a term; undecided digits do not.
