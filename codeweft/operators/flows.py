@@ -67,3 +67,29 @@ def taint(texts: DataFrame, key: str, text: str) -> DataFrame:
     asked = texts.where(F.col(text).rlike(SOURCES) & F.col(text).rlike(_SINK)).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     found = asked.mapInPandas(look, f"key {texts.schema[key].dataType.simpleString()}, source_line long, sink_line long, class string, name string")
     return found.withColumnRenamed("key", key)
+
+
+def uses_of(text: str) -> list[tuple[str, int, int]]:
+    """(name, line of the assignment, line of the use): which assignment each use of a name sees; functions start afresh."""
+    held: dict[str, int] = {}
+    out = []
+    for no, line in enumerate(text.split("\n"), 1):
+        if _STARTS.match(line):
+            held = {}
+        m = _ASSIGNED.match(line)
+        seen = m.group(2) if m else line
+        out += [(n, held[n], no) for n in sorted(set(re.findall(r"\$?[A-Za-z_]\w*", seen)) & held.keys())]
+        if m:
+            held[m.group(1)] = no
+    return out
+
+
+def data_flow(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name, assigned, used) over texts that assign anything."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(k, *u) for k, t in zip(pdf["_k"], pdf["_t"], strict=True) for u in uses_of(t)], columns=["key", "name", "assigned", "used"])
+
+    asked = texts.where(F.col(text).contains("=")).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    return asked.mapInPandas(look, f"key {texts.schema[key].dataType.simpleString()}, name string, assigned long, used long").withColumnRenamed("key", key)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.functions.exprs import path_divergence, round_half_up
+from codeweft.functions.exprs import identity_score, path_divergence, round_half_up
 from codeweft.runtime import discard, materialise
 
 
@@ -417,3 +417,74 @@ def related(edges: DataFrame, files: DataFrame, target) -> DataFrame:
     rows = files.where(F.col("node") != target).join(shared, "node", "left").crossJoin(F.broadcast(own))
     score = F.when(F.col("module") == F.col("_m"), 0.3).otherwise(0.0) + F.coalesce("ratio", F.lit(0.0)) * 0.5 + names * 0.2
     return rows.select("node", round_half_up(score, 4).alias("score")).where("score > 0")
+
+
+#: Folders that say nothing about what is in them.
+_PLAIN_FOLDERS = ["src", "lib", "app", "dist", "build", "node_modules", "vendor", "index"]
+
+
+def label_communities(member: DataFrame, paths: DataFrame) -> DataFrame:
+    """(community, label): the most frequent telling folder of its members' paths, ties by name; ``root`` where there is none."""
+    m = member.join(paths, "node")
+    folders = F.filter(F.split("path", "/"), lambda p: ~p.isin(_PLAIN_FOLDERS) & ~p.contains(".") & (p != ""))
+    counted = m.select("community", F.explode(folders).alias("_f")).groupBy("community", "_f").agg(F.count("*").alias("_n"))
+    best = counted.groupBy("community").agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_f").alias("f")))["f"].alias("label"))
+    return m.select("community").distinct().join(best, "community", "left").select("community", F.coalesce("label", F.lit("root")).alias("label"))
+
+
+def blast_radius(edges: DataFrame) -> DataFrame:
+    """(node, blast): how many others import a node directly or through one more."""
+    e = edges.where("src <> dst").select("src", "dst").distinct()
+    over = e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("_far")), "src").select(F.col("_far").alias("src"), "dst")
+    return e.unionByName(over).where("src <> dst").distinct().groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("blast"))
+
+
+def answer(edges: DataFrame, nodes: DataFrame, question: str, *, max_depth: int = 2) -> tuple[str, DataFrame]:
+    """Intent of a question in words, and the part of the graph that answers it: (node, depth).
+
+    ``nodes`` has node and name. Each anchor is the node whose name answers it best (ties: the
+    smallest). Dependents are found against the edges and have negative depths.
+    """
+    from codeweft.functions.questions import classify
+
+    intent, anchors = classify(question)
+    found = []
+    for anchor in anchors:
+        score = identity_score(F.col("name"), F.lit(None).cast("string"), anchor.strip("?!. "))
+        best = nodes.select("node", score.alias("_s")).where("_s > 0").orderBy(F.col("_s").desc(), "node").first()
+        if best is not None:
+            found.append(best.node)
+    kind = nodes.schema["node"].dataType.simpleString()
+    starts = nodes.sparkSession.createDataFrame([(n,) for n in found], f"node {kind}")
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    down = lambda: reach(edges, starts, max_depth=max_depth)
+    up = lambda: reach(back, starts, max_depth=max_depth).select("node", (-F.col("depth")).alias("depth"))
+    if intent in ("path", "between") and len(found) == 2:
+        way = edges if intent == "path" else symmetric(edges)
+        ends = nodes.sparkSession.createDataFrame([(found[1],)], f"node {kind}")
+        steps = shortest_paths(way, found[0], ends).select(F.posexplode("path").alias("depth", "node"))
+        return intent, steps.select("node", "depth")
+    if intent == "dependents":
+        return intent, up()
+    if intent == "dependencies":
+        return intent, down()
+    return intent, down().unionByName(up().where("depth < 0"))
+
+
+def tree(edges: DataFrame, roots: DataFrame, names: DataFrame, *, types: list[str] = (), max_depth: int = 10) -> DataFrame:
+    """(root, node, depth, path): what hangs below the roots by edges of the given types, with the names on the way.
+
+    A node is shown under every parent, like the components of a page; a way that comes back to a
+    node of its own ends there. ``names`` has node and name.
+    """
+    kept = materialise((edges.where(F.col("type").isin(list(types))) if types else edges).select("src", "dst").distinct())
+    level = materialise(roots.select("node").distinct().join(names, "node").select(F.col("node").alias("root"), "node", F.array("node").alias("_way"), F.col("name").alias("path")))
+    levels = [level.withColumn("depth", F.lit(0))]
+    for depth in range(1, max_depth + 1):
+        step = level.join(kept.select(F.col("src").alias("node"), F.col("dst").alias("_to")), "node").where(~F.array_contains("_way", F.col("_to")))
+        named = step.join(names.select(F.col("node").alias("_to"), "name"), "_to")
+        level = materialise(named.select("root", F.col("_to").alias("node"), F.concat("_way", F.array("_to")).alias("_way"), F.concat_ws(" > ", "path", "name").alias("path")))
+        if not level.head(1):
+            break
+        levels.append(level.withColumn("depth", F.lit(depth)))
+    return reduce(DataFrame.unionByName, levels).select("root", "node", F.col("depth").cast("long").alias("depth"), "path")

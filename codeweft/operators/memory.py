@@ -77,6 +77,15 @@ def mine(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.explode(counts).alias("c")).select(key, "c.*").where("n > 0")
 
 
+def extract(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, place, cue, confidence, sentence): the sentences that record a decision, each by its surest cue."""
+    told = texts.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, r"[.!?]\s+|\n+")).alias("place", "sentence"))
+    cue = F.lit(None).cast("struct<cue:string,confidence:double>")
+    for name, shape, worth in reversed(sorted(CUES, key=lambda c: -c[2])):
+        cue = F.when(F.col("sentence").rlike(shape), F.struct(F.lit(name).alias("cue"), F.lit(worth).alias("confidence"))).otherwise(cue)
+    return told.withColumn("_c", cue).where("_c is not null").select(key, F.col("place").cast("long").alias("place"), "_c.cue", "_c.confidence", "sentence")
+
+
 def replay(changes: DataFrame, key: str, at: str, change: str) -> DataFrame:
     """(key, state, changes): each fact after all its changes; the latest decides (ties: the larger name)."""
     g = changes.groupBy(key).agg(F.max(F.struct(F.col(at).alias("at"), F.col(change).alias("c")))["c"].alias("state"), F.count("*").alias("changes"))

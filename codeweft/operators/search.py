@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.exprs import cosine, identity_score, jaccard, round_half_up, trigrams
@@ -39,10 +39,11 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, float], query: str, *, k1:
     aggregation over the texts without exploding them.
     """
     asked = query_terms(query)
-    words = {f: terms_of(F.coalesce(f, F.lit(""))) for f in fields}
+    # Each text is cut into words once; the counts read the arrays.
+    words = {f: f"_w{i}" for i, f in enumerate(fields)}
     length = reduce(lambda x, y: x + y, [F.size(w) for w in words.values()])
-    tf = [reduce(lambda x, y: x + y, [_count(w, a) * float(fields[f]) for f, w in words.items()]).alias(f"tf_{i}") for i, a in enumerate(asked)]
-    rows = docs.select(key, length.alias("length"), *tf)
+    tf = [reduce(lambda x, y: x + y, [_count(F.col(w), a) * float(fields[f]) for f, w in words.items()]).alias(f"tf_{i}") for i, a in enumerate(asked)]
+    rows = docs.select(key, *[terms_of(F.coalesce(f, F.lit(""))).alias(w) for f, w in words.items()]).select(key, length.alias("length"), *tf)
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(asked))])
     hit = reduce(lambda x, y: x & y, [F.col(f"tf_{i}") > 0 for i in range(len(asked))], F.lit(bool(asked)))
 
@@ -184,6 +185,38 @@ def stemmed_bm25(docs: DataFrame, key: str, fields: dict[str, float], query: str
     return rows.groupBy(key).agg(F.sum(part).alias("_score"), F.count("*").alias("_hit")).where(F.col("_hit") == len(asked)).select(key, round_half_up(F.col("_score"), 6).alias("score"))
 
 
+def write_index(docs: DataFrame, key: str, fields: dict[str, float], folder: str, *, buckets: int = 64) -> None:
+    """An inverted index under ``folder``: postings with their document's length, by buckets of terms, and the corpus statistics.
+
+    The texts are read once; each bucket is sorted by term, so a query reads the pages of its terms.
+    """
+    length = reduce(lambda x, y: x + y, [F.size(terms_of(F.coalesce(f, F.lit("")))) for f in fields])
+    lengths = docs.select(key, length.alias("length"))
+    rows = postings(docs, key, fields).join(lengths, key).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows.repartitionByRange(buckets, "bucket", "term").sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder.rstrip('/')}/postings")
+    lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/statistics")
+
+
+def search_index(spark: SparkSession, folder: str, key: str, query: str, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) like ``bm25``, out of an index: only the buckets and terms of the query are read."""
+    asked = query_terms(query)
+    stats = spark.read.parquet(f"{folder.rstrip('/')}/statistics").first()
+    wanted = [r[0] for r in spark.createDataFrame([(t,) for t in asked], "t string").select(F.pmod(F.xxhash64("t"), F.lit(stats.buckets))).distinct().collect()] if asked else []
+    rows = spark.read.parquet(f"{folder.rstrip('/')}/postings").where(F.col("bucket").isin(wanted) & F.col("term").isin(asked) if asked else F.lit(False))
+    df = rows.groupBy("term").agg(F.count("*").alias("_df"))
+    idf = F.ln((F.lit(float(stats.n)) - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / float(stats["mean"] or 1.0)))
+    scored = rows.join(F.broadcast(df), "term").groupBy(key).agg(F.sum(part).alias("_score"), F.count("*").alias("_hit"))
+    return scored.where(F.col("_hit") == len(asked)).select(key, round_half_up(F.col("_score"), 6).alias("score"))
+
+
+def similar_to(vectors: DataFrame, key: str, vector: str, of: object, k: int) -> DataFrame:
+    """The k rows most similar to one row, itself left out; a key that is not there has none."""
+    own = vectors.where(F.col(key) == F.lit(of)).agg(F.min(vector).alias("_q"))
+    rows = vectors.where(F.col(key) != F.lit(of)).crossJoin(F.broadcast(own)).where("_q is not null")
+    return rows.select(key, round_half_up(cosine(F.col(vector), F.col("_q")), 6).alias("similarity")).orderBy(F.col("similarity").desc(), key).limit(k)
+
+
 def seeded_sample(rows: DataFrame, key: str, n: int, *, seed: str) -> DataFrame:
     """The ``n`` rows whose keys come first by a hash with a seed: the same rows each time, wherever they lie."""
     return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

@@ -157,13 +157,21 @@ def fit_confidence(samples: pd.DataFrame, features: list[str], label: str, *, ro
     return dict(zip(["bias", *features], np.clip(w, -1, 1.5).tolist(), strict=True))
 
 
-def call_tree(spans: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """Spans below the roots by depth, following parent links level by level."""
+def call_tree(spans: DataFrame, roots: DataFrame, depth: int = 3, most_children: int | None = None) -> DataFrame:
+    """Spans below the roots by depth, following parent links level by level.
+
+    With ``most_children`` only that many children of a span are followed, those that took longest
+    (ties: the smaller id).
+    """
     from functools import reduce
 
     level = roots.select("span_id", F.col("span_id").alias("root"), F.lit(0).alias("depth"))
     levels = [level]
-    children = spans.where("parent_id is not null").select("span_id", "parent_id")
+    children = spans.where("parent_id is not null")
+    if most_children is not None:
+        longest = Window.partitionBy("parent_id").orderBy(F.col("duration").desc_nulls_last(), "span_id")
+        children = children.withColumn("_n", F.row_number().over(longest)).where(F.col("_n") <= most_children)
+    children = children.select("span_id", "parent_id")
     for d in range(1, depth + 1):
         level = children.join(level.select(F.col("span_id").alias("parent_id"), "root"), "parent_id").select("span_id", "root", F.lit(d).alias("depth"))
         levels.append(level)

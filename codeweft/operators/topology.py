@@ -76,6 +76,19 @@ def classify(items: DataFrame, key: str, text: Column, keywords: dict[str, list[
     return best.select(key, F.col("b.domain").alias("domain"), (-F.col("b.n")).cast("long").alias("hits"))
 
 
+def domain_tree(files: DataFrame, depth: int) -> DataFrame:
+    """(domain, parent, depth, n, kinds): the folders of paths down to a depth as domains, with what is at or below each.
+
+    ``files`` has path and kind. Files without a folder are in no domain.
+    """
+    parts = F.split("path", "/")
+    n = F.least(F.size(parts) - 1, F.lit(depth))
+    prefixes = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    rows = files.select(F.explode(prefixes).alias("domain"), "kind").groupBy("domain").agg(F.count("*").alias("n"), F.countDistinct("kind").alias("kinds"))
+    parent = F.when(F.col("domain").contains("/"), F.regexp_replace("domain", r"/[^/]*$", "")).otherwise("")
+    return rows.select("domain", parent.alias("parent"), F.size(F.split("domain", "/")).cast("long").alias("depth"), "n", "kinds")
+
+
 def cross_domain(edges: DataFrame, member: DataFrame) -> DataFrame:
     """Edges between domains through a many-to-many membership, and the share of each source."""
     a = member.select(F.col("node").alias("src"), F.col("domain").alias("from_domain"))

@@ -38,7 +38,7 @@ def p1_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 def runtime_tree(spark: SparkSession, folder: str) -> DataFrame:
     spans = b.spans(spark, folder)
-    tree = telemetry.call_tree(spans, spans.where("parent_id is null"), 3)
+    tree = telemetry.call_tree(spans, spans.where("parent_id is null"), 3, most_children=10)
     return tree.groupBy("root", "depth").agg(F.count("*").alias("n_spans")).withColumn("depth", F.col("depth").cast("long"))
 
 

@@ -67,7 +67,12 @@ def m7_risk(spark: SparkSession, folder: str) -> DataFrame:
     degree = graph.degrees(b.imports(spark, folder)).select(F.col("node").alias("file_id"), "n_in", "n_out")
     changed = b.commit_files(spark, folder).groupBy("file_id").agg(F.count("*").alias("commits"))
     rows = files.join(degree, "file_id").join(changed, "file_id", "left")
-    risk = code.change_risk(F.col("n_in") * 10, F.col("max_cyclomatic"), F.lit(0.5), F.coalesce("commits", F.lit(0)), F.col("n_out") / (F.col("n_in") + F.col("n_out")))
+    edges = b.imports(spark, folder)
+    blast = graph.blast_radius(edges).withColumnRenamed("node", "file_id")
+    fixed = b.commit_files(spark, folder).join(b.commits(spark, folder).where("is_fix"), "commit_id").select("file_id").distinct().withColumn("fixed", F.lit(1))
+    rows = rows.join(blast, "file_id", "left").join(fixed, "file_id", "left")
+    gap = F.when(F.col("fixed").isNull(), 1.0).otherwise(0.0)
+    risk = code.change_risk(F.coalesce("blast", F.lit(0)), F.col("max_cyclomatic"), gap, F.coalesce("commits", F.lit(0)), F.col("n_out") / (F.col("n_in") + F.col("n_out")))
     return rows.select("file_id", risk.alias("risk"))
 
 
@@ -147,7 +152,7 @@ ORACLES = {
       r AS (SELECT s.id, CASE WHEN s.id NOT IN (SELECT parent_id FROM s WHERE parent_id IS NOT NULL) THEN 1 ELSE 0 END + CASE WHEN s.id NOT IN (SELECT symbol_id FROM symbol_embeddings WHERE symbol_id IS NOT NULL) THEN 1 ELSE 0 END AS f FROM s
         WHERE json_extract_string(metadata, '$.exported') = 'true' AND (symbol_id IS NULL OR symbol_id NOT IN (SELECT symbol_id FROM d WHERE symbol_id IS NOT NULL)))
       SELECT id, floor((f + 1)::DOUBLE / 3 * 1000 + 0.5) / 1000 AS confidence FROM r WHERE floor((f + 1)::DOUBLE / 3 * 1000 + 0.5) / 1000 >= 0.6""",
-    "m7_risk": b.with_views("im", "fl", "cf") + f", {_DEGREE} SELECT fl.file_id, " + _ROUND.format("least(1, n_in * 10 / 50.0::DOUBLE) * 0.25::DOUBLE + least(1, max_cyclomatic / 20.0::DOUBLE) * 0.2::DOUBLE + 0.5::DOUBLE * 0.2::DOUBLE + least(1, coalesce(commits, 0) / 30.0::DOUBLE) * 0.2::DOUBLE + n_out::DOUBLE / (n_in + n_out) * 0.15::DOUBLE") + " AS risk FROM fl JOIN dg USING (file_id) LEFT JOIN ch USING (file_id)",
+    "m7_risk": b.with_views("im", "fl", "cf", "commits") + f", {_DEGREE}, e2 AS (SELECT src, dst FROM im UNION SELECT z.src, a.dst FROM im a JOIN im z ON z.dst = a.src WHERE z.src <> a.dst), bl AS (SELECT dst AS file_id, count(*) AS blast FROM e2 GROUP BY 1), fx AS (SELECT DISTINCT file_id, 1 AS fixed FROM cf JOIN commits USING (commit_id) WHERE is_fix) SELECT fl.file_id, " + _ROUND.format("least(1, coalesce(blast, 0) / 50.0::DOUBLE) * 0.25::DOUBLE + least(1, max_cyclomatic / 20.0::DOUBLE) * 0.2::DOUBLE + CASE WHEN fixed IS NULL THEN 1.0::DOUBLE ELSE 0 END * 0.2::DOUBLE + least(1, coalesce(commits, 0) / 30.0::DOUBLE) * 0.2::DOUBLE + n_out::DOUBLE / (n_in + n_out) * 0.15::DOUBLE") + " AS risk FROM fl JOIN dg USING (file_id) LEFT JOIN ch USING (file_id) LEFT JOIN bl USING (file_id) LEFT JOIN fx USING (file_id)",
     "d17_reload_lag": "SELECT id, count(*) AS n, CAST(floor((epoch_us(max(loaded_at)) - epoch_us(min(loaded_at))) / 3600000000) AS BIGINT) AS hours FROM sessions GROUP BY 1 HAVING count(*) > 1",
     "d2_shared_files": f"WITH c AS {b.latest_sql('tool_calls', 'session_id', 'target_file')} SELECT target_file, count(DISTINCT session_id) AS sessions FROM c WHERE target_file IS NOT NULL GROUP BY 1 HAVING count(DISTINCT session_id) >= 3",
     "d4_languages": f"WITH f AS {b.latest_sql('files', 'language', 'workspace')} SELECT workspace, count(*) AS n, array_to_string(list_sort(list(DISTINCT language) FILTER (language IS NOT NULL)), ',') AS languages FROM f GROUP BY 1",

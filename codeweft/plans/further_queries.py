@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.exprs import branch_complexity, glob_to_regex, iso_of_nanos, micros_between, module_of, round_half_up, segments, timestamp_of, url_pattern
-from codeweft.operators import curation, detectors, graph, history, search, topology
+from codeweft.operators import curation, detectors, flows, graph, history, memory, search, topology
 from codeweft.plans import bindings as b
 from codeweft.plans.activity_queries import _PATTERN
+from codeweft.plans.curation_queries import _REASON
+from codeweft.plans.history_queries import _bm25
 from codeweft.runtime import first_version, shared_dir
 from codeweft.sources import sinks
 from codeweft.sources.tables import table
@@ -172,6 +174,90 @@ def h18_times(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
+def k21_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Workspaces as communities, labelled by what their files' folders say."""
+    files = b.latest(spark, folder, "files", "path", "workspace").where("path is not null and workspace is not null")
+    return graph.label_communities(files.select(F.col("id").alias("node"), F.col("workspace").alias("community")), files.select(F.col("id").alias("node"), "path"))
+
+
+def k7_question(spark: SparkSession, folder: str) -> DataFrame:
+    """What depends on the most imported file, asked by its name."""
+    edges = b.imports(spark, folder)
+    names = b.code_files(spark, folder).select(F.col("file_id").alias("node"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
+    top = edges.groupBy("dst").count().orderBy(F.col("count").desc(), "dst").first()["dst"]
+    name = names.where(F.col("node") == top).first()["name"]
+    _, part = graph.answer(edges, names, f"what depends on {name}?")
+    return part.select("node", F.col("depth").cast("long").alias("depth"))
+
+
+def l1_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The full-text query out of an index written once."""
+    place = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    search.write_index(b.latest(spark, folder, "decisions", "title", "content"), "id", {"title": 5.0, "content": 1.0}, place)
+    return search.search_index(spark, place, "id", "cursor AND keeper")
+
+
+def l18_similar(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten vectors nearest to that of the smallest id."""
+    vectors = table(spark, folder, "embeddings")
+    return search.similar_to(vectors, "vec_id", "embedding", vectors.agg(F.min("vec_id")).first()[0], 10)
+
+
+def n11_extracted(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences of the documents that record a decision, with what a quality rule says of them."""
+    found = memory.extract(table(spark, folder, "documents"), "doc_id", "text")
+    judged = found.withColumn("reason", F.coalesce(curation.reject_reason(F.substring("sentence", 1, 80), F.col("sentence")), F.lit("kept")))
+    return judged.groupBy("cue", "confidence", "reason").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.max("place").alias("furthest"))
+
+
+def k36_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """What hangs below each class, with the names on the way."""
+    symbols = b.latest(spark, folder, "symbols", "parent_id", "kind", "name").where("name is not null")
+    edges = symbols.where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst"), F.col("kind").alias("type"))
+    return graph.tree(edges, symbols.where("kind = 'class'").select(F.col("id").alias("node")), symbols.select(F.col("id").alias("node"), "name"), types=["method"])
+
+
+def q2_impact(spark: SparkSession, folder: str) -> DataFrame:
+    """Services that a change of service 1 may reach, over shared endpoints, by distance."""
+    links = b.latest(spark, folder, "api_endpoints", "service_id", "path").where("path is not null and service_id is not null")
+    keyed = links.select("service_id", url_pattern(F.col("path")).alias("p")).distinct()
+    a, z = keyed.withColumnRenamed("service_id", "src"), keyed.withColumnRenamed("service_id", "dst")
+    edges = a.join(z, "p").where("src <> dst").select("src", "dst").distinct()
+    start = keyed.agg(F.min("service_id").alias("node"))
+    return graph.reach(edges, start, max_depth=4).select("node", F.col("depth").cast("long").alias("depth"))
+
+
+def q8_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Folders as a tree of domains: files at or below each, and the languages there."""
+    files = b.latest(spark, folder, "files", "path", "language").where("path is not null")
+    return topology.domain_tree(files.select("path", F.lower("language").alias("kind")), 3)
+
+
+def p13_resume(spark: SparkSession, folder: str) -> DataFrame:
+    """The five last sessions of each project with their most used files."""
+    sessions = b.latest(spark, folder, "sessions", "project_path", "started_at").where("project_path is not null").select("id", "project_path", timestamp_of(F.col("started_at")).alias("at"))
+    last = sessions.withColumn("place", F.row_number().over(Window.partitionBy("project_path").orderBy(F.col("at").desc_nulls_last(), "id"))).where("place <= 5")
+    used = b.latest(spark, folder, "tool_calls", "session_id", "target_file").where("target_file is not null and session_id <> ''").groupBy("session_id", "target_file").agg(F.count("*").alias("n"))
+    top = used.withColumn("r", F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("n").desc(), "target_file"))).where("r <= 3").groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "target_file"))), lambda x: x["target_file"]), ",").alias("files"))
+    return last.join(top, F.col("id") == F.col("session_id"), "left").select("project_path", F.col("place").cast("long").alias("place"), "id", "files")
+
+
+def usage_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What sessions do again: reads of a file, searches, commands; how often, and the tokens of the repeats."""
+    calls = b.latest(spark, folder, "tool_calls", "session_id", "tool_short_name", "target_file", "input_snippet", "output_tokens_estimate").where("session_id <> ''")
+    what = F.when((F.col("tool_short_name") == "Read") & F.col("target_file").isNotNull(), F.struct(F.lit("read").alias("rule"), F.col("target_file").alias("what"), F.lit(3).alias("least"))).when(
+        F.col("input_snippet").isNotNull(), F.struct(F.when(F.col("tool_short_name") == "search", "search").otherwise("command").alias("rule"), F.col("input_snippet").alias("what"), F.lit(2).alias("least"))
+    )
+    rows = calls.withColumn("w", what).where("w is not null").groupBy("session_id", "w").agg(F.count("*").alias("n"), F.sum("output_tokens_estimate").alias("tokens"), F.max("output_tokens_estimate").alias("once")).where(F.col("n") >= F.col("w.least"))
+    return rows.groupBy(F.col("w.rule").alias("rule")).agg(F.count("*").alias("groups"), F.sum("n").alias("calls"), F.sum(F.col("tokens") - F.col("once")).alias("tokens"))
+
+
+def r5_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """Names that documents and commands assign and use."""
+    docs = table(spark, folder, "documents").where("text is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
+    return flows.data_flow(docs, "key", "text")
+
+
 def _run(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """What a stream yields until its sources end, written into the shared folder."""
     path = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -202,12 +288,34 @@ def i4_unique_stream(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     l20_sessions, q6_weighted, n1_ordered, b13_owners, k40_timeline, g6_branch_diff, g7_endpoint_drift, e4_oldest_delta, m11_line_owners, usage_channels, k22_community, k32_related_files, k9_by_type,
     q8_cross_domain, c16_mapped, h31_levels, h30_kinds, h21_branches, b8_glob, h20_hashes, h18_times, i2_hourly_stream, i4_unique_stream,
+    k21_labels, k7_question, l1_index, l18_similar, n11_extracted, k36_tree, q2_impact, q8_tree, p13_resume, usage_repeats, r5_flows,
 )}
 
 _TS = "try_cast(replace(replace({0}, 'T', ' '), 'Z', '+00') AS TIMESTAMPTZ) AT TIME ZONE 'UTC'"
 _PARTS = "list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_extract(path, '([^/]+)$', 1), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_\\-.:/]+'), lambda s: s <> ''))"
 
+_CUED = "CASE " + " ".join(f"WHEN regexp_matches(sentence, '{p}') THEN '{n}'" for n, p, _ in sorted(memory.CUES, key=lambda c: -c[2])) + " END"
+
 ORACLES = {
+    "k36_tree": f"""WITH RECURSIVE s AS (SELECT * FROM {b.latest_sql('symbols', 'parent_id', 'kind', 'name')} WHERE name IS NOT NULL), t(root, node, depth, path) AS (SELECT id, id, 0, name FROM s WHERE kind = 'class' UNION ALL SELECT t.root, s.id, t.depth + 1, t.path || ' > ' || s.name FROM t JOIN s ON s.parent_id = t.node AND s.kind = 'method' WHERE t.depth < 10)
+      SELECT root, node, CAST(depth AS BIGINT) AS depth, path FROM t""",
+    "q2_impact": f"""WITH RECURSIVE k AS (SELECT DISTINCT service_id, {_PATTERN.format('path')} AS p FROM {b.latest_sql('api_endpoints', 'service_id', 'path')} WHERE path IS NOT NULL AND service_id IS NOT NULL), e AS (SELECT DISTINCT a.service_id AS src, z.service_id AS dst FROM k a JOIN k z ON a.p = z.p AND a.service_id <> z.service_id),
+      h(node, depth) AS (SELECT min(service_id), 0 FROM k UNION SELECT e.dst, h.depth + 1 FROM h JOIN e ON e.src = h.node WHERE h.depth < 4) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM h GROUP BY 1""",
+    "q8_tree": f"""WITH f AS (SELECT string_split(path, '/') AS p, lower(language) AS kind FROM {b.latest_sql('files', 'path', 'language')} WHERE path IS NOT NULL), d AS (SELECT unnest(list_transform(range(1, least(len(p) - 1, 3) + 1), lambda i: array_to_string(p[1:i], '/'))) AS domain, kind FROM f)
+      SELECT domain, CASE WHEN contains(domain, '/') THEN regexp_replace(domain, '/[^/]*$', '') ELSE '' END AS parent, CAST(length(domain) - length(replace(domain, '/', '')) + 1 AS BIGINT) AS depth, count(*) AS n, count(DISTINCT kind) AS kinds FROM d GROUP BY 1""",
+    "p13_resume": f"""WITH l AS (SELECT id, project_path, row_number() OVER (PARTITION BY project_path ORDER BY {_TS.format('started_at')} DESC NULLS LAST, id) AS place FROM {b.latest_sql('sessions', 'project_path', 'started_at')} WHERE project_path IS NOT NULL QUALIFY place <= 5),
+      u AS (SELECT session_id, target_file, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, target_file) AS r FROM {b.latest_sql('tool_calls', 'session_id', 'target_file')} WHERE target_file IS NOT NULL AND session_id <> '' GROUP BY 1, 2 QUALIFY r <= 3), t AS (SELECT session_id, string_agg(target_file, ',' ORDER BY r) AS files FROM u GROUP BY 1)
+      SELECT project_path, place, id, files FROM l LEFT JOIN t ON t.session_id = l.id""",
+    "usage_repeats": f"""WITH c AS (SELECT session_id, CASE WHEN tool_short_name = 'Read' AND target_file IS NOT NULL THEN 'read' WHEN input_snippet IS NOT NULL THEN CASE WHEN tool_short_name = 'search' THEN 'search' ELSE 'command' END END AS rule, CASE WHEN tool_short_name = 'Read' AND target_file IS NOT NULL THEN target_file ELSE input_snippet END AS what, output_tokens_estimate AS t
+      FROM {b.latest_sql('tool_calls', 'session_id', 'tool_short_name', 'target_file', 'input_snippet', 'output_tokens_estimate')} WHERE session_id <> ''), g AS (SELECT rule, count(*) AS n, sum(t) AS tokens, max(t) AS once FROM c WHERE rule IS NOT NULL GROUP BY session_id, rule, what HAVING count(*) >= CASE WHEN rule = 'read' THEN 3 ELSE 2 END)
+      SELECT rule, count(*) AS groups, CAST(sum(n) AS BIGINT) AS calls, CAST(sum(tokens - once) AS BIGINT) AS tokens FROM g GROUP BY 1""",
+    "k21_labels": f"""WITH f AS (SELECT workspace AS community, path FROM {b.latest_sql('files', 'path', 'workspace')} WHERE path IS NOT NULL AND workspace IS NOT NULL), p AS (SELECT community, unnest(string_split(path, '/')) AS f FROM f), n AS (SELECT community, f, count(*) AS n FROM p
+      WHERE f NOT IN ('src', 'lib', 'app', 'dist', 'build', 'node_modules', 'vendor', 'index') AND NOT contains(f, '.') AND f <> '' GROUP BY 1, 2), l AS (SELECT community, first(f ORDER BY n DESC, f) AS label FROM n GROUP BY 1) SELECT DISTINCT f.community, coalesce(label, 'root') AS label FROM f LEFT JOIN l USING (community)""",
+    "k7_question": b.with_views("im", recursive=True) + """, hit(node, depth) AS (SELECT (SELECT dst FROM im GROUP BY 1 ORDER BY count(*) DESC, dst LIMIT 1), 0 UNION SELECT im.src, hit.depth + 1 FROM hit JOIN im ON im.dst = hit.node WHERE hit.depth < 2) SELECT node, CAST(-min(depth) AS BIGINT) AS depth FROM hit GROUP BY 1""",
+    "l1_index": f"WITH {_bm25()} SELECT * FROM bm",
+    "l18_similar": "WITH q AS (SELECT embedding AS v, vec_id AS o FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id, floor(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) * 1e6 + 0.5) / 1e6 AS similarity FROM embeddings, q WHERE vec_id <> o ORDER BY similarity DESC, vec_id LIMIT 10",
+    "n11_extracted": f"""WITH s AS (SELECT doc_id, regexp_split_to_array(text, '[.!?]\\s+|\\n+') AS a FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(a) AS sentence, unnest(range(0, len(a))) AS place FROM s), c AS (SELECT doc_id, place, {_CUED} AS cue, trim(substr(sentence, 1, 80)) AS t, trim(sentence) AS c FROM l)
+      SELECT cue, CASE cue {" ".join(f"WHEN '{n}' THEN {w}" for n, _, w in memory.CUES)} END::DOUBLE AS confidence, {_REASON} AS reason, count(*) AS n, count(DISTINCT doc_id) AS docs, max(place)::BIGINT AS furthest FROM c WHERE cue IS NOT NULL GROUP BY 1, 2, 3""",
     "q6_weighted": f"""WITH s AS {b.latest_sql('decisions', 'project_root', 'service_name', 'git_branch')}, i AS (SELECT DISTINCT project_root, 'service:' || service_name AS e, 3.0::DOUBLE AS w FROM s WHERE service_name IS NOT NULL UNION SELECT DISTINCT project_root, 'branch:' || git_branch, CASE WHEN git_branch = 'main' THEN 0.25::DOUBLE ELSE 1.0 END FROM s WHERE git_branch IS NOT NULL)
       SELECT a.project_root AS group_a, z.project_root AS group_b, count(*) AS n_shared, floor(sum(a.w) * 1000 + 0.5) / 1000 AS weight FROM i a JOIN i z ON a.e = z.e AND a.project_root < z.project_root GROUP BY 1, 2""",
     "n1_ordered": f"""WITH s AS (SELECT id, source, confidence, {_TS.format('created_at')} AS c, {_TS.format('last_hit_at')} AS h, valid_until, {_TS.format('valid_until')} AS u FROM {b.latest_sql('decisions', 'source', 'confidence', 'created_at', 'last_hit_at', 'valid_until')}),

@@ -20,7 +20,11 @@ _LOG = "type string, sessionId string, timestamp string, message struct<model:st
 
 def session_logs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(sessions, tool calls) out of JSON lines; broken lines are left out."""
-    lines = spark.read.schema(_LOG).option("mode", "DROPMALFORMED").json(path).where("sessionId is not null")
+    return _logs_of(spark.read.schema(_LOG).option("mode", "DROPMALFORMED").json(path))
+
+
+def _logs_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    lines = lines.where("sessionId is not null")
     usage = F.col("message.usage")
     sessions = lines.groupBy(F.col("sessionId").alias("id")).agg(
         F.min("timestamp").alias("started_at"), F.max("timestamp").alias("ended_at"), F.max("message.model").alias("model"),
@@ -179,6 +183,37 @@ def reindex_plan(changed: DataFrame, most: int = 200) -> DataFrame:
     return changed.agg(F.when(F.count("*") > most, "full").when(F.count("*") > 0, "changed").otherwise("none").alias("mode"), F.count("*").alias("n"))
 
 
+def new_session_logs(spark: SparkSession, path: str, seen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sessions, calls, states) of the log files whose (path, modified) is not in ``seen``; the states are to be added to it.
+
+    The list of new files is kept on the driver: a run's files, not their rows.
+    """
+    states = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("modificationTime").alias("modified"))
+    new = states.join(seen.select("path", "modified").distinct(), ["path", "modified"], "left_anti")
+    paths = [r.path for r in new.select("path").collect()]
+    if not paths:
+        empty = spark.createDataFrame([], "value string")
+        return *_logs_of(spark.read.schema(_LOG).json(empty)), new
+    return *_logs_of(spark.read.schema(_LOG).option("mode", "DROPMALFORMED").json(paths)), new
+
+
+def diff_hunks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, from_line, to_line) of the changed ranges, in the new version, of unified diffs."""
+    parts = spark.read.option("lineSep", "diff --git ").text(path).select(F.regexp_extract("value", r"(?m)^\+\+\+ (?:b/)?(\S+)", 1).alias("file"), F.regexp_extract_all("value", F.lit(r"(?m)^@@ -[0-9,]+ \+([0-9,]+) @@"), F.lit(1)).alias("_h"))
+    rows = parts.where("file not in ('', '/dev/null')").select("file", F.explode("_h").alias("_h")).select("file", F.split("_h", ",").alias("_p"))
+    start, n = F.col("_p")[0].cast("long"), F.coalesce(F.get("_p", 1).cast("long"), F.lit(1))
+    return rows.select("file", start.alias("from_line"), (start + F.greatest(n, F.lit(1)) - 1).alias("to_line"))
+
+
+def blame_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, commit_id, author, ts) out of ``git blame --line-porcelain`` listings, one listing a file."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.explode(F.regexp_extract_all("value", F.lit(r"(?ms)^([0-9a-f]{40} [0-9]+ [0-9]+.*?^\t)"), F.lit(1))).alias("e"))
+    field = lambda name: F.regexp_extract("e", rf"(?m)^{name} (.*)$", 1)
+    return whole.select(
+        "file", F.regexp_extract("e", r"^[0-9a-f]{40} [0-9]+ ([0-9]+)", 1).cast("long").alias("line"), F.substring("e", 1, 40).alias("commit_id"), field("author").alias("author"), F.timestamp_seconds(field("author-time").cast("long")).alias("ts")
+    )
+
+
 def changed_files(seen: DataFrame, now: DataFrame) -> DataFrame:
     """Files whose (path, hash) was not seen before."""
     return now.join(seen.select("path", "hash").distinct(), ["path", "hash"], "left_anti")

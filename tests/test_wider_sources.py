@@ -146,3 +146,49 @@ def test_people_topics_and_retrievers(spark, rows):
     symbols = spark.createDataFrame([(1, "parseTree", "m.parseTree", "function", "parseTree(a)", 0.1, 0.0), (2, "treeWalk", "m.treeWalk", "function", "treeWalk(b)", 0.2, 0.0)], "id int, name string, fqn string, kind string, signature string, rank double, recency double")
     assert set(retrieval.RETRIEVERS) >= {"lexical", "near", "exact", "hybrid", "classic"} and [retrieval.lucky(q) for q in ("src/a.ts", "parseTree", "parse the tree")] == ["exact", "classic", "hybrid"]
     assert retrieval.retrieve(symbols, "parseTree").first().id == 1 and retrieval.retrieve(symbols, "m.treeWalk", "exact").first().id == 2
+
+
+def test_an_index_gives_what_the_texts_give(spark, rows, tmp_path):
+    docs = spark.createDataFrame([(1, "cache cache miss", "a"), (2, "Cache hit", None), (3, None, "cache"), (4, "other", "words")], "id int, t string, u string")
+    search.write_index(docs, "id", {"t": 2.0, "u": 1.0}, str(tmp_path / "x"), buckets=4)
+    for query in ("cache", "cache AND hit", "nothing", ""):
+        assert rows(search.search_index(spark, str(tmp_path / "x"), "id", query)) == rows(search.bm25(docs, "id", {"t": 2.0, "u": 1.0}, query))
+
+
+def test_questions_to_the_graph(spark, rows):
+    from codeweft.operators import graph
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (4, 2)], "src int, dst int")
+    nodes = spark.createDataFrame([(1, "LoginForm"), (2, "AuthService"), (3, "Database"), (4, "Admin")], "node int, name string")
+    ask = lambda q: (lambda r: (r[0], rows(r[1].select("node", "depth"))))(graph.answer(edges, nodes, q))
+    assert ask("what depends on AuthService?") == ("dependents", [(1, -1), (2, 0), (4, -1)])
+    assert ask("how does LoginForm flow to Database") == ("path", [(1, 0), (2, 1), (3, 2)])
+    assert ask("what does Admin import") == ("dependencies", [(2, 1), (3, 2), (4, 0)])
+    assert ask("link between LoginForm and Admin")[1] == [(1, 0), (2, 1), (4, 2)] and ask("nobody")[1] == []
+    assert rows(graph.blast_radius(edges)) == [(2, 2), (3, 3)]
+    assert rows(graph.label_communities(spark.createDataFrame([(1, "c"), (2, "c"), (3, "d")], "node int, community string"), spark.createDataFrame([(1, "src/auth/a.ts"), (2, "auth/x/b.ts"), (3, "a.ts")], "node int, path string"))) == [("c", "auth"), ("d", "root")]
+
+
+def test_diffs_blames_and_new_logs(spark, rows, tmp_path):
+    from codeweft.operators import flows, graph
+
+    (tmp_path / "x.diff").write_text("diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1,2 +3,4 @@ def f\n+x\n@@ -9 +12 @@\n-y\ndiff --git a/b.py b/b.py\n--- a/b.py\n+++ /dev/null\n@@ -1 +0,0 @@\n-z\n")
+    assert rows(files.diff_hunks(spark, str(tmp_path / "x.diff"))) == [("a.py", 3, 6), ("a.py", 12, 12)]
+    entry = lambda sha, n, who: f"{sha * 40} {n} {n} 1\nauthor {who}\nauthor-mail <x@y.test>\nauthor-time 86400\nsummary s\nfilename a.py\n\tcode {n}\n"
+    (tmp_path / "a.blame").write_text(entry("a", 1, "Ann") + entry("b", 2, "Bob B"))
+    got = files.blame_lines(spark, str(tmp_path / "a.blame")).collect()
+    assert [(r.line, r.author, r.commit_id[0]) for r in got] == [(1, "Ann", "a"), (2, "Bob B", "b")] and got[0].ts == dt.datetime(1970, 1, 2)
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a.jsonl").write_text(json.dumps({"type": "assistant", "sessionId": "s1", "timestamp": "2025-01-01T00:00:00Z"}) + "\n")
+    seen = spark.createDataFrame([], "path string, modified timestamp")
+    sessions, _, states = files.new_session_logs(spark, str(logs), seen)
+    assert [r.id for r in sessions.collect()] == ["s1"]
+    sessions, calls, states = files.new_session_logs(spark, str(logs), states)
+    assert sessions.count() == 0 and calls.count() == 0 and states.count() == 0
+    assert flows.uses_of("a = 1\nb = a + 1\nreturn b\ndef f():\n  print(a)") == [("a", 1, 2), ("b", 2, 3)]
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(5)], "node int, name string")
+    edges = spark.createDataFrame([(1, 2, "x"), (2, 1, "x"), (1, 3, "x"), (3, 2, "x"), (1, 4, "y")], "src int, dst int, type string")
+    paths = [r.path for r in graph.tree(edges, names.where("node = 1"), names, types=["x"]).orderBy("path").collect()]
+    assert paths == ["n1", "n1 > n2", "n1 > n3", "n1 > n3 > n2"]
+    assert rows(topology.domain_tree(spark.createDataFrame([("a/b/c.ts", "ts"), ("a/d.py", "py"), ("e.py", "py")], "path string, kind string"), 2)) == [("a", "", 1, 2, 2), ("a/b", "a", 2, 1, 1)]
