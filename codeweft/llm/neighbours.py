@@ -22,6 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,23 +150,30 @@ def _codes(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _place(forest: _Forest, goal: float, beam: int):
     """Keys (tree and leaf) a class lies in or looks into, with its roles there."""
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[["_class"]].assign(_code=b"", _error=0.0, _keys=None, _roles=None, _missed=1.0)
-            if len(pdf):
-                units, active, missed = _matrix(pdf["_unit"]), pdf["_active"].to_numpy(), pdf["_missed"].to_numpy()
-                own, keys, taken, left = forest.plan(units, pdf["_reach"].to_numpy(), np.log(np.maximum(missed, 1e-300) / goal), beam)
-                taken &= active[:, None]
-                codes, out["_error"] = _codes(units)
-                out["_code"] = [c.tobytes() for c in codes]
-                all_keys, roles = [], []
-                for i in range(len(pdf)):
-                    asked, at = keys[i, taken[i]], own[i]
-                    away = asked[~np.isin(asked, at)]
-                    all_keys.append(np.concatenate([at, away]))
-                    roles.append(np.concatenate([_LIES + _ASKS * np.isin(at, asked), np.full(len(away), _ASKS)]).astype(np.int8))
-                out["_keys"], out["_roles"], out["_missed"] = all_keys, roles, np.where(active, missed * left, missed)
-            yield out
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = lambda name, b=batch: b.column(b.schema.get_field_index(name))
+            units = _matrix(column("_unit").to_pylist())
+            missed, active = column("_missed").to_numpy(), column("_active").to_numpy(zero_copy_only=False)
+            own, keys, taken, left = forest.plan(units, column("_reach").to_numpy(), np.log(np.maximum(missed, 1e-300) / goal), beam)
+            taken &= active[:, None]
+            tree = keys >> 32
+            at_home = np.take_along_axis(own, tree, 1) == keys
+            asks = np.zeros(own.shape, bool)
+            row, entry = np.nonzero(taken & at_home)
+            asks[row, tree[row, entry]] = True
+            # Own leaves come first in each row's list, then those it only looks into.
+            held = np.concatenate([np.ones(own.shape, bool), taken & ~at_home], axis=1)
+            roles = np.concatenate([_LIES + _ASKS * asks, np.full(keys.shape, _ASKS)], axis=1).astype(np.int8)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32))
+            codes, error = _codes(units)
+            out = [
+                column("_class"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([own, keys], axis=1)[held])),
+                pa.ListArray.from_arrays(offsets, pa.array(roles[held])), pa.array(np.where(active, missed * left, missed)),
+            ]
+            yield pa.RecordBatch.from_arrays(out, names=["_class", "_code", "_error", "_keys", "_roles", "_missed"])
 
     return place
 
@@ -267,7 +275,7 @@ def nearest(
     links, rounds = [], 0
     while True:
         forest = _Forest(fitted, depth, trees if depth else 1, seed + 1 + rounds)
-        placed = materialise(state.mapInPandas(
+        placed = materialise(state.mapInArrow(
             _place(forest, alone, beam), f"_class {kind}, _code binary, _error double, _keys array<bigint>, _roles array<tinyint>, _missed double"
         ))
         rows = placed.select("_class", "_code", "_error", F.explode(F.arrays_zip("_keys", "_roles")).alias("_at")).select("_class", "_code", "_error", F.col("_at._keys").alias("_key"), F.col("_at._roles").alias("_role"))
