@@ -289,7 +289,7 @@ def nearest(
         rounds += 1
         pairs = reduce(DataFrame.unionByName, links)
         pairs = pairs.select(F.explode(F.array(F.struct(F.col("_a").alias("_class"), F.col("_b").alias("_near"), "_sim"), F.struct(F.col("_b").alias("_class"), F.col("_a").alias("_near"), "_sim"))).alias("_p")).select("_p.*")
-        best = materialise(_best(pairs, "_class", k, (-F.col("_sim")).alias("_minus"), F.col("_near")))
+        best = materialise(_best(pairs, "_class", k, (-F.round("_sim", 6)).alias("_minus"), F.col("_near")))
         open_ones = placed.where(F.col("_missed") > alone).select("_class", "_missed")
         if not depth or not open_ones.head(1):
             break
@@ -298,18 +298,23 @@ def nearest(
         asking = open_ones.join(best, "_class", "left").select("_class", "_missed", F.coalesce(kth, F.lit(widest)).alias("_reach"), F.lit(True).alias("_active"))
         state = classes.join(asking, "_class", "left").select("_class", "_unit", F.coalesce("_missed", F.lit(0.0)).alias("_missed"), F.coalesce("_reach", F.lit(widest)).alias("_reach"), F.coalesce("_active", F.lit(False)).alias("_active"))
 
-    # Classes become their members again; k + 1 members of a class are enough for anyone's list.
-    member = units.join(members.select("_unit", "_class", "_n"), "_unit").select("_key", "_class", "_n")
-    shared = member.where("_n > 1").withColumn("_near", F.col("_key"))
-    several = _best(shared, "_class", k + 1, F.col("_near")).select("_class", F.transform("_top", lambda m: m["_near"]).alias("_members"))
-    linked = best.select("_class", F.explode("_top").alias("_p")).select(F.col("_p._near").alias("_to"), "_class", (-F.col("_p._minus")).alias("_sim"))
-    others = linked.join(several.withColumnRenamed("_class", "_to"), "_to", "left").select(
-        "_class", F.explode(F.coalesce("_members", F.array("_to"))).alias("_near"), "_sim"
-    )
-    own = several.select("_class", F.explode("_members").alias("_near"), F.lit(1.0).alias("_sim"))
+    def listed(lists: DataFrame) -> DataFrame:
+        entries = lists.select("_key", F.posexplode("_top").alias("_rank", "_p"))
+        return entries.select(F.col("_key").alias(key), F.col("_p._near").alias("neighbour"), (-F.col("_p._minus")).alias("similarity"), (F.col("_rank") + 1).alias("rank")).where(F.col("similarity") >= floor)
+
+    # A class of several members stands for all of them, in its own list and in the lists it is in.
+    several = materialise(members.where("_n > 1").select("_unit", "_class"))
+    if not several.head(1):
+        return listed(best.withColumnRenamed("_class", "_key"))
+    linked = best.select("_class", F.explode("_top").alias("_p")).select("_class", F.col("_p._near").alias("_to"), (-F.col("_p._minus")).alias("_sim"))
+    concerned = materialise(several.select("_class").unionByName(linked.join(several.select(F.col("_class").alias("_to")), "_to", "left_semi").select("_class")).distinct())
+    plain = best.join(concerned, "_class", "left_anti")
+    # k + 1 members of a class are enough for anyone's list.
+    member = units.join(several, "_unit").select("_key", "_class")
+    some = _best(member.withColumn("_near", F.col("_key")), "_class", k + 1, F.col("_near")).select("_class", F.transform("_top", lambda m: m["_near"]).alias("_members"))
+    others = linked.join(concerned, "_class", "left_semi").join(some.withColumnRenamed("_class", "_to"), "_to", "left").select("_class", F.explode(F.coalesce("_members", F.array("_to"))).alias("_near"), "_sim")
+    own = some.select("_class", F.explode("_members").alias("_near"), F.lit(1.0).alias("_sim"))
     lists = _best(others.unionByName(own), "_class", k + 1, (-F.round("_sim", 6)).alias("_minus"), F.col("_near"))
-    listed = member.join(lists, "_class").select("_key", F.slice(F.expr("filter(_top, p -> p._near <> _key)"), 1, k).alias("_top"))
-    entries = listed.select("_key", F.posexplode("_top").alias("_rank", "_p"))
-    return entries.select(
-        F.col("_key").alias(key), F.col("_p._near").alias("neighbour"), (-F.col("_p._minus")).alias("similarity"), (F.col("_rank") + 1).alias("rank")
-    ).where(F.col("similarity") >= floor)
+    keys = member.unionByName(concerned.join(several, "_class", "left_anti").select(F.col("_class").alias("_key"), "_class"))
+    expanded = keys.join(lists, "_class").select("_key", F.slice(F.expr("filter(_top, p -> p._near <> _key)"), 1, k).alias("_top"))
+    return listed(plain.withColumnRenamed("_class", "_key").unionByName(expanded))
