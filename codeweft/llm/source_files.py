@@ -124,7 +124,8 @@ class Features:
         blocks = [[_grams(paths, 4, 1), _grams(paths, 6, 2)], [(of_parts[:, 0], of_parts[:, 1])], [_grams(heads, 3, 3), _grams(heads, 5, 4)]]
         row, feature, value = [], [], []
         for block in blocks:
-            cells = np.unique(np.concatenate([r << FEATURE_BITS | f for r, f in block]))
+            cells = np.sort(np.concatenate([r << FEATURE_BITS | f for r, f in block]))
+            cells = cells[np.concatenate([[True], cells[1:] != cells[:-1]])] if len(cells) else cells
             row.append(cells >> FEATURE_BITS)
             feature.append(cells & (1 << FEATURE_BITS) - 1)
             value.append(1 / np.sqrt(np.maximum(np.bincount(row[-1], minlength=len(rows)), 1))[row[-1]])
