@@ -218,12 +218,12 @@ def k36_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q2_impact(spark: SparkSession, folder: str) -> DataFrame:
-    """Services that a change of service 1 may reach, over shared endpoints, by distance."""
+    """Services that a change of the most linked service may reach, over shared endpoints, by distance."""
     links = b.latest(spark, folder, "api_endpoints", "service_id", "path").where("path is not null and service_id is not null")
     keyed = links.select("service_id", url_pattern(F.col("path")).alias("p")).distinct()
     a, z = keyed.withColumnRenamed("service_id", "src"), keyed.withColumnRenamed("service_id", "dst")
     edges = a.join(z, "p").where("src <> dst").select("src", "dst").distinct()
-    start = keyed.agg(F.min("service_id").alias("node"))
+    start = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "node").limit(1).select("node")
     return graph.reach(edges, start, max_depth=4).select("node", F.col("depth").cast("long").alias("depth"))
 
 
@@ -300,7 +300,7 @@ ORACLES = {
     "k36_tree": f"""WITH RECURSIVE s AS (SELECT * FROM {b.latest_sql('symbols', 'parent_id', 'kind', 'name')} WHERE name IS NOT NULL), t(root, node, depth, path) AS (SELECT id, id, 0, name FROM s WHERE kind = 'class' UNION ALL SELECT t.root, s.id, t.depth + 1, t.path || ' > ' || s.name FROM t JOIN s ON s.parent_id = t.node AND s.kind = 'method' WHERE t.depth < 10)
       SELECT root, node, CAST(depth AS BIGINT) AS depth, path FROM t""",
     "q2_impact": f"""WITH RECURSIVE k AS (SELECT DISTINCT service_id, {_PATTERN.format('path')} AS p FROM {b.latest_sql('api_endpoints', 'service_id', 'path')} WHERE path IS NOT NULL AND service_id IS NOT NULL), e AS (SELECT DISTINCT a.service_id AS src, z.service_id AS dst FROM k a JOIN k z ON a.p = z.p AND a.service_id <> z.service_id),
-      h(node, depth) AS (SELECT min(service_id), 0 FROM k UNION SELECT e.dst, h.depth + 1 FROM h JOIN e ON e.src = h.node WHERE h.depth < 4) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM h GROUP BY 1""",
+      h(node, depth) AS (SELECT (SELECT src FROM e GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 1), 0 UNION SELECT e.dst, h.depth + 1 FROM h JOIN e ON e.src = h.node WHERE h.depth < 4) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM h GROUP BY 1""",
     "q8_tree": f"""WITH f AS (SELECT string_split(path, '/') AS p, lower(language) AS kind FROM {b.latest_sql('files', 'path', 'language')} WHERE path IS NOT NULL), d AS (SELECT unnest(list_transform(range(1, least(len(p) - 1, 3) + 1), lambda i: array_to_string(p[1:i], '/'))) AS domain, kind FROM f)
       SELECT domain, CASE WHEN contains(domain, '/') THEN regexp_replace(domain, '/[^/]*$', '') ELSE '' END AS parent, CAST(length(domain) - length(replace(domain, '/', '')) + 1 AS BIGINT) AS depth, count(*) AS n, count(DISTINCT kind) AS kinds FROM d GROUP BY 1""",
     "p13_resume": f"""WITH l AS (SELECT id, project_path, row_number() OVER (PARTITION BY project_path ORDER BY {_TS.format('started_at')} DESC NULLS LAST, id) AS place FROM {b.latest_sql('sessions', 'project_path', 'started_at')} WHERE project_path IS NOT NULL QUALIFY place <= 5),

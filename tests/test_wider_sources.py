@@ -173,7 +173,7 @@ def test_diffs_blames_and_new_logs(spark, rows, tmp_path):
     from codeweft.operators import flows, graph
 
     (tmp_path / "x.diff").write_text("diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1,2 +3,4 @@ def f\n+x\n@@ -9 +12 @@\n-y\ndiff --git a/b.py b/b.py\n--- a/b.py\n+++ /dev/null\n@@ -1 +0,0 @@\n-z\n")
-    assert rows(files.diff_hunks(spark, str(tmp_path / "x.diff"))) == [("a.py", 3, 6), ("a.py", 12, 12)]
+    assert rows(files.diff_hunks(spark, str(tmp_path / "x.diff"))) == [("a.py", 12, 12), ("a.py", 3, 6)]
     entry = lambda sha, n, who: f"{sha * 40} {n} {n} 1\nauthor {who}\nauthor-mail <x@y.test>\nauthor-time 86400\nsummary s\nfilename a.py\n\tcode {n}\n"
     (tmp_path / "a.blame").write_text(entry("a", 1, "Ann") + entry("b", 2, "Bob B"))
     got = files.blame_lines(spark, str(tmp_path / "a.blame")).collect()
