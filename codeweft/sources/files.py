@@ -192,8 +192,7 @@ def new_session_logs(spark: SparkSession, path: str, seen: DataFrame) -> tuple[D
     new = states.join(seen.select("path", "modified").distinct(), ["path", "modified"], "left_anti")
     paths = [r.path for r in new.select("path").collect()]
     if not paths:
-        empty = spark.createDataFrame([], "value string")
-        return *_logs_of(spark.read.schema(_LOG).json(empty)), new
+        return *_logs_of(spark.createDataFrame([], _LOG)), new
     return *_logs_of(spark.read.schema(_LOG).option("mode", "DROPMALFORMED").json(paths)), new
 
 
