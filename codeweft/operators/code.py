@@ -56,6 +56,17 @@ def dead_code(symbols: DataFrame, signals: dict[str, DataFrame], least: float =
     return rows.select("id", round_half_up(fired / len(signals), 3).alias("confidence")).where(F.col("confidence") >= least)
 
 
+def untested_levels(exported: DataFrame, reached: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, level) of exported symbols (id, file, name) without a test of their own.
+
+    ``reached`` lists files and ``named`` names that tests know: a symbol of another file is
+    ``unreached``, one of a known file that no test names is ``imported_not_called``.
+    """
+    rows = exported.join(reached.select("file", F.lit(1).alias("_r")).distinct(), "file", "left").join(named.select("name", F.lit(1).alias("_n")).distinct(), "name", "left")
+    level = F.when(F.col("_r").isNull(), "unreached").when(F.col("_n").isNull(), "imported_not_called")
+    return rows.select("id", level.alias("level")).where("level is not null")
+
+
 def duplicate_names(symbols: DataFrame, least: float = 0.6) -> DataFrame:
     """All pairs of symbols of different files whose names are near: trigrams, kind, parameters, parts.
 

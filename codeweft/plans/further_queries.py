@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.exprs import branch_complexity, glob_to_regex, iso_of_nanos, micros_between, module_of, round_half_up, segments, timestamp_of, url_pattern
-from codeweft.operators import curation, detectors, flows, graph, history, memory, search, topology
+from codeweft.operators import code, curation, detectors, flows, graph, history, memory, search, topology
 from codeweft.plans import bindings as b
 from codeweft.plans.activity_queries import _PATTERN
 from codeweft.plans.curation_queries import _REASON
@@ -258,6 +258,33 @@ def r5_flows(spark: SparkSession, folder: str) -> DataFrame:
     return flows.data_flow(docs, "key", "text")
 
 
+def k13_specifiers(spark: SparkSession, folder: str) -> DataFrame:
+    """What the part with the most lines imports and what imports it (the next and the line before of an order), with the flags as specifiers."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    a = lines.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"), F.col("l_returnflag").alias("specifier"))
+    edges = a.join(lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst")), ["l_orderkey", "l_linenumber"]).where("src <> dst")
+    top = lines.groupBy("l_partkey").count().orderBy(F.col("count").desc(), "l_partkey").first()["l_partkey"]
+    ways = edges.where(F.col("src") == top).select(F.lit("out").alias("way"), F.col("dst").alias("file"), "specifier").unionByName(edges.where(F.col("dst") == top).select(F.lit("in").alias("way"), F.col("src").alias("file"), "specifier"))
+    return ways.groupBy("way", "file").agg(F.array_join(F.array_sort(F.collect_set("specifier")), ",").alias("specifiers"))
+
+
+def k30_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Exported symbols by how far calls know them: their file, their name."""
+    symbols = b.latest(spark, folder, "symbols", "file_id", "name", "metadata").where((F.get_json_object("metadata", "$.exported") == "true") & F.col("name").isNotNull())
+    files = b.latest(spark, folder, "files", "path").select(F.col("id").alias("file_id"), F.col("path").alias("file"))
+    calls = table(spark, folder, "tool_calls")
+    touched = calls.where("target_file is not null").select(F.col("target_file").alias("file"))
+    named = calls.where("input_snippet is not null").select(F.explode(F.regexp_extract_all("input_snippet", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))).alias("name"))
+    return code.untested_levels(symbols.join(files, "file_id").select("id", "file", "name"), touched, named).groupBy("level").agg(F.count("*").alias("n"))
+
+
+def m10_trends(spark: SparkSession, folder: str) -> DataFrame:
+    """Files a month of each author over an evenly sampled history: where it goes."""
+    changes = b.commit_files(spark, folder).join(b.commits(spark, folder), "commit_id")
+    n = changes.groupBy("author", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n_files"))
+    return history.trend(history.sampled_evenly(n, "author", "month", 10), "author", "month", "n_files", k=2)
+
+
 def _run(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """What a stream yields until its sources end, written into the shared folder."""
     path = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -288,7 +315,7 @@ def i4_unique_stream(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     l20_sessions, q6_weighted, n1_ordered, b13_owners, k40_timeline, g6_branch_diff, g7_endpoint_drift, e4_oldest_delta, m11_line_owners, usage_channels, k22_community, k32_related_files, k9_by_type,
     q8_cross_domain, c16_mapped, h31_levels, h30_kinds, h21_branches, b8_glob, h20_hashes, h18_times, i2_hourly_stream, i4_unique_stream,
-    k21_labels, k7_question, l1_index, l18_similar, n11_extracted, k36_tree, q2_impact, q8_tree, p13_resume, usage_repeats, r5_flows,
+    k21_labels, k7_question, l1_index, l18_similar, n11_extracted, k36_tree, q2_impact, q8_tree, p13_resume, usage_repeats, r5_flows, k13_specifiers, k30_levels, m10_trends,
 )}
 
 _TS = "try_cast(replace(replace({0}, 'T', ' '), 'Z', '+00') AS TIMESTAMPTZ) AT TIME ZONE 'UTC'"
@@ -297,6 +324,14 @@ _PARTS = "list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(r
 _CUED = "CASE " + " ".join(f"WHEN regexp_matches(sentence, '{p}') THEN '{n}'" for n, p, _ in sorted(memory.CUES, key=lambda c: -c[2])) + " END"
 
 ORACLES = {
+    "k13_specifiers": """WITH t AS (SELECT l_partkey AS t FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, l_partkey LIMIT 1), e AS (SELECT a.l_partkey AS src, z.l_partkey AS dst, a.l_returnflag AS s FROM lineitem a JOIN lineitem z ON a.l_orderkey = z.l_orderkey AND z.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> z.l_partkey),
+      w AS (SELECT 'out' AS way, dst AS file, s FROM e, t WHERE src = t UNION ALL SELECT 'in', src, s FROM e, t WHERE dst = t) SELECT way, file, string_agg(DISTINCT s, ',' ORDER BY s) AS specifiers FROM w GROUP BY 1, 2""",
+    "k30_levels": f"""WITH s AS (SELECT s.id, s.name, f.path FROM {b.latest_sql('symbols', 'file_id', 'name', 'metadata')} s JOIN {b.latest_sql('files', 'path')} f ON f.id = s.file_id WHERE s.name IS NOT NULL AND json_extract_string(s.metadata, '$.exported') = 'true'),
+      w AS (SELECT DISTINCT unnest(regexp_extract_all(input_snippet, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM tool_calls WHERE input_snippet IS NOT NULL), l AS (SELECT CASE WHEN path IS NULL OR path NOT IN (SELECT target_file FROM tool_calls WHERE target_file IS NOT NULL) THEN 'unreached' WHEN name NOT IN (SELECT name FROM w) THEN 'imported_not_called' END AS level FROM s)
+      SELECT level, count(*) AS n FROM l WHERE level IS NOT NULL GROUP BY 1""",
+    "m10_trends": b.with_views("commits", "cf") + """, n AS (SELECT author, strftime(ts, '%Y-%m') AS month, count(*) AS n_files FROM cf JOIN commits USING (commit_id) GROUP BY 1, 2), i AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY month DESC) - 1 AS i, count(*) OVER (PARTITION BY author) AS c FROM n),
+      s AS (SELECT * FROM i WHERE i % greatest(CAST(ceil(c / 10.0) AS BIGINT), 1) = 0), r AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY month) AS f, row_number() OVER (PARTITION BY author ORDER BY month DESC) AS l FROM s),
+      g AS (SELECT author, count(*) AS n_points, floor((avg(n_files) FILTER (l <= 2) - avg(n_files) FILTER (f <= 2)) * 1e4 + 0.5) / 1e4 AS delta FROM r GROUP BY 1) SELECT *, CASE WHEN delta > 0.05 THEN 'rising' WHEN delta < -0.05 THEN 'falling' ELSE 'steady' END AS direction FROM g""",
     "k36_tree": f"""WITH RECURSIVE s AS (SELECT * FROM {b.latest_sql('symbols', 'parent_id', 'kind', 'name')} WHERE name IS NOT NULL), t(root, node, depth, path) AS (SELECT id, id, 0, name FROM s WHERE kind = 'class' UNION ALL SELECT t.root, s.id, t.depth + 1, t.path || ' > ' || s.name FROM t JOIN s ON s.parent_id = t.node AND s.kind = 'method' WHERE t.depth < 10)
       SELECT root, node, CAST(depth AS BIGINT) AS depth, path FROM t""",
     "q2_impact": f"""WITH RECURSIVE k AS (SELECT DISTINCT service_id, {_PATTERN.format('path')} AS p FROM {b.latest_sql('api_endpoints', 'service_id', 'path')} WHERE path IS NOT NULL AND service_id IS NOT NULL), e AS (SELECT DISTINCT a.service_id AS src, z.service_id AS dst FROM k a JOIN k z ON a.p = z.p AND a.service_id <> z.service_id),

@@ -76,6 +76,13 @@ def dot(edges: DataFrame) -> DataFrame:
     return ends.unionByName(edges.select(F.lit(1).alias("part"), F.concat(F.lit("  "), q("src"), F.lit(" -> "), q("dst"), F.lit(";")).alias("line")))
 
 
+def mermaid(edges: DataFrame) -> DataFrame:
+    """(part, line) of a directed graph as a Mermaid diagram; nodes get ids of their own, their names become labels."""
+    node = lambda c: F.concat(F.lit("n"), F.hex(F.xxhash64(F.col(c).cast("string"))), F.lit('["'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit("#quot;")), F.lit('"]'))
+    head = edges.sparkSession.createDataFrame([(0, "graph LR")], "part int, line string")
+    return head.unionByName(edges.select(F.lit(1).alias("part"), F.concat(F.lit("  "), node("src"), F.lit(" --> "), node("dst")).alias("line")))
+
+
 def capture(rows: DataFrame, folder: str, name: str) -> None:
     """Write a snapshot under a name; taking it again replaces it, others stay."""
     rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/snapshot={name}")
