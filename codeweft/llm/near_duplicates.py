@@ -26,9 +26,9 @@ from codeweft.operators.components import connected_components
 from codeweft.runtime import broadcast_if_small, materialise
 
 SYMBOLS, BITS, CHUNK, ERRORS = 40, 16, 4, 2
-#: Classes that are looked at for crowded keys, and classes of a key beyond which its comparisons
-#: are cut into blocks of so many; both spread the work and change no result.
-PROBED, CROWD = 20_000, 2_048
+#: Classes that are looked at for crowded keys (at least this share of them), and classes of a key
+#: beyond which its comparisons are cut into blocks of so many; all spread the work and change no result.
+PROBED, PROBED_SHARE, CROWD = 5_000, 0.001, 2_048
 _KEPT = list(combinations(range(CHUNK), CHUNK - ERRORS))
 _LOW_WORDS = -(-SYMBOLS // 16)
 _LOW = [f"_low{i}" for i in range(_LOW_WORDS)]
@@ -99,7 +99,7 @@ def _keys(classes: DataFrame, kind: str) -> DataFrame:
 def _sides(classes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """The two sides of the key join; where a key is crowded its rows are dealt into blocks that all meet."""
     n = classes.count()
-    share = min(1.0, PROBED / max(n, 1))
+    share = min(1.0, max(PROBED / max(n, 1), PROBED_SHARE))
     keyed, drawn = _keys(classes, kind), F.pmod(F.xxhash64("_class"), F.lit(1_000_000)) < int(share * 1_000_000)
     probed = _keys(classes.where(drawn), kind).groupBy("_key", "_v").count()
     blocks = F.ceil(F.col("count") / (share * CROWD)).cast("int")
