@@ -21,7 +21,7 @@ from codeweft.runtime import broadcast_if_small, materialise
 #: Containers of a group, about: more lose less space at the group's end, but take longer.
 GROUP_CONTAINERS = 512
 #: Share of the total size that the smallest items hold which fill the windows' last room.
-FILLER_SHARE = 0.25
+FILLER_SHARE = 0.1
 #: A key (or null) with more items than this is spread over the groups.
 KEY_ITEMS = 1_000
 
