@@ -134,7 +134,14 @@ QUERIES = {f.__name__: f for f in (
 _TS = "try_cast(replace(replace({0}, 'T', ' '), 'Z', '+00') AS TIMESTAMPTZ) AT TIME ZONE 'UTC'"
 _DAYS = "date_diff('day', CAST(" + _TS + " AS DATE), DATE '" + AT + "')"
 
+def _stripped_sql(text: str) -> str:
+    for shape, instead in detectors.SECRETS:
+        text = "regexp_replace({}, '{}', '{}', 'g')".format(text, shape.replace("'", "''"), instead.replace("$", "\\"))
+    return text
+
+
 ORACLES = {
+    "h27_stripped": f"WITH c AS (SELECT id, input_snippet AS s, {_stripped_sql('input_snippet')} AS text FROM {b.latest_sql('tool_calls', 'input_snippet')} WHERE input_snippet IS NOT NULL) SELECT id, text FROM c WHERE text <> s",
     "k9_references": b.with_views("im", "fl") + " SELECT fl.* FROM fl JOIN im ON im.src = fl.file_id WHERE im.dst = (SELECT dst FROM im GROUP BY 1 ORDER BY count(*) DESC, dst LIMIT 1)",
     "k13_neighbourhood": b.with_views("im") + """, d AS (SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM im UNION ALL SELECT dst, 1, 0 FROM im) GROUP BY 1),
       m AS (SELECT a.src AS node, count(*) AS mutual FROM im a JOIN im z ON a.src = z.dst AND a.dst = z.src GROUP BY 1) SELECT d.*, coalesce(mutual, 0) AS mutual FROM d LEFT JOIN m ON m.node = d.node""",
