@@ -135,7 +135,12 @@ QUERIES = {f.__name__: f for f in (
 _DEGREE = "dg AS (SELECT node AS file_id, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM im UNION ALL SELECT dst, 1, 0 FROM im) GROUP BY 1), ch AS (SELECT file_id, count(*) AS commits FROM cf GROUP BY 1)"
 _ROUND = "floor(({0}) * 1000 + 0.5) / 1000"
 
+_SHAPE = "text"
+for _shape, _instead in ((r"(//[^\n]*|#[^\n]*)", ""), (r"\"[^\"\n]*\"|'[^'\n]*'", "S"), (r"[\p{L}_][\p{L}\p{N}_]*", "N"), (r"\p{N}+", "0"), (r"[ \t\n\x0b\f\r]+", " ")):
+    _SHAPE = "regexp_replace({}, '{}', '{}', 'g')".format(_SHAPE, _shape.replace("'", "''"), _instead)
+
 ORACLES = {
+    "l17_clones": f"WITH h AS (SELECT doc_id, substr(sha1({_SHAPE}), 1, 16) AS hash FROM documents WHERE text IS NOT NULL AND len(string_split(text, chr(10))) >= 3) SELECT hash, count(*) AS n, min(doc_id) AS first FROM h GROUP BY 1 HAVING count(*) > 1",
     "m6_debt": b.with_views("im", "fl", "cf") + """, ii AS (SELECT node AS file_id, floor(sum(o)::DOUBLE / count(*) * 1000 + 0.5) / 1000 AS i FROM (SELECT src AS node, 1 AS o FROM im UNION ALL SELECT dst, 0 FROM im) GROUP BY 1), ch AS (SELECT file_id, count(*) AS c FROM cf GROUP BY 1),
       m AS (SELECT regexp_extract(path, '^[^/]+/[^/]+') AS module, avg(max_cyclomatic) / 50 AS x, avg(coalesce(i, 0.0::DOUBLE)) AS k, avg(CASE WHEN i IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) AS t, avg(coalesce(c, 0)) / 60 AS h FROM fl LEFT JOIN ii USING (file_id) LEFT JOIN ch USING (file_id) GROUP BY 1),
       s AS (SELECT module, floor((least(1, x) * 0.3::DOUBLE + least(1, k) * 0.25::DOUBLE + least(1, t) * 0.25::DOUBLE + least(1, h) * 0.2::DOUBLE) * 1000 + 0.5) / 1000 AS score FROM m)
