@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.functions.exprs import jaccard, round_half_up, trigrams
+from codeweft.functions.exprs import round_half_up, trigrams
 from codeweft.operators.components import connected_components
 from codeweft.runtime import materialise
 
@@ -72,18 +72,22 @@ def similar_sets(rows: DataFrame, key: str, items: str, least: float) -> DataFra
     """(a, b, similarity), a < b: all pairs whose sets have a Jaccard similarity of ``least`` or more.
 
     Two such sets share one of their rarest items, as many of each as cannot all be missed (prefix
-    filter), so rows meet only by rare items. Equal sets should be given once.
+    filter), so rows meet only by rare items. Items are told apart by 64-bit hashes, so their kinds
+    should be millions at most. Equal sets should be given once.
     """
-    sets = materialise(rows.where(F.size(items) > 0).select(F.col(key).alias("_k"), F.array_distinct(items).alias("_s")))
+    sets = materialise(rows.where(F.size(items) > 0).select(F.col(key).alias("_k"), F.array_distinct(F.transform(items, lambda x: F.xxhash64(x))).alias("_s")))
     seen = sets.select("_k", F.size("_s").alias("_c"), F.explode("_s").alias("_x"))
     rare = seen.join(seen.groupBy("_x").agg(F.count("*").alias("_n")), "_x").groupBy("_k", "_c").agg(F.sort_array(F.collect_list(F.struct("_n", "_x"))).alias("_o"))
     prefix = F.slice("_o", 1, F.col("_c") - F.ceil(F.lit(least) * F.col("_c") - 1e-9).cast("int") + 1)
-    keyed = rare.select("_k", "_c", F.explode(prefix).alias("_p")).select("_k", "_c", F.col("_p._x").alias("_x"))
-    a, b = (keyed.select("_x", F.col("_k").alias(side), F.col("_c").alias(f"_c{side}")) for side in "ab")
-    fits = (F.col("_ca") >= F.lit(least - 1e-9) * F.col("_cb")) & (F.col("_cb") >= F.lit(least - 1e-9) * F.col("_ca"))
+    keyed = materialise(rare.select("_k", "_c", F.posexplode(prefix).alias("_i", "_p")).select("_k", "_c", "_i", F.col("_p._x").alias("_x")))
+    a, b = (keyed.select("_x", F.col("_k").alias(side), F.col("_c").alias(f"_c{side}"), F.col("_i").alias(f"_i{side}")) for side in "ab")
+    # Where the first common rare item stands bounds how many can be common at all.
+    most = F.least(F.col("_ca") - F.col("_ia"), F.col("_cb") - F.col("_ib"))
+    fits = most * (1 + least) >= (F.col("_ca") + F.col("_cb")) * (least - 1e-9)
     pairs = a.join(b, "_x").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     both = pairs.join(sets.select(F.col("_k").alias("a"), F.col("_s").alias("_sa")), "a").join(sets.select(F.col("_k").alias("b"), F.col("_s").alias("_sb")), "b")
-    return both.select("a", "b", jaccard(F.col("_sa"), F.col("_sb")).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
+    common = both.select("a", "b", F.size(F.array_intersect("_sa", "_sb")).alias("_n"), (F.size("_sa") + F.size("_sb")).alias("_all"))
+    return common.select("a", "b", (F.col("_n") / (F.col("_all") - F.col("_n"))).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
 
 
 def title_clusters(facts: DataFrame, key: str, title: str, *, least: float = 0.8) -> DataFrame:
