@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from codeweft.plans import bindings as b
 from codeweft.plans.activity_queries import _PATTERN
 from codeweft.plans.curation_queries import _REASON
 from codeweft.plans.history_queries import _bm25
-from codeweft.runtime import first_version, shared_dir
+from codeweft.runtime import first_version, scratch
 from codeweft.sources import sinks
 from codeweft.sources.tables import table
 from codeweft.streaming import spans as streams
@@ -192,7 +190,7 @@ def k7_question(spark: SparkSession, folder: str) -> DataFrame:
 
 def l1_index(spark: SparkSession, folder: str) -> DataFrame:
     """The full-text query out of an index written once."""
-    place = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    place = scratch(spark, "index")
     search.write_index(b.latest(spark, folder, "decisions", "title", "content"), "id", {"title": 5.0, "content": 1.0}, place)
     return search.search_index(spark, place, "id", "cursor AND keeper")
 
@@ -287,15 +285,18 @@ def m10_trends(spark: SparkSession, folder: str) -> DataFrame:
 
 def _run(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """What a stream yields until its sources end, written into the shared folder."""
-    path = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/log").outputMode(mode).trigger(availableNow=True).start(f"{path}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    shape = table(spark, folder, "events").schema
-    events = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(folder)
+    path = f"{folder}/events.parquet"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+    source = spark.readStream.schema(table(spark, folder, "events").schema)
+    events = source.parquet(path) if whole else source.option("pathGlobFilter", "events.parquet").parquet(folder)
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

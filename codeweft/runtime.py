@@ -26,6 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, whatever is written there; removed when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/codeweft-{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet into the shared folder and read it back.
 
