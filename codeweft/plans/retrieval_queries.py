@@ -168,7 +168,18 @@ _ASKED = f"aq AS (SELECT id, CASE WHEN tool_short_name = 'search' THEN json_extr
 _TELLING = "len(list_filter(regexp_split_to_array(regexp_replace(q, '[?!.,;:''\"]', '', 'g'), '\\s+'), lambda w: length(w) > 2 AND lower(w) NOT IN (" + ", ".join(f"'{w}'" for w in questions.SMALL_WORDS) + ")))"
 _IS_SQL = f"(regexp_matches(q, '{questions.SURE_SQL}', 'i') OR (" + " + ".join(f"regexp_matches(q, '\\b{w}\\b', 'i')::INT" for w in questions.SQL_WORDS) + f") >= 2 AND NOT regexp_matches(q, '{questions.GRAPH_WORDS}', 'i'))"
 
+def _confidence_sql(*asked: str) -> str:
+    """The two best scores of each asked name: those of the full text, or of near names where it finds nothing."""
+    found = []
+    for q in asked:
+        text, near = (f"(WITH {_classic_sql(q, way)} SELECT score FROM cl)" for way in ("text", "near"))
+        found.append(f"SELECT '{q}' AS query, score FROM {text} UNION ALL SELECT '{q}', score FROM {near} WHERE (SELECT count(*) FROM {text}) = 0")
+    return f"""WITH r AS ({' UNION ALL '.join(found)}), o AS (SELECT query, score, row_number() OVER (PARTITION BY query ORDER BY score DESC) AS n FROM r), g AS (SELECT query, max(score) FILTER (n = 1) AS a, max(score) FILTER (n = 2) AS z FROM o GROUP BY 1),
+      v AS (SELECT query, floor((least(1.0::DOUBLE, a) * 0.4::DOUBLE + CASE WHEN a > 0 THEN (a - coalesce(z, 0)) / a ELSE 0 END * 0.25::DOUBLE) * 1e4 + 0.5) / 1e4 AS confidence FROM g) SELECT *, CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS level FROM v"""
+
+
 ORACLES = {
+    "l9_confidence": _confidence_sql(ASKED, QUERY),
     "l5_fused": f"WITH {_fused_sql()} SELECT * FROM fu",
     "l6_classic": f"WITH {_classic_sql(ASKED, 'text')} SELECT * FROM cl",
     "l6_fallback": f"WITH {_classic_sql('UpdateRepositry', 'near')} SELECT * FROM cl",
