@@ -113,7 +113,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def branch_complexity(code: Column) -> Column:
     """One more than the number of branches, outside strings and line comments."""
-    bare = F.regexp_replace(code, r"""("(\\.|[^"\\])*"|'(\\.|[^'\\])*'|//[^\n]*)""", " ")
+    # possessive groups are matched in a loop; others take a stack frame per character, and a long literal ends the executor
+    bare = F.regexp_replace(code, r"""("(?:[^"\\]|\\[^\n])*+"|'(?:[^'\\]|\\[^\n])*+'|//[^\n]*)""", " ")
     return 1 + F.size(F.regexp_extract_all(bare, F.lit(r"(\b(?:if|for|while|case|catch)\b|&&|\|\||\?)"), F.lit(1)))
 
 

@@ -34,6 +34,13 @@ def test_scalars(spark):
     assert one(spark, F.lit("src/a/b.test.ts").rlike(exprs.glob_to_regex("src/**/*.{test,spec}.ts")))
 
 
+def test_branches_beside_long_literals(spark):
+    long = "\\" + "\n" + "it's a " * 40_000
+    texts = ["if '" + "x" * 300_000 + "' while", 'if "' + '\\" if ' * 100_000 + '" while', "if 'open if " + "x" * 300_000, "if '" + long + "if", 'if "a\\\rif"']
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    assert [r.n for r in df.orderBy("i").select(exprs.branch_complexity(F.col("t")).alias("n")).collect()] == [3, 3, 3, 3, 2]
+
+
 def test_big_commits_make_no_pairs(spark, rows):
     df = spark.createDataFrame([(1, i) for i in range(51)] + [(c, i) for c in (2, 3) for i in (1, 2, 3)], "commit_id long, file_id long")
     assert [r[:3] for r in rows(history.co_changes(df))] == [(1, 2, 2), (1, 3, 2), (2, 3, 2)]
