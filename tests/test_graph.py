@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from codeweft.operators import graph, graph_local
@@ -58,6 +60,23 @@ def test_betweenness_of_a_path(spark, rows):
     assert rows(graph_local.edge_betweenness(edges(spark, [(1, 2), (2, 3)]))) == [(1, 2, 2.0), (2, 3, 2.0)]
 
 
+def test_betweenness_does_not_depend_on_the_batch(spark, rows, monkeypatch):
+    e = edges(spark, [(a + k, b + k) for k in (0, 100) for a, b in [*CYCLE_TAIL, (4, 5), (2, 5), (3, 3), (20, 21)]]).selectExpr("concat('n', src) as src", "concat('n', dst) as dst")
+    some = spark.createDataFrame([("n3",), ("n101",), ("nowhere",)], "node string")
+    expected = rows(graph.edge_betweenness(e.where("src <> dst").distinct(), some))
+    for cells in (1, 40, 10_000):
+        monkeypatch.setattr(graph_local, "WALK_CELLS", cells)
+        assert rows(graph_local.edge_betweenness(e, some)) == expected
+
+
+def test_betweenness_of_many_walks_ends_soon(spark):
+    n, rings = 2000, 20
+    e = spark.range(n * rings).selectExpr("id as src", f"id div {n} * {n} + (id + 1) % {n} as dst")
+    began = time.time()
+    found = graph_local.edge_betweenness(e).groupBy("betweenness").count().collect()
+    assert [tuple(r) for r in found] == [(n * (n - 1) / 2, n * rings)] and time.time() - began < 40
+
+
 def test_components(spark, rows):
     e = edges(spark, [(i, i + 1) for i in range(1, 30)] + [(50, 51), (60, 60), (None, 5)])
     assert rows(connected_components(e, "src", "dst")) == sorted([(i, 1) for i in range(1, 31)] + [(50, 50), (51, 50)], key=repr)
