@@ -4,6 +4,7 @@ import pytest
 
 from codeweft.operators import graph, graph_local
 from codeweft.operators.components import connected_components
+from codeweft.plans import inventory_queries
 
 
 def edges(spark, pairs):
@@ -77,6 +78,17 @@ def test_betweenness_of_many_walks_ends_soon(spark):
     assert [tuple(r) for r in found] == [(n * (n - 1) / 2, n * rings)] and time.time() - began < 40
 
 
+def test_bottlenecks_of_many_walks_end_soon(spark, tmp_path):
+    n, rings = 2000, 20
+    ids = spark.range(n * rings)
+    lines = ids.selectExpr("id as l_orderkey", "id as l_partkey", "1 as l_linenumber", "'R' as l_returnflag", "40.0D as l_quantity")
+    lines.union(ids.selectExpr("id", f"id div {n} * {n} + (id + 1) % {n}", "2", "'R'", "1.0D")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    ids.selectExpr("id as p_partkey", "'t' as p_type", "'b' as p_brand", "'n' as p_name", "cast(id % 2 + 1 as int) as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    began = time.time()
+    found = inventory_queries.k20_bottlenecks(spark, str(tmp_path)).groupBy("score").count().orderBy("score").collect()
+    assert [tuple(r) for r in found] == [(1.5, n * rings // 2), (2.0, n * rings // 2)] and time.time() - began < 40
+
+
 def test_components(spark, rows):
     e = edges(spark, [(i, i + 1) for i in range(1, 30)] + [(50, 51), (60, 60), (None, 5)])
     assert rows(connected_components(e, "src", "dst")) == sorted([(i, 1) for i in range(1, 31)] + [(50, 50), (51, 50)], key=repr)
