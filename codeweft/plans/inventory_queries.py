@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.exprs import decay_heat, module_of, recency, round_half_up, segments, timestamp_of
 from codeweft.operators import detectors, graph, graph_local, memory
 from codeweft.plans import bindings as b
+from codeweft.runtime import materialise
 from codeweft.sources.tables import table
 
 AT = "2026-01-01"
@@ -31,7 +32,8 @@ def k13_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
 
 def k20_bottlenecks(spark: SparkSession, folder: str) -> DataFrame:
     """Edge betweenness over its maximum, raised by the target's complexity."""
-    scored = graph_local.edge_betweenness(b.imports(spark, folder)).join(b.code_files(spark, folder).select(F.col("file_id").alias("dst"), "max_cyclomatic"), "dst")
+    between = materialise(graph_local.edge_betweenness(b.imports(spark, folder)))  # read twice, walked once
+    scored = between.join(b.code_files(spark, folder).select(F.col("file_id").alias("dst"), "max_cyclomatic"), "dst")
     most = scored.agg(F.max("betweenness").alias("bm"), F.max("max_cyclomatic").alias("cm"))
     return scored.crossJoin(F.broadcast(most)).select("src", "dst", round_half_up(F.col("betweenness") / F.col("bm") * (1 + F.col("max_cyclomatic") / F.col("cm")), 3).alias("score"))
 

@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -89,6 +90,31 @@ def test_bottlenecks_of_many_walks_end_soon(spark, tmp_path):
     assert [tuple(r) for r in found] == [(1.5, n * rings // 2), (2.0, n * rings // 2)] and time.time() - began < 40
 
 
+def test_bottlenecks_of_many_sources_and_a_large_tree_end_soon(spark, tmp_path):
+    n, top = 30_000, 100_000
+    e = spark.range(n).selectExpr("id + 10 as src", "0L as dst").union(spark.range(1, n).selectExpr(f"{top} + (id - 1) div 2", f"{top} + id"))
+    e = e.union(spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, top)], "src long, dst long")).selectExpr("src * 1000000 + dst as l_orderkey", "src", "dst")
+    lines = e.selectExpr("l_orderkey", "src as l_partkey", "1 as l_linenumber", "'R' as l_returnflag", "40.0D as l_quantity")
+    lines.union(e.selectExpr("l_orderkey", "dst", "2", "'R'", "1.0D")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(top + n).selectExpr("id as p_partkey", "'t' as p_type", "'b' as p_brand", "'n' as p_name", "1 as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    began = time.time()
+    found = inventory_queries.k20_bottlenecks(spark, str(tmp_path)).collect()
+    assert len(found) == 2 * n + 3 and time.time() - began < 40
+    assert sorted((r.src, r.dst) for r in found if r.score == 2.0) == [(0, 1), (1, 2), (2, top)]
+
+
+def test_betweenness_does_not_depend_on_what_is_walked_by_turns(spark, rows, monkeypatch):
+    pick = random.Random(1)
+    e = edges(spark, sorted({(a, b) for a, b in ((pick.randrange(50), pick.randrange(50)) for _ in range(60)) if a != b}))
+    some = spark.createDataFrame([(k,) for k in range(0, 50, 2)], "node long")
+    expected = rows(graph.edge_betweenness(e, some))
+    for nodes, turns in ((1, 300), (1, 2)):
+        monkeypatch.setattr(graph_local, "LATE_NODES", nodes)
+        monkeypatch.setattr(graph_local, "LATE_TURNS", turns)
+        found = rows(graph_local.edge_betweenness(e, some))
+        assert [r[:2] for r in found] == [r[:2] for r in expected] and all(abs(a[2] - b[2]) < 3e-6 for a, b in zip(found, expected, strict=True))
+
+
 def test_components(spark, rows):
     e = edges(spark, [(i, i + 1) for i in range(1, 30)] + [(50, 51), (60, 60), (None, 5)])
     assert rows(connected_components(e, "src", "dst")) == sorted([(i, 1) for i in range(1, 31)] + [(50, 50), (51, 50)], key=repr)
